@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
 from surveyframe.functions.joins import dimension_join
+from surveyframe.session import settled
 
 # "38% (18/47)", also with full-width brackets and loose spacing.
 CLAIM = r"([0-9]+(?:\.[0-9]+)?)\s*%\s*[(（]\s*([0-9]+)\s*/\s*([0-9]+)\s*[)）]"
@@ -46,7 +47,7 @@ def extract_claims(paragraphs: DataFrame, text: str = "text") -> DataFrame:
         (F.col("pos") + 1).alias("pos"),
         "claim",
         part(1).cast("double").alias("pct"),
-        F.coalesce(F.length(F.regexp_extract("claim", r"^[0-9]+\.([0-9]+)", 1)), F.lit(0)).alias("decimals"),
+        F.length(F.regexp_extract("claim", r"^[0-9]+\.([0-9]+)", 1)).alias("decimals"),
         part(2).try_cast("bigint").alias("n"),
         part(3).try_cast("bigint").alias("d"),
     )
@@ -82,14 +83,14 @@ def match_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
     Results are reduced to one row per fraction first, so a fraction many
     results share does not multiply the claims quoting it.
     """
-    return dimension_join(claims, _sources(results), ["n", "d"]).fillna(0, ["n_sources"])
+    return dimension_join(claims, settled(_sources(results), "sources"), ["n", "d"]).fillna(0, ["n_sources"])
 
 
 def missing_refs(refs: DataFrame, catalogue: DataFrame, known_types: Sequence[str]) -> DataFrame:
     """References to figures that are absent or of a type nothing can show."""
     types = catalogue.select("figure_id", F.col("type").alias("_type"))
     return (
-        refs.join(types, "figure_id", "left")
+        dimension_join(refs, types, ["figure_id"])
         .withColumn(
             "problem",
             F.when(F.col("_type").isNull(), F.lit("no data")).when(
@@ -140,7 +141,7 @@ def check_pages(pages: DataFrame, results: DataFrame, key: str = "page_id") -> D
         key, F.explode(F.regexp_extract_all(strip_tags(F.col("html")), F.lit(PERCENT), F.lit(0))).alias("printed")
     )
     counted = found.groupBy(key, "printed").agg(F.count(F.lit(1)).alias("times"))
-    return dimension_join(counted, forms, ["printed"], "left_anti")
+    return dimension_join(counted, settled(forms, "printed"), ["printed"], "left_anti")
 
 
 def translation_check(source: DataFrame, target: DataFrame, key: Sequence[str] = ("doc_id", "para_no")) -> DataFrame:

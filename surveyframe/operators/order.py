@@ -1,7 +1,9 @@
 """Scaling, running shares, ranks and orders of result cells.
 
-These work on counted cells, a question's options at most. Orders are given as
-a position column, because a DataFrame has no row order of its own.
+Windows here run over counted cells of catalogue questions, so a partition has
+as many rows as its question has declared options. ``rank_open_options`` is for
+option lists without such a bound. Orders are given as a position column,
+because a DataFrame has no row order of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
+from surveyframe.functions.joins import dimension_join
+from surveyframe.session import settled
 
 
 def scale_to_max(cells: DataFrame, by: Sequence[str] = ("question_id",), value: str = "pct") -> DataFrame:
@@ -46,6 +50,20 @@ def rank_options(cells: DataFrame, by: Sequence[str] = ("question_id",)) -> Data
     return cells.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("n"))))
 
 
+def rank_open_options(cells: DataFrame, by: Sequence[str] = ("question_id",)) -> DataFrame:
+    """The same rank for option lists of any length, such as write-ins kept verbatim.
+
+    Ranks come from how many options share each count. A question has few
+    different counts however many options it has, since N picks allow fewer
+    than the root of 2N, so no task receives a question's whole option list.
+    """
+    cells = settled(cells, "cells")
+    same = cells.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("_same"))
+    ahead = Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = same.select(*by, "n", (F.coalesce(F.sum("_same").over(ahead), F.lit(0)) + 1).alias("rank"))
+    return dimension_join(cells, settled(ranks, "ranks"), [*by, "n"])
+
+
 def _position(cells: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     return cells.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.functions.joins import dimension_join
 from surveyframe.model import dimension
 from surveyframe.operators import clean, tally
 from surveyframe.plans import views as v
@@ -27,7 +28,7 @@ def cln1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cln2_redact_identifiers",
-    """SELECT doc_id, md5(clean) AS text_md5, length(clean) AS n_chars_left,
+    """SELECT doc_id, md5(clean) AS text_md5, length(clean)::INT AS n_chars_left,
               (length(clean) - length(replace(clean, '[email]', ''))) // 7 AS n_emails,
               (length(clean) - length(replace(clean, '[phone]', ''))) // 7 AS n_phones
        FROM (SELECT doc_id, regexp_replace(regexp_replace(text,
@@ -83,7 +84,8 @@ def cln4(spark: SparkSession, sf: str) -> DataFrame:
     )
     active = v.contacts(spark, sf).select("respondent_id").distinct()
     homes = v.customers(spark, sf).join(active, "respondent_id", "left_semi")
-    named = homes.join(nations, homes.home == nations.n_nationkey).select(
+    names = nations.select(F.col("n_nationkey").alias("home"), "n_name")
+    named = dimension_join(homes, names, ["home"], "inner").select(
         "respondent_id", F.lit("home").alias("question_id"), F.col("n_name").alias("option_id")
     )
     return tally.distribution(clean.collapse(named, mapping))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.functions import expressions as fx
-from surveyframe.operators import kano, order, ratings, segments
+from surveyframe.operators import kano, order, ratings, segments, tally
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 from surveyframe.plans.tallies import agg4
@@ -161,6 +161,23 @@ def win4(spark: SparkSession, sf: str) -> DataFrame:
     return order.rank_options(v.sector_cells(spark, sf))
 
 
+@query(
+    "win4_rank_open_options",
+    """WITH c AS (SELECT l_returnflag AS question_id, l_partkey AS option_id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2),
+            b AS (SELECT l_returnflag AS question_id, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY 1)
+       SELECT question_id, option_id, n, d, n / d AS pct, rank() OVER (PARTITION BY question_id ORDER BY n DESC) AS rank
+       FROM c JOIN b USING (question_id)""",
+)
+def win4_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as an open option list of each return flag."""
+    picks = v.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("respondent_id"),
+        F.col("l_returnflag").alias("question_id"),
+        F.col("l_partkey").alias("option_id"),
+    )
+    return order.rank_open_options(tally.distribution(picks))
+
+
 def _position_sql(by: str, table: str = "cells") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {by})::INT AS position FROM {table}"
 

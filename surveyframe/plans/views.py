@@ -237,7 +237,7 @@ SQL_CLAIMS = f"""{SQL_REPORT}, found AS (
   FROM report),
 claims AS (
   SELECT doc_id, pos::INT AS pos, claim, regexp_extract(claim, '{CLAIM_SQL}', 1)::DOUBLE AS pct,
-         length(regexp_extract(claim, '^[0-9]+\\.([0-9]+)', 1)) AS decimals,
+         length(regexp_extract(claim, '^[0-9]+\\.([0-9]+)', 1))::INT AS decimals,
          regexp_extract(claim, '{CLAIM_SQL}', 2)::BIGINT AS n, regexp_extract(claim, '{CLAIM_SQL}', 3)::BIGINT AS d
   FROM found)"""
 
