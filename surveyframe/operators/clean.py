@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.joins import dimension_join
 
-# A match starts only where a run of address characters starts, so a long run
-# without "@" is scanned once instead of once per character.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# A match starts only where a run of address characters starts (or where the
+# last match ended), so a long run without "@" is scanned once instead of once
+# per character.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?[0-9]{0,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[- ][0-9]{3,4}"
 
 
@@ -25,10 +26,16 @@ def valid_sample(
 
 
 def redact_identifiers(df: DataFrame, drop: Sequence[str] = (), text: Sequence[str] = ()) -> DataFrame:
-    """Drop identifying columns and mask e-mail addresses and phone numbers inside text."""
-    return df.drop(*drop).withColumns(
-        {c: F.regexp_replace(F.regexp_replace(c, EMAIL, "[email]"), PHONE, "[phone]") for c in text}
-    )
+    """Drop identifying columns and mask e-mail addresses and phone numbers inside text.
+
+    A pattern is only tried on texts holding the character every match of it has.
+    """
+
+    def mask(c: Column, must_have: str, pattern: str, mark: str) -> Column:
+        return F.when(F.contains(c, F.lit(must_have)), F.regexp_replace(c, pattern, mark)).otherwise(c)
+
+    masked = df.drop(*drop).withColumns({c: mask(F.col(c), "@", EMAIL, "[email]") for c in text})
+    return masked.withColumns({c: mask(F.col(c), "(", PHONE, "[phone]") for c in text})
 
 
 def base_of(answers: DataFrame, asked: DataFrame) -> DataFrame:

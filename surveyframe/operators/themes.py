@@ -1,13 +1,15 @@
 """Open-text themes from a keyword codebook.
 
-A codebook is a declared list of (theme, pattern) in order of precedence. Each
-text is scanned once and gets one flag per theme; there is no join of texts to
-patterns.
+A codebook is a declared list of (theme, rule) in order of precedence. A rule is
+a list of keywords, any of which in any letter case gives the theme, or a
+regular expression. Each text gets one flag per theme; there is no join of texts
+to keywords.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions.expressions import share
 from surveyframe.operators.tally import tally_ballots
 
-Codebook = Sequence[tuple[str, str]]
+Codebook = Sequence[tuple[str, Sequence[str] | str]]
 UNCODED = "Not specified"
 
 
@@ -24,14 +26,21 @@ def answered(text: Column) -> Column:
     return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
 
 
+def _matches(rule: Sequence[str] | str) -> Column:
+    if isinstance(rule, str):
+        return F.col("text").rlike(rule)
+    return reduce(Column.__or__, [F.contains(F.col("_lower"), F.lit(word.lower())) for word in rule])
+
+
 def theme_flags(texts: DataFrame, codebook: Codebook, multi: bool = True) -> DataFrame:
     """Flags ``o0, o1, ...`` per theme, the last one for answers no theme fits.
 
     With ``multi`` a text holds every theme it matches, otherwise only the
     first one in codebook order.
     """
-    hits = [F.col("text").rlike(pattern) for _, pattern in codebook]
-    coded = texts.withColumns({f"_h{i}": hit for i, hit in enumerate(hits)})
+    hits = [_matches(rule) for _, rule in codebook]
+    lowered = texts.withColumn("_lower", F.lower("text"))
+    coded = lowered.withColumns({f"_h{i}": hit for i, hit in enumerate(hits)}).drop("_lower")
     flags, before = [], F.lit(False)
     for i in range(len(codebook)):
         hit = F.col(f"_h{i}")

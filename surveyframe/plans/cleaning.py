@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.functions.joins import dimension_join
 from surveyframe.model import dimension
 from surveyframe.operators import clean, tally
 from surveyframe.plans import views as v
@@ -66,60 +65,46 @@ def cln3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cln4_collapse_options",
-    """WITH g AS (SELECT n_name, CASE WHEN n_nationkey >= 10 THEN 'Other ' || r_name ELSE n_name END AS option_id
-                  FROM nation JOIN region ON n_regionkey = r_regionkey),
-            a AS (SELECT DISTINCT o_custkey, option_id FROM orders
-                  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN g USING (n_name))
-       SELECT 'home' AS question_id, option_id, count(*) AS n, (SELECT count(DISTINCT o_custkey) FROM a) AS d,
-              count(*) / (SELECT count(DISTINCT o_custkey) FROM a) AS pct
-       FROM a GROUP BY 2""",
+    v.distribution_sql(
+        "coalesce((SELECT group_id FROM groups g WHERE g.option_id = answers.option_id), option_id)",
+        """, groups AS (SELECT n_nationkey::VARCHAR AS option_id,
+          CASE WHEN n_nationkey >= 10 THEN 'Other ' || r_name ELSE n_name END AS group_id
+          FROM nation JOIN region ON n_regionkey = r_regionkey)""",
+    ),
 )
 def cln4(spark: SparkSession, sf: str) -> DataFrame:
-    nations = v.table(spark, sf, "nation")
     regions = v.table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    group = F.when(F.col("n_nationkey") >= 10, F.concat(F.lit("Other "), "r_name")).otherwise(F.col("n_name"))
     mapping = (
-        nations.filter("n_nationkey >= 10")
+        v.table(spark, sf, "nation")
         .join(regions, "n_regionkey")
-        .select(F.col("n_name").alias("option_id"), F.concat(F.lit("Other "), "r_name").alias("group_id"))
+        .select(F.col("n_nationkey").cast("string").alias("option_id"), group.alias("group_id"))
     )
-    active = v.contacts(spark, sf).select("respondent_id").distinct()
-    homes = v.customers(spark, sf).join(active, "respondent_id", "left_semi")
-    names = nations.select(F.col("n_nationkey").alias("home"), "n_name")
-    named = dimension_join(homes, names, ["home"], "inner").select(
-        "respondent_id", F.lit("home").alias("question_id"), F.col("n_name").alias("option_id")
-    )
-    return tally.distribution(clean.collapse(named, mapping))
+    return tally.distribution(clean.collapse(v.answers(spark, sf), mapping))
 
 
-_KNOWN = v.PRIORITIES[:3]
-_WRITEIN_SQL = f"""WITH {v.SQL_PICKS}, a AS (
-  SELECT DISTINCT respondent_id, {{}} AS option_id FROM picks)
-SELECT 'priority' AS question_id, option_id, count(*) AS n, (SELECT count(DISTINCT respondent_id) FROM a) AS d,
-       count(*) / (SELECT count(DISTINCT respondent_id) FROM a) AS pct
-FROM a GROUP BY 2"""
+_KNOWN = {"priority": v.PRIORITIES[:3], "sector": v.SECTORS[:4]}
+_IS_KNOWN = " OR ".join(f"(question_id = '{q}' AND option_id IN {options})" for q, options in _KNOWN.items())
 
 
 def _catalogue(spark: SparkSession) -> DataFrame:
-    return dimension(spark, question_id=["priority"] * len(_KNOWN), option_id=_KNOWN)
+    pairs = [(q, o) for q, options in _KNOWN.items() for o in options]
+    return dimension(spark, question_id=[q for q, _ in pairs], option_id=[o for _, o in pairs])
 
 
-@query(
-    "cln5_pool_writeins",
-    _WRITEIN_SQL.format("CASE WHEN option_id IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN option_id ELSE 'Other' END"),
-)
+@query("cln5_pool_writeins", v.distribution_sql(f"CASE WHEN {_IS_KNOWN} THEN option_id ELSE 'Other' END"))
 def cln5_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.distribution(clean.pool_writeins(v.answers_multi(spark, sf), _catalogue(spark)))
+    return tally.distribution(clean.pool_writeins(v.answers(spark, sf), _catalogue(spark)))
 
 
 @query(
     "cln5_keep_writeins",
-    f"""WITH {v.SQL_PICKS}
-        SELECT option_id, option_id NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS is_writein, count(*) AS n
-        FROM picks GROUP BY 1, 2""",
+    f"""WITH {v.SQL_ANSWERS}
+        SELECT question_id, option_id, NOT ({_IS_KNOWN}) AS is_writein, count(*) AS n FROM answers GROUP BY 1, 2, 3""",
 )
 def cln5_keep(spark: SparkSession, sf: str) -> DataFrame:
-    kept = clean.pool_writeins(v.answers_multi(spark, sf), _catalogue(spark), keep=True)
-    return kept.groupBy("option_id", "is_writein").agg(F.count_distinct("respondent_id").alias("n"))
+    kept = clean.pool_writeins(v.answers(spark, sf), _catalogue(spark), keep=True)
+    return kept.groupBy("question_id", "option_id", "is_writein").agg(F.count_distinct("respondent_id").alias("n"))
 
 
 @query(
@@ -146,4 +131,5 @@ def cln6(spark: SparkSession, sf: str) -> DataFrame:
         FROM picks GROUP BY 2 HAVING count(*) > 3""",
 )
 def cln7(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.cap_violations(v.answers_multi(spark, sf), dimension(spark, question_id=["priority"], max_choices=[3]))
+    caps = dimension(spark, question_id=["priority", "sector", "home"], max_choices=[3, 1, 1])
+    return clean.cap_violations(v.answers(spark, sf), caps)

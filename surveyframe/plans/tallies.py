@@ -10,13 +10,9 @@ from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 
 
-@query(
-    "agg1_distribution",
-    """SELECT 'sector' AS question_id, c_mktsegment AS option_id, count(*) AS n, (SELECT count(*) FROM customer) AS d,
-              count(*) / (SELECT count(*) FROM customer) AS pct FROM customer GROUP BY 2""",
-)
+@query("agg1_distribution", v.distribution_sql())
 def agg1(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.distribution(v.answers_single(spark, sf))
+    return tally.distribution(v.answers(spark, sf))
 
 
 @query(
@@ -148,18 +144,16 @@ def joi1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "set1_stack",
-    f"""WITH {v.SQL_PICKS}, a AS (
-          SELECT 'sector' AS question_id, c_custkey AS r, c_mktsegment AS option_id FROM customer
-          UNION ALL SELECT 'priority', respondent_id, option_id FROM picks)
-        SELECT question_id, option_id, count(*) AS n, any_value(d) AS d, count(*) / any_value(d) AS pct
-        FROM a JOIN (SELECT question_id, count(DISTINCT r) AS d FROM a GROUP BY 1) USING (question_id) GROUP BY 1, 2""",
+    f"""WITH {v.SQL_ANSWERS}, b AS (SELECT question_id, count(DISTINCT respondent_id) AS d FROM answers GROUP BY 1)
+        SELECT question_id, option_id,
+               row_number() OVER (PARTITION BY question_id ORDER BY option_id)::INT AS ord, count(*) AS n,
+               any_value(d) AS d, count(*) / any_value(d) AS pct
+        FROM answers JOIN b USING (question_id) WHERE question_id <> 'home' GROUP BY 1, 2""",
 )
 def set1(spark: SparkSession, sf: str) -> DataFrame:
-    tables = {
-        "sector": tally.distribution(v.answers_single(spark, sf)),
-        "priority": tally.distribution(v.answers_multi(spark, sf)),
-    }
-    return tally.stack(tables)
+    answers = v.answers(spark, sf)
+    catalogue = {"sector": v.SECTORS, "priority": v.PRIORITIES}
+    return tally.stack({q: tally.multi_distribution(answers, q, options) for q, options in catalogue.items()})
 
 
 @query("set2_union_respondents", f"WITH {v.SQL_PICKS} SELECT DISTINCT respondent_id FROM picks WHERE option_id IN ('1-URGENT', '2-HIGH')")

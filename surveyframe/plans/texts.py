@@ -11,7 +11,8 @@ from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 from surveyframe.sources.readers import paragraphs
 
-_HITS = ", ".join(f"regexp_matches(text, '{pattern}') AS h{i}" for i, (_, pattern) in enumerate(v.CODEBOOK))
+_PATTERNS = [r"@|555-", r"(?i)licen[sc]e|copyright", r"(?i)token|secret", r"[0-9]{16}", r"%%%|\$\$\$|###"]
+_HITS = ", ".join(f"regexp_matches(text, '{pattern}') AS h{i}" for i, pattern in enumerate(_PATTERNS))
 _NAMES = [name for name, _ in v.CODEBOOK]
 _NONE = " OR ".join(f"h{i}" for i in range(len(_NAMES)))
 _CODED = f"coded AS (SELECT doc_id, lang, {_HITS} FROM documents WHERE length(trim(text)) > 0)"

@@ -23,11 +23,11 @@ SEGMENTS = ("never", "aware", "done")
 CONTACT_FROM = dt.datetime(2000, 7, 1)
 THEN, NOW = "2024-01-01", "2024-01-30"
 CODEBOOK = (
-    ("contact", r"@|555-"),
-    ("license", r"(?i)licen[sc]e|copyright"),
-    ("secret", r"(?i)token|secret"),
+    ("contact", ["@", "555-"]),
+    ("license", ["license", "licence", "copyright"]),
+    ("secret", ["token", "secret"]),
     ("number", r"[0-9]{16}"),
-    ("noise", r"%%%|\$\$\$|###"),
+    ("noise", ["%%%", "$$$", "###"]),
 )
 
 
@@ -78,6 +78,15 @@ def answers_single(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole long answer table: sector and home of each customer, priorities of finished orders."""
+    single = F.array(
+        F.struct(F.lit("sector").alias("question_id"), F.col("sector").alias("option_id")),
+        F.struct(F.lit("home").alias("question_id"), F.col("home").cast("string").alias("option_id")),
+    )
+    return customers(spark, sf).select("respondent_id", F.inline(single)).unionByName(answers_multi(spark, sf))
+
+
 def answers_waves(spark: SparkSession, sf: str) -> DataFrame:
     """Event types per user and day; the day is the wave."""
     return table(spark, sf, "events").select(
@@ -178,6 +187,10 @@ SQL_LAYER = """layer AS (
   GROUP BY ALL)"""
 SQL_PICKS = """picks AS (
   SELECT DISTINCT o_custkey AS respondent_id, o_orderpriority AS option_id FROM orders WHERE o_orderstatus = 'F')"""
+SQL_ANSWERS = """answers AS (
+  SELECT c_custkey AS respondent_id, 'sector' AS question_id, c_mktsegment AS option_id FROM customer
+  UNION ALL SELECT c_custkey, 'home', c_nationkey::VARCHAR FROM customer
+  UNION ALL SELECT DISTINCT o_custkey, 'priority', o_orderpriority FROM orders WHERE o_orderstatus = 'F')"""
 SQL_PRIORITIES = """opts(ord, option_id) AS (
   VALUES (1, '1-URGENT'), (2, '2-HIGH'), (3, '3-MEDIUM'), (4, '4-NOT SPECIFIED'), (5, '5-LOW'))"""
 SQL_SECTORS = """opts(ord, option_id) AS (
@@ -242,7 +255,15 @@ claims AS (
   FROM found)"""
 
 
+def distribution_sql(option: str = "option_id", extra: str = "") -> str:
+    """Distribution of every question after mapping each option to ``option``."""
+    return f"""WITH {SQL_ANSWERS}{extra},
+a AS (SELECT DISTINCT respondent_id, question_id, {option} AS option_id FROM answers)
+SELECT question_id, option_id, count(*) AS n, any_value(d) AS d, count(*) / any_value(d) AS pct
+FROM a JOIN (SELECT question_id, count(DISTINCT respondent_id) AS d FROM a GROUP BY 1) USING (question_id) GROUP BY 1, 2"""
+
+
 def paragraphs_sql(expr: str = "text", name: str = "paras") -> str:
-    lines = f"list_filter(list_transform(string_split_regex({expr}, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')"
+    lines = f"list_filter(list_transform(string_split({expr}, chr(10)), lambda x: trim(x, chr(9) || chr(13) || ' ')), lambda x: x <> '')"
     return f"""{name} AS (
   SELECT doc_id, unnest({lines}) AS text, generate_subscripts({lines}, 1) AS para_no FROM documents)"""

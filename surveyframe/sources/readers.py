@@ -45,7 +45,7 @@ def paragraphs(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    trimmed = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     return F.filter(trimmed, lambda x: x != "")
 
 
