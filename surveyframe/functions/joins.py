@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.session import settled
+
 # A dimension is broadcast only when it has at most this many rows and bytes.
 MAX_BROADCAST_ROWS = 50_000
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+# A key is hot when it holds more than one row in this many.
+HOT_SHARE = 1_000
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
@@ -25,20 +30,36 @@ def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes
     return size["n"] <= max_rows and size["b"] <= max_bytes
 
 
+def hot_keys(fact: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Keys holding more than one row in ``share``; there can be at most ``share`` of them."""
+    counts = settled(fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), "key-counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    return counts.filter(F.col("_rows") * share > total).select(*on, F.lit(True).alias("_hot"))
+
+
 def salted_join(
     fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", salts: int = 32
 ) -> DataFrame:
-    """Shuffle join that spreads every key over ``salts`` tasks.
+    """Shuffle join that spreads each hot key over ``salts`` tasks.
 
-    The salt is a hash of the row, so a task run again after a lost executor
-    sends its rows to the same place. Sides that must keep unmatched
-    dimension rows cannot be salted this way.
+    Only the hot keys of the dimension are copied. The salt is a hash of the
+    row, so a task run again after a lost executor sends its rows to the same
+    place. Rows with a missing key match nothing and are spread as well. Sides
+    that must keep unmatched dimension rows cannot be salted this way.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    hot = F.broadcast(hot_keys(fact, on))
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    left = fact.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    # The dimension was measured as too large, whatever its files suggest.
+    return left.drop("_hot").join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def dimension_join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,34 @@ RECENCY_BANDS = (("within 1 month", 1), ("1 to 6 months", 6), ("7 to 12 months",
 RECENCY_OLDER = "over 12 months"
 
 
-def respondent_flags(rows: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
-    """One row per respondent saying which conditions any of their rows meets.
+# Conditions kept in one bigint; further ones go to further columns.
+BITS = 62
+
+
+def respondent_masks(rows: DataFrame, conditions: Sequence[Column]) -> DataFrame:
+    """One row per respondent with a bit for each condition any of their rows meets.
 
-    A single shuffle on the respondent; partial aggregation leaves one row per
-    respondent and task, however many rows one respondent has.
+    A single shuffle on the respondent that moves a key and a number. Partial
+    aggregation leaves one row per respondent and task, however many rows one
+    respondent has. Read the bits with ``holds``.
     """
-    return rows.groupBy("respondent_id").agg(
-        *[F.coalesce(F.bool_or(cond), F.lit(False)).alias(name) for name, cond in flags.items()]
-    )
+    words = [conditions[i : i + BITS] for i in range(0, len(conditions), BITS)]
+    masks = [
+        F.bit_or(reduce(Column.bitwiseOR, [F.when(c, F.lit(1 << j)).otherwise(0).cast("bigint") for j, c in enumerate(word)]))
+        for word in words
+    ]
+    return rows.groupBy("respondent_id").agg(*[m.alias(f"mask{w}") for w, m in enumerate(masks)])
+
+
+def holds(i: int) -> Column:
+    """Whether condition ``i`` of ``respondent_masks`` was met."""
+    return F.col(f"mask{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("bigint")) != 0
+
+
+def respondent_flags(rows: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
+    """The same as one boolean column per condition."""
+    masks = respondent_masks(rows, list(flags.values()))
+    return masks.select("respondent_id", *[holds(i).alias(name) for i, name in enumerate(flags)])
 
 
 def assign_layer(

@@ -1,7 +1,7 @@
 """Counting picks over the right base.
 
 Questions with a catalogue of options are counted from *ballots*: one row per
-respondent with one flag per option. Forming them is one shuffle on the
+respondent with one bit per option. Forming them is one shuffle on the
 respondent with partial aggregation; bases, single options, unions of options,
 nested shares and overlaps then all come from the same rows, and a join to
 respondents needs no further shuffle of the answers.
@@ -9,32 +9,37 @@ respondents needs no further shuffle of the answers.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
-from surveyframe.operators.segments import respondent_flags
+from surveyframe.operators.segments import holds, respondent_flags, respondent_masks
 
 TOTAL = "all"
 
 
 def ballots(answers: DataFrame, question: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row per person who answered ``question``, flags ``o0, o1, ...`` in the order of ``groups``."""
-    return respondent_flags(
+    """One row per person who answered ``question``, with a bit per group of options, in order."""
+    return respondent_masks(
         answers.filter(F.col("question_id") == question),
-        {f"o{i}": F.col("option_id").isin(list(ids)) for i, ids in enumerate(groups.values())},
+        [F.col("option_id").isin(list(ids)) for ids in groups.values()],
     )
 
 
-def tally_ballots(votes: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def tally_ballots(
+    votes: DataFrame, labels: Sequence[str], by: Sequence[str] = (), picked: Callable[[int], Column] = holds
+) -> DataFrame:
     """Counts per label and group. Every group gets every label, so zero cells are kept."""
-    counts = votes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("d"), *[F.count_if(F.col(f"o{i}")).alias(f"n{i}") for i in range(len(labels))]
+    return _cells(_counts(votes, len(labels), by, picked), labels, by)
+
+
+def _counts(votes: DataFrame, n: int, by: Sequence[str], picked: Callable[[int], Column] = holds) -> DataFrame:
+    return votes.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("d"), *[F.count_if(picked(i)).alias(f"n{i}") for i in range(n)]
     )
-    return _cells(counts, labels, by)
 
 
 def _cells(counts: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -116,9 +121,7 @@ def distribution_with_total(votes: DataFrame, options: Sequence[str], by: str =
     Segments are exclusive, so the total is a rollup of the segment counts and
     the respondents are read once.
     """
-    counts = votes.groupBy(by).agg(
-        F.count(F.lit(1)).alias("d"), *[F.count_if(F.col(f"o{i}")).alias(f"n{i}") for i in range(len(options))]
-    )
+    counts = _counts(votes, len(options), [by])
     sums = [F.sum(c).alias(c) for c in counts.columns if c != by]
     total = (
         counts.rollup(by)
@@ -133,8 +136,8 @@ def nested_share(answers: DataFrame, question: str, step1: Sequence[str], step2:
     votes = ballots(answers, question, {"step1": step1, "step2": step2})
     counts = votes.agg(
         F.count(F.lit(1)).alias("d0"),
-        F.count_if(F.col("o0")).alias("n1"),
-        F.count_if(F.col("o0") & ~F.col("o1")).alias("n2"),
+        F.count_if(holds(0)).alias("n1"),
+        F.count_if(holds(0) & ~holds(1)).alias("n2"),
     )
     rows = F.array(
         F.struct(F.lit(1).alias("step"), F.col("n1").alias("n"), F.col("d0").alias("d")),

@@ -57,7 +57,8 @@ def theme_names(codebook: Codebook) -> list[str]:
 def theme_tally(texts: DataFrame, codebook: Codebook, multi: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Answers per theme over those who answered; one row per answer expected in ``texts``."""
     coded = theme_flags(texts.filter(answered(F.col("text"))), codebook, multi)
-    return tally_ballots(coded, theme_names(codebook), by).withColumnRenamed("option_id", "theme")
+    cells = tally_ballots(coded, theme_names(codebook), by, picked=lambda i: F.col(f"o{i}"))
+    return cells.withColumnRenamed("option_id", "theme")
 
 
 def theme_by(texts: DataFrame, members: DataFrame, codebook: Codebook) -> DataFrame:

@@ -84,3 +84,14 @@ def test_bands_include_their_upper_limit(spark):
     }
     with pytest.raises(ValueError, match="one more label"):
         segments.band(ages, "age", [30, 40], ["a", "b"])
+
+
+def test_more_options_than_bits_in_one_number(spark):
+    answers = spark.range(4000).select(
+        (F.col("id") % 11).alias("respondent_id"), F.lit("q").alias("question_id"), (F.col("id") % 130).cast("string").alias("option_id")
+    )
+    options = [str(i) for i in range(130)]
+    want = {(str(o), len({i % 11 for i in range(4000) if i % 130 == o}), 11) for o in range(130)}
+    assert rows(tally.multi_distribution(answers, "q", options), "option_id", "n", "d") == want
+    halves = tally.net_reach(answers.filter("respondent_id < 3"), "q", {"all": options, "none": ["x"]})
+    assert rows(halves, "group_id", "n", "d") == {("all", 3, 3), ("none", 0, 3)}
