@@ -169,6 +169,20 @@ def check_consistency(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame
     return rows.withColumn("broken", F.explode(broken))
 
 
+def share_rules(tolerance: float = 6e-4) -> dict[str, Column]:
+    """A published share is its count over its base, up to the rounding it was stored with."""
+    return {
+        "count within base": (F.col("n") >= 0) & (F.col("n") <= F.col("d")),
+        "share is count over base": F.abs(F.col("pct") - share("n", "d")) <= tolerance,
+    }
+
+
+def parts_gaps(cells: DataFrame, key: Sequence[str] = ("question_id",)) -> DataFrame:
+    """Single-answer questions whose counts do not add to their base."""
+    sums = cells.groupBy(*key).agg(F.sum("n").alias("n_parts"), F.max("d").alias("d"))
+    return sums.filter(F.col("n_parts") != F.col("d"))
+
+
 def rating_rules() -> dict[str, Column]:
     """Five counts add to the base, and the stored tails are the sums of theirs."""
     c = [F.col(f"c{i}") for i in range(1, 6)]

@@ -58,10 +58,15 @@ def gap_vs_overall(
     votes = ballots(answers, question, {o: [o] for o in options}).join(
         respondents.select("respondent_id", group), "respondent_id"
     )
-    option = Window.partitionBy("option_id")
+    return gaps_from_ballots(votes, options, group)
+
+
+def gaps_from_ballots(votes: DataFrame, options: Sequence[str], group: str, within: Sequence[str] = ()) -> DataFrame:
+    """The same from ballots that carry the group; ``within`` makes a table of its own for each of its values."""
+    option = Window.partitionBy(*within, "option_id")
     points = (F.col("group_pct") - F.col("base_pct")) * 100
     return (
-        tally_ballots(votes, options, [group])
+        tally_ballots(votes, options, [*within, group])
         .withColumnRenamed("pct", "group_pct")
         .withColumn("base_pct", share(F.sum("n").over(option), F.sum("d").over(option)))
         .filter(F.col(group).isNotNull())

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
 from surveyframe.model import CATALOGUE_SCHEMA, RESPONSES_SCHEMA, RESULT_SCHEMA
-from surveyframe.operators import ratings
+from surveyframe.operators import kano, ratings, tally
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 from surveyframe.session import scratch_path
@@ -137,21 +137,104 @@ def snk3_ratings(spark: SparkSession, sf: str) -> DataFrame:
         JOIN b ON b.home = l.home AND b.segment = l.segment GROUP BY l.home, ord, sector, segment_ord, l.segment, d""",
 )
 def snk3_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every sector is an option of each nation's figure; a segment without customers there has no cell."""
-    counts = (
-        v.respondents(spark, sf)
-        .groupBy("home", "segment")
-        .agg(F.count(F.lit(1)).alias("d"), *[F.count_if(F.col("sector") == s).alias(s) for s in v.SECTORS])
+    """Sectors by segment, one figure per nation; a segment without customers there has no cell."""
+    votes = tally.ballots(v.answers(spark, sf), "sector", {s: [s] for s in v.SECTORS})
+    people = v.respondents(spark, sf).select("respondent_id", "home", "segment")
+    cells = tally.tally_ballots(votes.join(people, "respondent_id"), v.SECTORS, ["home", "segment"]).filter("n > 0")
+    named = cells.select(
+        F.concat(F.lit("home "), "home").alias("figure_id"),
+        F.lit("grouped-hbar-layers").alias("type"),
+        *["segment", "option_id", "ord", "n", "d", "pct"],
     )
+    nested = writers.nest_segment_cells(named, ["figure_id", "type"])
+    return writers.flatten_figure(nested, "grouped-hbar-layers", v.SEGMENTS)
 
-    def cell(sector: str) -> Column:
-        n = F.col(sector)
-        filled = F.struct("segment", F.struct(n.alias("n"), F.col("d"), share(n, F.col("d")).alias("pct")))
-        return F.map_from_entries(F.collect_list(F.when(n > 0, filled)))
 
-    wide = counts.groupBy("home").agg(*[cell(s).alias(s) for s in v.SECTORS])
-    options = F.array(*[F.struct(F.lit(s).alias("label"), F.col(s).alias("byLayer")) for s in v.SECTORS])
-    figures = wide.select(
-        F.concat(F.lit("home "), "home").alias("figure_id"), F.lit("grouped-hbar-layers").alias("type"), options.alias("options")
+@query(
+    "snk3_flatten_gap_panels",
+    f"""WITH {v.SQL_LAYER}, {v.SQL_SECTORS}, {v.SQL_SEGMENTS},
+        b AS (SELECT home, segment, count(*) AS d FROM layer GROUP BY 1, 2),
+        g AS (SELECT b.home, b.segment, segment_ord, o.option_id, o.ord, count(l.respondent_id) AS n, any_value(b.d) AS d
+              FROM b JOIN segs USING (segment) CROSS JOIN opts o
+              LEFT JOIN layer l ON l.home = b.home AND l.segment = b.segment AND l.sector = o.option_id GROUP BY 1, 2, 3, 4, 5),
+        t AS (SELECT *, n / d AS p, sum(n) OVER (PARTITION BY home, option_id) / sum(d) OVER (PARTITION BY home, option_id) AS p0 FROM g)
+        SELECT 'home ' || home AS figure_id, dense_rank() OVER (PARTITION BY home ORDER BY segment_ord)::INT AS panel_pos,
+               segment AS "group", ord AS pos, option_id AS label, p AS "groupPct", p0 AS "basePct",
+               floor((p - p0) * 100 * 100 + 0.5) / 100 AS "diffPts" FROM t""",
+)
+def snk3_gap_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """Each segment's distance from its nation's sector shares, one figure per nation."""
+    people = v.respondents(spark, sf).select("respondent_id", "home", "segment")
+    votes = tally.ballots(v.answers(spark, sf), "sector", {s: [s] for s in v.SECTORS}).join(people, "respondent_id")
+    gaps = ratings.gaps_from_ballots(votes, v.SECTORS, "segment", within=["home"])
+    segment_ord = F.array_position(F.array(*[F.lit(s) for s in v.SEGMENTS]), F.col("segment"))
+    cells = gaps.select(
+        F.concat(F.lit("home "), "home").alias("figure_id"),
+        F.lit("diverging").alias("type"),
+        F.col("segment").alias("group"),
+        segment_ord.alias("group_ord"),
+        "ord",
+        F.col("option_id").alias("label"),
+        F.col("group_pct").alias("groupPct"),
+        F.col("base_pct").alias("basePct"),
+        F.col("diff_pts").alias("diffPts"),
+    )
+    item = ["label", "groupPct", "basePct", "diffPts"]
+    return writers.flatten_figure(
+        writers.nest_panels(cells, ["figure_id", "type"], "group", "group_ord", item), "diverging"
+    )
+
+
+_POINTS = f"""WITH {v.SQL_KANO}, {v.SQL_KANO_CLASS}, n AS (SELECT o_orderkey, c_nationkey AS home FROM orders JOIN customer ON c_custkey = o_custkey),
+c AS (SELECT home, topic, {{segment}}, {v.SQL_KANO_COUNTS} FROM lines LEFT JOIN kinds USING (f, g) JOIN n ON o_orderkey = respondent_id
+      GROUP BY 1, 2, 3),
+k AS (SELECT *, (n_a + n_o) / nullif(valid, 0) AS si, -(n_o + n_m) / nullif(valid, 0) AS dsi FROM c),
+points AS (SELECT *, CASE WHEN si >= 0.5 AND dsi <= -0.5 THEN 'Performance (O)' WHEN si >= 0.5 THEN 'Attractive (A)'
+  WHEN dsi <= -0.5 THEN 'Must-be (M)' WHEN si IS NOT NULL THEN 'Indifferent (I)' END AS quadrant FROM k)"""
+
+
+def _kano_points(spark: SparkSession, sf: str, by: list[str]) -> DataFrame:
+    """Kano points of each nation; lines find their nation through order and customer."""
+    homes = (
+        v.table(spark, sf, "orders")
+        .select(F.col("o_orderkey").alias("respondent_id"), F.col("o_custkey").alias("c_custkey"))
+        .join(v.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("home")), "c_custkey")
     )
-    return writers.flatten_figure(figures, "grouped-hbar-layers", v.SEGMENTS)
+    counts = kano.class_counts(v.kano_lines(spark, sf).join(homes, "respondent_id"), ["home", *by])
+    return kano.kano_quadrant(kano.kano_coefficients(counts)).select(
+        F.concat(F.lit("home "), "home").alias("figure_id"),
+        *by,
+        F.col("topic").cast("bigint").alias("ord"),
+        F.col("topic").cast("string").alias("num"),
+        F.concat(F.lit("topic "), "topic").alias("fullLabel"),
+        "si",
+        "dsi",
+        "quadrant",
+    )
+
+
+_POINT = ["num", "fullLabel", "si", "dsi", "quadrant"]
+
+
+@query(
+    "snk3_flatten_kano",
+    _POINTS.format(segment="0 AS segment")
+    + """ SELECT 'home ' || home AS figure_id, topic::INT AS pos, topic::VARCHAR AS num, 'topic ' || topic AS "fullLabel", si, dsi, quadrant FROM points""",
+)
+def snk3_kano(spark: SparkSession, sf: str) -> DataFrame:
+    points = _kano_points(spark, sf, ["topic"]).withColumn("type", F.lit("scatter-kano"))
+    return writers.flatten_figure(writers.nest_items(points, ["figure_id", "type"], _POINT), "scatter-kano")
+
+
+@query(
+    "snk3_flatten_kano_panels",
+    _POINTS.format(segment="segment")
+    + """ SELECT 'home ' || home AS figure_id, CASE segment WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS panel_pos, segment AS layer,
+          row_number() OVER (PARTITION BY home, segment ORDER BY topic)::INT AS pos, topic::VARCHAR AS num,
+          'topic ' || topic AS "fullLabel", si, dsi, quadrant FROM points""",
+)
+def snk3_kano_panels(spark: SparkSession, sf: str) -> DataFrame:
+    points = _kano_points(spark, sf, ["topic", "segment"]).withColumnRenamed("segment", "layer")
+    cells = points.withColumns({"type": F.lit("scatter-kano-panels"), "layer_ord": F.ascii("layer")})
+    nested = writers.nest_panels(cells, ["figure_id", "type"], "layer", "layer_ord", _POINT)
+    return writers.flatten_figure(nested, "scatter-kano-panels")

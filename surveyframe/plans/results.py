@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.functions.expressions import fixed, share
 from surveyframe.model import dimension
 from surveyframe.operators import audit, labels, ratings, tally
 from surveyframe.plans import views as v
@@ -137,6 +138,30 @@ def aud7_captions(spark: SparkSession, sf: str) -> DataFrame:
     return audit.caption_gaps(captions, cells, ["question_id"])
 
 
+@query(
+    "aud7_share_triples",
+    f"""WITH {v.SQL_RESULTS_LONG}, p AS (
+          SELECT *, floor(n / d * 10000 + 0.5) / 10000 + CASE WHEN question_id = 'urgent' AND n = 3 THEN 0.01 ELSE 0 END AS pct FROM results)
+        SELECT option_id, question_id, n, d, pct, 'share is count over base' AS broken FROM p WHERE NOT abs(pct - n / d) <= 6e-4""",
+)
+def aud7_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares stored to 4 places; one kind of row was published a point too high."""
+    wrong = (F.col("question_id") == "urgent") & (F.col("n") == 3)
+    stored = fixed(share("n", "d"), 4) + F.when(wrong, 0.01).otherwise(0.0)
+    published = v.results_long(spark, sf).withColumn("pct", stored)
+    return audit.check_consistency(published, audit.share_rules())
+
+
+@query(
+    "aud7_parts_of_base",
+    f"""WITH {v.SQL_ANSWERS}, a AS (SELECT question_id, count(*) AS n_parts, count(DISTINCT respondent_id) AS d FROM answers GROUP BY 1)
+        SELECT question_id, n_parts::BIGINT AS n_parts, d FROM a WHERE n_parts <> d""",
+)
+def aud7_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the multi-answer question has counts that do not add to its base."""
+    return audit.parts_gaps(tally.distribution(v.answers(spark, sf)))
+
+
 @query(
     "aud8_annotate_reliability",
     f"""WITH {v.SQL_SECTOR_CELLS}

@@ -31,6 +31,34 @@ def nest_items(
     )
 
 
+def nest_panels(
+    cells: DataFrame, figure: Sequence[str], panel: str, panel_ord: str, item: Sequence[str]
+) -> DataFrame:
+    """Figure records with an array of panels, each with its items in order.
+
+    For panels and items of declared lists: groups of respondents, and options
+    or topics.
+    """
+    items = cells.groupBy(*figure, panel, panel_ord).agg(
+        F.sort_array(F.collect_list(F.struct("ord", *item))).alias("items")
+    )
+    return items.groupBy(*figure).agg(F.sort_array(F.collect_list(F.struct(panel_ord, panel, "items"))).alias("panels"))
+
+
+def nest_segment_cells(crosstab: DataFrame, figure: Sequence[str]) -> DataFrame:
+    """Figure records of a crosstab: options in order, each a map of segment to its cell, and the segment bases."""
+    by_option = crosstab.groupBy(*figure, "ord", F.col("option_id").alias("label")).agg(
+        F.map_from_entries(F.collect_list(F.struct("segment", F.struct("n", "d", "pct")))).alias("byLayer"),
+        F.collect_list(F.struct("segment", "d")).alias("_bases"),
+    )
+    options = F.collect_list(F.struct("ord", "label", "byLayer"))
+    return by_option.groupBy(*figure).agg(
+        # Maps cannot be compared, so the order is given by the questionnaire position alone.
+        F.array_sort(options, lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("options"),
+        F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("_bases")))).alias("layerDenoms"),
+    )
+
+
 def write_catalogue(records: DataFrame, path: str, assign: str | None = None, field: str = "figures") -> None:
     """Figure records as JSON lines, or as script assignments when ``assign`` names a variable."""
     if assign is None:
