@@ -110,7 +110,7 @@ def number_index(claims: DataFrame, results: DataFrame, key: Sequence[str]) -> D
     """
     wanted = results.select(*key, "source", "filter", F.col("n").alias("src_n"), F.col("d").alias("src_d"))
     formula = F.concat(F.col("src_n").cast("string"), F.lit(" / "), F.col("src_d").cast("string"))
-    return claims.join(wanted, list(key), "left").withColumn("formula", formula)
+    return dimension_join(claims, settled(wanted, "index"), list(key)).withColumn("formula", formula)
 
 
 def source_audit(claims: DataFrame, results: DataFrame, questions: DataFrame) -> DataFrame:

@@ -83,15 +83,14 @@ def pool_writeins(answers: DataFrame, options: DataFrame, keep: bool = False, ot
 
 
 def split_multi(df: DataFrame, col: str, sep: str) -> DataFrame:
-    """One row per option chosen in a multi-answer cell.
+    """One row per option chosen in a multi-answer cell; the cell's column goes, ``option_id`` comes.
 
     Repeats inside a cell are removed before the rows are made, so no shuffle
     is needed when a person has one cell per question.
     """
-    parts = F.array_distinct(F.transform(F.split(F.col(col), sep), lambda x: F.trim(x)))
-    return (
-        df.withColumn("option_id", F.explode(F.filter(parts, lambda x: x != ""))).drop(*({col} - {"option_id"}))
-    )
+    parts = F.array_distinct(F.transform(F.split(F.col(col), rf"\Q{sep}\E"), lambda x: F.trim(x)))
+    others = [c for c in df.columns if c not in (col, "option_id")]
+    return df.select(*others, F.explode(F.filter(parts, lambda x: x != "")).alias("option_id"))
 
 
 def cap_violations(answers: DataFrame, questions: DataFrame) -> DataFrame:

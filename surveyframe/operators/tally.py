@@ -90,29 +90,29 @@ def crosstab(
     votes = ballots(answers, question, _singles(options)).join(
         respondents.select("respondent_id", "segment"), "respondent_id"
     )
-    cells = tally_ballots(votes, options, ["segment"])
-    return dense_grid(segments, options, cells).withColumn("question_id", F.lit(question))
+    counts = _counts(votes, len(options), ["segment"])
+    return _cells(_on_grid(counts, segments), options, ["segment", "segment_ord"]).withColumn(
+        "question_id", F.lit(question)
+    )
 
 
 def dense_grid(segments: Sequence[str], options: Sequence[str], cells: DataFrame) -> DataFrame:
     """All segments by all options; a missing cell counts 0 over its segment's base.
 
-    The grid comes from the two declared lists; the cells are aggregated once
-    more per segment, which also carries the base to cells that were missing.
+    The cells of a segment are brought into one row, which also carries the
+    base to the cells that were missing.
     """
-    spark = cells.sparkSession
-    wide = cells.groupBy("segment").agg(
+    counts = cells.groupBy("segment").agg(
         F.max("d").alias("d"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("option_id") == o, F.col("n"))), F.lit(0)).alias(f"n{i}")
-            for i, o in enumerate(options)
-        ],
-    )
-    names = spark.range(1).select(
-        F.posexplode(F.array(*[F.lit(s) for s in segments])).alias("segment_ord", "segment")
+        *[F.sum(F.when(F.col("option_id") == o, F.col("n"))).alias(f"n{i}") for i, o in enumerate(options)],
     )
-    grid = names.join(wide, "segment", "left").fillna(0, ["d", *[f"n{i}" for i in range(len(options))]])
-    return _cells(grid.withColumn("segment_ord", F.col("segment_ord") + 1), options, ["segment", "segment_ord"])
+    return _cells(_on_grid(counts, segments), options, ["segment", "segment_ord"])
+
+
+def _on_grid(counts: DataFrame, segments: Sequence[str]) -> DataFrame:
+    """A row for each declared segment, counts missing from it being 0."""
+    names = F.array(*[F.struct(F.lit(i + 1).alias("segment_ord"), F.lit(s).alias("segment")) for i, s in enumerate(segments)])
+    return counts.sparkSession.range(1).select(F.inline(names)).join(counts, "segment", "left").fillna(0)
 
 
 def distribution_with_total(votes: DataFrame, options: Sequence[str], by: str = "segment") -> DataFrame:

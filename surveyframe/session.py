@@ -26,6 +26,7 @@ def local_session(cores: str = "8", memory: str = "16g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("surveyframe")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyframe.model import RESULT_SCHEMA
 
 
-def read_responses(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Cleaned response table from CSV, with its declared schema."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+def read_responses(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """Cleaned response table from CSV, with its declared schema; a header that differs is an error.
 
+    ``multiline`` allows line breaks inside quoted answers, and then reads each
+    file in one task, so split such exports into many files.
+    """
+    return _csv(spark, schema, multiline).option("enforceSchema", False).csv(path)
+
+
+def _csv(spark: SparkSession, schema: T.StructType, multiline: bool) -> DataFrameReader:
+    return spark.read.schema(schema).option("header", True).option("multiLine", multiline)
 
-def read_results(spark: SparkSession, glob: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
+
+def read_results(
+    spark: SparkSession, glob: str, schema: T.StructType = RESULT_SCHEMA, multiline: bool = False
+) -> DataFrame:
     """Every aggregate CSV under a glob, with the name of the table folder it came from."""
-    rows = spark.read.schema(schema).option("header", True).csv(glob)
+    rows = _csv(spark, schema, multiline).csv(glob)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("table_name"), "*")
 
 

@@ -115,3 +115,13 @@ def test_labels_fall_back_to_the_key(spark):
     df = spark.createDataFrame([("never",), ("done",)], "segment string")
     names = spark.createDataFrame([("never", "The Curious")], "key string, label string")
     assert rows(labels.with_label(df, names, "segment"), "segment", "label") == {("never", "The Curious"), ("done", "done")}
+
+
+def test_answers_with_line_breaks(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('id,answer\n1,"first\nsecond"\n2,"a ""b"""\n', encoding="utf-8")
+    schema = T.StructType.fromDDL("id int, answer string")
+    got = readers.read_responses(spark, str(tmp_path / "r.csv"), schema, multiline=True)
+    assert [r.id for r in got.orderBy("id").collect()] == [1, 2]
+    assert got.filter("id = 1").first().answer == "first\nsecond"
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_responses(spark, str(tmp_path / "r.csv"), T.StructType.fromDDL("id int, other string")).collect()

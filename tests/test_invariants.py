@@ -1,11 +1,12 @@
 """Random small surveys against plain Python counts."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from surveyframe.operators import segments, shift, tally
+from surveyframe.operators import clean, segments, shift, tally
 from tests.conftest import rows
 
 OPTIONS = ["a", "b", "c", "d"]
@@ -95,3 +96,54 @@ def test_more_options_than_bits_in_one_number(spark):
     assert rows(tally.multi_distribution(answers, "q", options), "option_id", "n", "d") == want
     halves = tally.net_reach(answers.filter("respondent_id < 3"), "q", {"all": options, "none": ["x"]})
     assert rows(halves, "group_id", "n", "d") == {("all", 3, 3), ("none", 0, 3)}
+
+
+def test_cells_are_split_at_the_literal_separator(spark):
+    cells = spark.createDataFrame([(1, "a | b|a||"), (2, ""), (3, None), (4, "c.d")], "respondent_id int, cell string")
+    want = {(1, "a"), (1, "b"), (4, "c.d")}
+    assert rows(clean.split_multi(cells, "cell", "|"), "respondent_id", "option_id") == want
+    renamed = clean.split_multi(cells.withColumnRenamed("cell", "option_id"), "option_id", "|")
+    assert rows(renamed, "respondent_id", "option_id") == want
+
+
+def test_writeins_are_pooled_or_kept_per_question(spark):
+    answers = spark.createDataFrame(
+        [(1, "q", "a"), (2, "q", "gardener"), (3, "q", "gardener"), (3, "r", "a")],
+        "respondent_id long, question_id string, option_id string",
+    )
+    options = spark.createDataFrame([("q", "a"), ("r", "b")], "question_id string, option_id string")
+    pooled = tally.distribution(clean.pool_writeins(answers, options))
+    assert rows(pooled, "question_id", "option_id", "n", "d") == {("q", "a", 1, 3), ("q", "Other", 2, 3), ("r", "Other", 1, 1)}
+    kept = tally.distribution(clean.pool_writeins(answers, options, keep=True))
+    assert rows(kept, "question_id", "option_id", "n") == {("q", "a", 1), ("q", "gardener", 2), ("r", "a", 1)}
+
+
+def test_collapsed_options_count_a_person_once(spark):
+    answers = spark.createDataFrame(
+        [(1, "q", "keelung"), (1, "q", "hsinchu"), (2, "q", "taipei")], "respondent_id long, question_id string, option_id string"
+    )
+    mapping = spark.createDataFrame([("keelung", "other north"), ("hsinchu", "other north")], "option_id string, group_id string")
+    assert rows(tally.distribution(clean.collapse(answers, mapping)), "option_id", "n", "d") == {("other north", 1, 2), ("taipei", 1, 2)}
+
+
+def test_depth_ignores_the_escape_option(spark):
+    answers = spark.createDataFrame(
+        [(1, "follow"), (1, "start"), (2, "none fits"), (3, "none fits"), (3, "follow")], "respondent_id long, option_id string"
+    )
+    options = spark.createDataFrame(
+        [("follow", 1, False), ("start", 5, False), ("none fits", 6, True)], "option_id string, ord int, is_escape boolean"
+    )
+    depths = segments.depth_index(answers, options)
+    assert rows(depths, "respondent_id", "depth") == {(1, 5), (2, None), (3, 1)}
+    people = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s")], "respondent_id long, segment string")
+    assert rows(segments.mean_depth(depths, people), "d", "answered", "mean_depth") == {(2, 3, 3.0)}
+
+
+def test_recency_limits(spark):
+    people = spark.createDataFrame([(i,) for i in range(6)], "respondent_id long")
+    days = [(1, "2026-06-30"), (2, "2026-06-29"), (3, "2026-01-30"), (4, "2025-07-29"), (5, "2026-08-01")]
+    contacts = spark.createDataFrame(days, "respondent_id long, day string")
+    banded = segments.recency_band(people, contacts, "day", dt.date(2026, 7, 30))
+    assert rows(banded, "respondent_id", "recency") == {
+        (0, "never"), (1, "within 1 month"), (2, "1 to 6 months"), (3, "1 to 6 months"), (4, "over 12 months"), (5, "never"),
+    }
