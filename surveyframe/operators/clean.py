@@ -93,6 +93,44 @@ def split_multi(df: DataFrame, col: str, sep: str) -> DataFrame:
     return df.select(*others, F.explode(F.filter(parts, lambda x: x != "")).alias("option_id"))
 
 
+def long_answers(
+    responses: DataFrame,
+    respondent: str,
+    single: Sequence[str] = (),
+    multi: Sequence[str] = (),
+    ratings: Sequence[str] = (),
+    texts: Sequence[str] = (),
+    sep: str = ";",
+) -> DataFrame:
+    """Wide responses, one row each, as the long answer table; column names become question ids.
+
+    An empty cell is no answer. Nothing is shuffled: every response becomes its
+    own answer rows.
+    """
+
+    def answer(question: str, option: Column | None = None, value: Column | None = None, text: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(question).alias("question_id"),
+            (F.lit(None) if option is None else option).cast("string").alias("option_id"),
+            (F.lit(None) if value is None else value).cast("int").alias("value"),
+            (F.lit(None) if text is None else text).cast("string").alias("text"),
+        )
+
+    def options(question: str) -> Column:
+        parts = F.transform(F.split(F.col(question), rf"\Q{sep}\E"), lambda x: F.trim(x))
+        chosen = F.filter(F.array_distinct(parts), lambda x: x != "")
+        return F.coalesce(F.transform(chosen, lambda x: answer(question, option=x)), F.array())
+
+    one = F.array(
+        *[answer(q, option=F.col(q)) for q in single],
+        *[answer(q, value=F.col(q)) for q in ratings],
+        *[answer(q, text=F.col(q)) for q in texts],
+    )
+    rows = F.concat(one, *[options(q) for q in multi])
+    kept = F.filter(rows, lambda a: F.trim(F.coalesce(a["option_id"], a["value"].cast("string"), a["text"])) != "")
+    return responses.select(F.col(respondent).alias("respondent_id"), F.inline(kept))
+
+
 def cap_violations(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """People who picked more options than a question allows; nothing is dropped.
 

@@ -133,3 +133,25 @@ def cln6(spark: SparkSession, sf: str) -> DataFrame:
 def cln7(spark: SparkSession, sf: str) -> DataFrame:
     caps = dimension(spark, question_id=["priority", "sector", "home"], max_choices=[3, 1, 1])
     return clean.cap_violations(v.answers(spark, sf), caps)
+
+
+@query(
+    "cln6_long_answers",
+    """WITH w AS (SELECT *, CASE WHEN o_totalprice >= 1000 THEN least(5, ceil(o_totalprice / 100000))::INT END AS score FROM orders),
+            a AS (SELECT o_orderkey AS r, 'o_orderstatus' AS question_id, o_orderstatus AS option_id, NULL::INT AS value FROM w
+                  UNION ALL SELECT o_orderkey, 'tags', unnest([o_orderpriority, o_orderstatus]), NULL FROM w
+                  UNION ALL SELECT o_orderkey, 'score', NULL, score FROM w WHERE score IS NOT NULL)
+       SELECT question_id, option_id, value, count(*) AS n, count(DISTINCT r) AS people FROM a GROUP BY 1, 2, 3""",
+)
+def cln6_long(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    wide = v.table(spark, sf, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.concat_ws(";", "o_orderpriority", "o_orderstatus", "o_orderpriority").alias("tags"),
+        F.when(price >= 1000, F.least(F.lit(5), F.ceil(price / 100000))).alias("score"),
+    )
+    answers = clean.long_answers(wide, "o_orderkey", single=["o_orderstatus"], multi=["tags"], ratings=["score"])
+    return answers.groupBy("question_id", "option_id", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("respondent_id").alias("people")
+    )

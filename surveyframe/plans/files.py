@@ -238,3 +238,18 @@ def snk3_kano_panels(spark: SparkSession, sf: str) -> DataFrame:
     cells = points.withColumns({"type": F.lit("scatter-kano-panels"), "layer_ord": F.ascii("layer")})
     nested = writers.nest_panels(cells, ["figure_id", "type"], "layer", "layer_ord", _POINT)
     return writers.flatten_figure(nested, "scatter-kano-panels")
+
+
+@query(
+    "snk1_write_answers",
+    f"""WITH {v.SQL_ANSWERS}
+        SELECT 'sector' AS question_id, option_id, row_number() OVER (ORDER BY option_id)::INT AS ord, count(*) AS n,
+               sum(count(*)) OVER ()::BIGINT AS d, count(*) / sum(count(*)) OVER () AS pct
+        FROM answers WHERE question_id = 'sector' GROUP BY option_id""",
+)
+def snk1_answers(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "answers")
+    answers = v.answers(spark, sf)
+    writers.write_answers(answers, path)
+    back = spark.read.schema(answers.schema).parquet(path)
+    return tally.multi_distribution(back, "sector", v.SECTORS)

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.functions.expressions import share
 from surveyframe.model import dimension
 from surveyframe.operators import segments
 from surveyframe.plans import views as v

@@ -12,6 +12,15 @@ from surveyframe.operators.audit import annotate_reliability
 ITEMS_PER_RECORD = 1_000
 
 
+def write_answers(answers: DataFrame, path: str) -> None:
+    """The long answer table in one folder per question, so that counting a question reads only its folder.
+
+    Rebalancing brings a question's rows together for the write, and splits a
+    question with very many rows over several tasks and files.
+    """
+    answers.hint("rebalance", F.col("question_id")).write.partitionBy("question_id").parquet(path)
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """One result table as CSV with its reliability, decision use and reading note."""
     annotate_reliability(df).write.option("header", True).csv(path)

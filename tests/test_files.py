@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyframe.model import CATALOGUE_SCHEMA, FIGURE_TYPES
-from surveyframe.operators import audit, labels
+from surveyframe.operators import audit, labels, tally
+from surveyframe.session import scratch_path
 from surveyframe.sources import readers, writers
 from tests.conftest import rows
 
@@ -125,3 +126,26 @@ def test_answers_with_line_breaks(spark, tmp_path):
     assert got.filter("id = 1").first().answer == "first\nsecond"
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_responses(spark, str(tmp_path / "r.csv"), T.StructType.fromDDL("id int, other string")).collect()
+
+
+def test_answers_are_stored_by_question_and_pruned(spark, tmp_path):
+    answers = spark.range(1000).select(
+        F.col("id").alias("respondent_id"), F.concat(F.lit("q"), F.col("id") % 3).alias("question_id"), F.lit("a").alias("option_id")
+    )
+    writers.write_answers(answers, str(tmp_path / "a"))
+    back = spark.read.schema(answers.schema).parquet(str(tmp_path / "a"))
+    cells = tally.multi_distribution(back, "q0", ["a"])
+    assert rows(cells, "n", "d") == {(334, 334)}
+    assert "PartitionFilters: [isnotnull(question_id" in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_folder_comes_from_the_session():
+    class Session:
+        def __init__(self, folder, master):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert scratch_path(Session("hdfs://shared/x/", "yarn"), "t").startswith("hdfs://shared/x/surveyframe/t-")
+    assert scratch_path(Session(None, "local[2]"), "t").startswith("/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session(None, "yarn"), "t")

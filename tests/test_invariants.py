@@ -147,3 +147,19 @@ def test_recency_limits(spark):
     assert rows(banded, "respondent_id", "recency") == {
         (0, "never"), (1, "within 1 month"), (2, "1 to 6 months"), (3, "1 to 6 months"), (4, "over 12 months"), (5, "never"),
     }
+
+
+def test_wide_responses_become_long_answers(spark):
+    wide = spark.createDataFrame(
+        [(1, "x", "a; b;a", 4, "some text"), (2, None, "", None, "  "), (3, "", None, 1, None)],
+        "id long, job string, roles string, trouble int, story string",
+    )
+    long = clean.long_answers(wide, "id", single=["job"], multi=["roles"], ratings=["trouble"], texts=["story"])
+    assert rows(long, "respondent_id", "question_id", "option_id", "value", "text") == {
+        (1, "job", "x", None, None),
+        (1, "roles", "a", None, None),
+        (1, "roles", "b", None, None),
+        (1, "trouble", None, 4, None),
+        (1, "story", None, None, "some text"),
+        (3, "trouble", None, 1, None),
+    }
