@@ -132,15 +132,16 @@ def snk3_ratings(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "snk3_flatten_segments",
     f"""WITH {v.SQL_LAYER}, {v.SQL_SEGMENTS}, {v.SQL_SECTORS}, b AS (SELECT home, segment, count(*) AS d FROM layer GROUP BY 1, 2)
-        SELECT 'home ' || l.home AS figure_id, ord AS pos, sector AS label, segment_ord, l.segment, count(*) AS n, d, count(*) / d AS pct
-        FROM layer l JOIN opts ON option_id = sector JOIN segs ON segs.segment = l.segment
-        JOIN b ON b.home = l.home AND b.segment = l.segment GROUP BY l.home, ord, sector, segment_ord, l.segment, d""",
+        SELECT 'home ' || b.home AS figure_id, ord AS pos, option_id AS label, segment_ord, b.segment,
+               count(l.respondent_id) AS n, any_value(d) AS d, count(l.respondent_id) / any_value(d) AS pct
+        FROM b JOIN segs ON segs.segment = b.segment CROSS JOIN opts
+        LEFT JOIN layer l ON l.home = b.home AND l.segment = b.segment AND l.sector = option_id GROUP BY 1, 2, 3, 4, 5""",
 )
 def snk3_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Sectors by segment, one figure per nation; a segment without customers there has no cell."""
+    """Sectors by segment, one figure per nation; a segment nobody there belongs to has no cells."""
     votes = tally.ballots(v.answers(spark, sf), "sector", {s: [s] for s in v.SECTORS})
     people = v.respondents(spark, sf).select("respondent_id", "home", "segment")
-    cells = tally.tally_ballots(votes.join(people, "respondent_id"), v.SECTORS, ["home", "segment"]).filter("n > 0")
+    cells = tally.tally_ballots(votes.join(people, "respondent_id"), v.SECTORS, ["home", "segment"])
     named = cells.select(
         F.concat(F.lit("home "), "home").alias("figure_id"),
         F.lit("grouped-hbar-layers").alias("type"),
