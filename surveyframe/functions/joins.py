@@ -52,7 +52,9 @@ def salted_join(
     on = list(on)
     hot = F.broadcast(hot_keys(fact, on))
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    # Maps have no hash.
+    hashed = [f.name for f in fact.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     left = fact.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)
     )

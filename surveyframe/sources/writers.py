@@ -73,14 +73,8 @@ def write_catalogue(records: DataFrame, path: str, assign: str | None = None, fi
     if assign is None:
         records.write.json(path)
         return
-    record = F.to_json(F.struct(*records.columns))
-    key = F.to_json(F.struct(F.col("figure_id").alias("k")))
-    # The quoted figure id is what stands between '{"k":' and '}'.
-    quoted = F.expr("substring(_key, 6, length(_key) - 6)")
-    lines = records.select(record.alias("_record"), key.alias("_key")).select(
-        F.concat(F.lit(f'{assign} = {{"{field}":{{'), quoted, F.lit(":"), F.col("_record"), F.lit("}};")).alias("value")
-    )
-    lines.write.text(path)
+    figure = F.to_json(F.create_map(F.col("figure_id"), F.struct(*records.columns)))
+    records.select(F.concat(F.lit(f'{assign} = {{"{field}":'), figure, F.lit("};")).alias("value")).write.text(path)
 
 
 def flatten_figure(figures: DataFrame, kind: str, order: Sequence[str] = ()) -> DataFrame:
