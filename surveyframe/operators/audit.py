@@ -11,10 +11,12 @@ from surveyframe.functions.expressions import share
 from surveyframe.functions.joins import dimension_join
 from surveyframe.session import settled
 
+# A number is tried from its first digit only and never given back in part, so
+# long runs of digits are read once.
+NUMBER = r"(?<![0-9])[0-9]++(?:\.[0-9]++)?"
+PERCENT = NUMBER + "%"
 # "38% (18/47)", also with full-width brackets and loose spacing.
-CLAIM = r"([0-9]+(?:\.[0-9]+)?)\s*%\s*[(（]\s*([0-9]+)\s*/\s*([0-9]+)\s*[)）]"
-NUMBER = r"[0-9]+(?:\.[0-9]+)?"
-PERCENT = r"[0-9]+(?:\.[0-9]+)?%"
+CLAIM = rf"({NUMBER})\s*+%\s*+[(（]\s*+([0-9]++)\s*+/\s*+([0-9]++)\s*+[)）]"
 # Base sizes from which a row is graded, with use and note.
 GRADES = (
     (100, "high", "usable", "Stable for this sample"),

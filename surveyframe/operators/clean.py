@@ -38,22 +38,26 @@ def redact_identifiers(df: DataFrame, drop: Sequence[str] = (), text: Sequence[s
     return masked.withColumns({c: mask(F.col(c), "(", PHONE, "[phone]") for c in text})
 
 
-def base_of(answers: DataFrame, asked: DataFrame) -> DataFrame:
-    """Per question: people it was put to, and those of them who answered.
+def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) -> DataFrame:
+    """Per question: how many people it was put to, and how many of them answered.
 
-    ``asked`` holds (question_id, respondent_id). One row per person and
-    question is formed by partial aggregation before any join, so a person
-    with very many answer rows weighs no more than another.
+    ``questions`` holds (question_id, segment), a row for each segment a
+    question was put to. One row per person and question is formed by partial
+    aggregation before any join, so a person with very many answer rows weighs
+    no more than another; people and questions are never paired off.
     """
-    keys = ["question_id", "respondent_id"]
-    answered = answers.select(*keys).distinct().withColumn("answered", F.lit(True))
-    return (
-        asked.select(*keys)
-        .distinct()
-        .join(answered, keys, "left")
+    put_to = questions.select("question_id", "segment").distinct()
+    sizes = respondents.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    asked = put_to.join(sizes, "segment").groupBy("question_id").agg(F.sum("n").alias("asked"))
+    answered = (
+        answers.select("question_id", "respondent_id").distinct().join(respondents.select("respondent_id", "segment"), "respondent_id")
+    )
+    counted = (
+        dimension_join(answered, put_to, ["question_id", "segment"], "left_semi")
         .groupBy("question_id")
-        .agg(F.count(F.lit(1)).alias("asked"), F.count("answered").alias("d"))
+        .agg(F.count(F.lit(1)).alias("d"))
     )
+    return asked.join(counted, "question_id", "left").fillna(0, ["d"])
 
 
 def collapse(answers: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -66,6 +66,7 @@ def distribution(answers: DataFrame) -> DataFrame:
     verbatim. Counting distinct people spreads a popular option over tasks by
     respondent; the bases are joined to already aggregated cells.
     """
+    answers = answers.filter(F.col("option_id").isNotNull())
     cells = answers.groupBy("question_id", "option_id").agg(F.count_distinct("respondent_id").alias("n"))
     bases = answers.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("d"))
     return cells.join(bases, "question_id").withColumn("pct", share("n", "d"))

@@ -51,16 +51,19 @@ def cln2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_PUT_TO = [("sector", "never"), ("sector", "aware"), ("sector", "done"), ("home", "done"), ("priority", "aware"), ("priority", "done")]
+
+
 @query(
     "cln3_question_base",
-    f"""WITH {v.SQL_LAYER}, {v.SQL_PICKS}
-        SELECT 'priority' AS question_id, count(*) AS asked, count(p.respondent_id) AS d
-        FROM layer LEFT JOIN (SELECT DISTINCT respondent_id FROM picks) p USING (respondent_id)
-        WHERE segment <> 'never'""",
+    f"""WITH {v.SQL_LAYER}, {v.SQL_ANSWERS}, q(question_id, segment) AS (VALUES {", ".join(map(str, _PUT_TO))})
+        SELECT q.question_id, count(DISTINCT l.respondent_id) AS asked, count(DISTINCT a.respondent_id) AS d
+        FROM q JOIN layer l USING (segment)
+        LEFT JOIN answers a ON a.respondent_id = l.respondent_id AND a.question_id = q.question_id GROUP BY 1""",
 )
 def cln3(spark: SparkSession, sf: str) -> DataFrame:
-    asked = v.respondents(spark, sf).filter(F.col("segment") != "never").withColumn("question_id", F.lit("priority"))
-    return clean.base_of(v.answers_multi(spark, sf), asked)
+    questions = dimension(spark, question_id=[q for q, _ in _PUT_TO], segment=[s for _, s in _PUT_TO])
+    return clean.base_of(v.answers(spark, sf), v.respondents(spark, sf), questions)
 
 
 @query(

@@ -39,16 +39,18 @@ def test_crosstab_keeps_zero_cells_on_own_bases(spark):
 
 def test_base_is_those_who_answered(spark):
     answers, people = expand(spark, [("aware", 53, {"a": 31})])
-    asked = dimension(spark, respondent_id=list(range(54)), question_id=["q"] * 54)
-    assert rows(clean.base_of(answers, asked), "question_id", "asked", "d") == {("q", 54, 53)}
+    silent = spark.createDataFrame([(999, "aware"), (1000, "never")], "respondent_id long, segment string")
+    everyone = people.unionByName(silent)
+    put_to = dimension(spark, question_id=["q", "r"], segment=["aware", "never"])
+    assert rows(clean.base_of(answers, everyone, put_to), "question_id", "asked", "d") == {("q", 54, 53), ("r", 1, 0)}
     cells = tally.crosstab(answers, people, "q", ["a"], ["aware", "never"])
     assert rows(cells, "segment", "n", "d", "pct") == {("aware", 31, 53, 31 / 53), ("never", 0, 0, None)}
 
 
 def test_answers_of_people_never_asked_do_not_count(spark):
-    answers, _ = expand(spark, [("x", 10, {"a": 10})])
-    asked = dimension(spark, respondent_id=[1, 2, 99], question_id=["q"] * 3)
-    assert rows(clean.base_of(answers, asked), "asked", "d") == {(3, 2)}
+    answers, people = expand(spark, [("x", 10, {"a": 10}), ("y", 3, {"a": 3})])
+    put_to = dimension(spark, question_id=["q"], segment=["y"])
+    assert rows(clean.base_of(answers, people, put_to), "asked", "d") == {(3, 3)}
 
 
 def test_union_of_two_options_is_people_not_rows(spark):

@@ -61,7 +61,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 LOOKUPS = (
-    "cln4_collapse_options cln5_pool_writeins cln7_cap_violations seg2_rollup_layer idx1_depth_index joi2_with_label"
+    "cln3_question_base cln4_collapse_options cln5_pool_writeins cln7_cap_violations seg2_rollup_layer idx1_depth_index joi2_with_label"
     " joi4_translate joi5_match_claims joi6_missing_refs win4_rank_open_options aud3_number_index aud4_source_audit aud5_check_pages"
 ).split()
 

@@ -106,3 +106,9 @@ def test_redaction_of_whole_texts(spark):
         (2, f"{long_run} (no) [email][email]"),
         (3, None),
     }
+
+
+def test_long_runs_of_digits_and_spaces_are_read_once(spark):
+    run = "7" * 300_000 + " " * 300_000
+    claims = audit.extract_claims(report(spark, f"{run}x 5% (1/20) {run}% 1.2.38% (18/47)"))
+    assert rows(claims, "claim") == {("5% (1/20)",), ("2.38% (18/47)",)}
