@@ -17,6 +17,8 @@ NUMBER = r"(?<![0-9])[0-9]++(?:\.[0-9]++)?"
 PERCENT = NUMBER + "%"
 # "38% (18/47)", also with full-width brackets and loose spacing.
 CLAIM = rf"({NUMBER})\s*+%\s*+[(（]\s*+([0-9]++)\s*+/\s*+([0-9]++)\s*+[)）]"
+# "the Users: 54" inside a caption.
+STATED = r"([^,:;|]++):\s*+([0-9]++)"
 # Base sizes from which a row is graded, with use and note.
 GRADES = (
     (100, "high", "usable", "Stable for this sample"),
@@ -204,6 +206,17 @@ def segment_total_gaps(by_segment: DataFrame, total: DataFrame, key: Sequence[st
     )
 
 
+def stated_bases(captions: DataFrame, note: str = "note") -> DataFrame:
+    """The bases a caption names, one row per "label: number" in it."""
+    keys = [c for c in captions.columns if c != note]
+    pairs = captions.select(*keys, F.explode(F.regexp_extract_all(F.col(note), F.lit(STATED), F.lit(0))).alias("_pair"))
+    return pairs.select(
+        *keys,
+        F.trim(F.regexp_extract("_pair", STATED, 1)).alias("label"),
+        F.regexp_extract("_pair", STATED, 2).try_cast("bigint").alias("stated_d"),
+    )
+
+
 def caption_gaps(captions: DataFrame, cells: DataFrame, key: Sequence[str]) -> DataFrame:
     """Stated bases that differ from the base in the data. ``captions`` holds the key and ``stated_d``."""
     bases = cells.groupBy(*key).agg(F.max("d").alias("d"))

@@ -144,3 +144,14 @@ def cap_violations(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return dimension_join(picks, questions.select("question_id", "max_choices"), ["question_id"], "inner").filter(
         F.col("n_picks") > F.col("max_choices")
     )
+
+
+def cap_breaches(cells: DataFrame, questions: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Published tables with more picks than their base allows, found without the answers.
+
+    ``cells`` are the option rows of each ``key``, ``questions`` as above.
+    """
+    picks = cells.groupBy(*key).agg(F.sum("n").alias("n_picks"), F.max("d").alias("d"))
+    return dimension_join(picks, questions.select("question_id", "max_choices"), ["question_id"], "inner").filter(
+        F.col("n_picks") > F.col("max_choices") * F.col("d")
+    )

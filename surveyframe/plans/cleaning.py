@@ -158,3 +158,24 @@ def cln6_long(spark: SparkSession, sf: str) -> DataFrame:
     return answers.groupBy("question_id", "option_id", "value").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("respondent_id").alias("people")
     )
+
+
+@query(
+    "cln7_cap_breaches",
+    f"""WITH {v.SQL_LAYER}, {v.SQL_ANSWERS}
+        SELECT question_id, l.home, segment, count(*) AS n_picks, count(DISTINCT respondent_id) AS d, 2::BIGINT AS max_choices
+        FROM answers JOIN layer l USING (respondent_id) WHERE question_id <> 'home'
+        GROUP BY ALL HAVING count(*) > 2 * count(DISTINCT respondent_id)""",
+)
+def cln7_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    """Result tables per nation and segment held against a cap of 2; the single-answer question cannot breach it."""
+    answers = v.answers(spark, sf)
+    people = v.respondents(spark, sf).select("respondent_id", "home", "segment")
+
+    def cells(question: str, options: tuple[str, ...]) -> DataFrame:
+        votes = tally.ballots(answers, question, {o: [o] for o in options})
+        return tally.tally_ballots(votes.join(people, "respondent_id"), options, ["home", "segment"])
+
+    stacked = tally.stack({"priority": cells("priority", v.PRIORITIES), "sector": cells("sector", v.SECTORS)})
+    caps = dimension(spark, question_id=["priority", "sector"], max_choices=[2, 2])
+    return clean.cap_breaches(stacked, caps, ["question_id", "home", "segment"])

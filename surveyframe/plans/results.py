@@ -127,15 +127,18 @@ def aud7_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "aud7_caption_bases",
-    """SELECT c_nationkey AS question_id, count(*) AS stated_d, count(*) FILTER (WHERE c_acctbal > 0) AS d
-       FROM customer GROUP BY 1 HAVING count(*) <> count(*) FILTER (WHERE c_acctbal > 0)""",
+    f"""WITH {v.SQL_LAYER}
+        SELECT home AS question_id, segment AS label, count(*) AS stated_d, nullif(count(*) FILTER (WHERE balance > 0), 0) AS d
+        FROM layer GROUP BY 1, 2 HAVING count(*) <> count(*) FILTER (WHERE balance > 0)""",
 )
 def aud7_captions(spark: SparkSession, sf: str) -> DataFrame:
-    """Captions state the size of a nation, the data only hold customers with a positive balance."""
-    people = v.customers(spark, sf).withColumnRenamed("home", "question_id")
-    captions = people.groupBy("question_id").agg(F.count(F.lit(1)).alias("stated_d"))
-    cells = people.filter(F.col("balance") > 0).groupBy("question_id").agg(F.count(F.lit(1)).alias("d"))
-    return audit.caption_gaps(captions, cells, ["question_id"])
+    """Captions name the size of each segment in a nation, the data only hold people with a positive balance."""
+    people = v.respondents(spark, sf).select(F.col("home").alias("question_id"), F.col("segment").alias("label"), "balance")
+    sizes = people.groupBy("question_id").agg(*[F.count_if(F.col("label") == s).alias(s) for s in v.SEGMENTS])
+    named = [F.when(F.col(s) > 0, F.concat(F.lit(f"{s}: "), F.col(s).cast("string"))) for s in v.SEGMENTS]
+    captions = sizes.select("question_id", F.concat_ws(", ", *named).alias("note"))
+    cells = people.filter(F.col("balance") > 0).groupBy("question_id", "label").agg(F.count(F.lit(1)).alias("d"))
+    return audit.caption_gaps(audit.stated_bases(captions), cells, ["question_id", "label"])
 
 
 @query(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions import expressions as fx
 from surveyframe.model import dimension
-from surveyframe.operators import clean, kano, order, ratings, segments, tally
+from surveyframe.operators import audit, clean, kano, order, ratings, segments, tally
 from tests.conftest import rows
 
 
@@ -178,6 +178,46 @@ def test_cap_breach_is_reported_and_kept(spark):
     assert rows(tally.multi_distribution(answers, "q", ["a", "b", "c"]), "option_id", "n") == {("a", 26), ("b", 26), ("c", 1)}
 
 
+def test_breaches_show_in_published_tables(spark):
+    events = [("never", n, 26) for n in (12, 14, 18, 9, 0)] + [("aware", n, 54) for n in (32, 28, 27, 16, 0)]
+    cells = spark.createDataFrame(events, "segment string, n long, d long").withColumn("question_id", F.lit("events"))
+    caps = dimension(spark, question_id=["events"], max_choices=[2])
+    broken = clean.cap_breaches(cells, caps, ["question_id", "segment"])
+    assert rows(broken, "segment", "n_picks", "d") == {("never", 53, 26)}
+
+
+def test_rows_adding_to_more_than_the_base(spark):
+    region = [("region", n, 127) for n in (41, 39, 11, 9, 7, 6, 5, 4, 3, 2, 2)] + [("gender", n, 127) for n in (64, 52, 11)]
+    cells = spark.createDataFrame(region, "question_id string, n long, d long")
+    assert rows(audit.parts_gaps(cells), "question_id", "n_parts", "d") == {("region", 129, 127)}
+
+
+def test_caption_base_that_is_not_the_data_base(spark):
+    notes = dimension(spark, question_id=["tools", "domains"], note=["The Curious: 26, the Users: 54, the Builders: 47"] * 2)
+    data = [("The Curious", 26), ("the Users", 53), ("the Builders", 47)]
+    cells = spark.createDataFrame(
+        [("tools", s, d) for s, d in data] + [("domains", s, d + (d == 53)) for s, d in data],
+        "question_id string, label string, d long",
+    )
+    wrong = audit.caption_gaps(audit.stated_bases(notes), cells, ["question_id", "label"])
+    assert rows(wrong, "question_id", "label", "stated_d", "d") == {("tools", "the Users", 54, 53)}
+
+
+def test_published_triples(spark):
+    triples = [("both cities", 79, 127, 0.622), ("men", 64, 127, 0.5039), ("typo", 52, 127, 0.4194), ("over", 5, 4, 1.25)]
+    df = spark.createDataFrame(triples, "label string, n long, d long, pct double")
+    assert rows(audit.check_consistency(df, audit.share_rules()), "label", "broken") == {
+        ("typo", "share is count over base"),
+        ("over", "count within base"),
+    }
+
+
+def test_segments_against_the_total(spark):
+    cells = spark.createDataFrame([("a", "x", 1, 10), ("a", "y", 2, 19), ("b", "x", 3, 10), ("b", "y", 3, 19)], "o string, s string, n long, d long")
+    total = spark.createDataFrame([("a", 3, 29), ("b", 7, 29), ("c", 1, 29)], "o string, n long, d long")
+    assert rows(audit.segment_total_gaps(cells, total, ["o"]), "o", "n", "n_segments") == {("b", 7, 6), ("c", 1, None)}
+
+
 def test_printed_shares(spark):
     df = spark.createDataFrame([(18, 47), (1, 8), (1, 200), (0, 26), (7, 7)], "n long, d long")
     p = fx.share("n", "d")

@@ -16,10 +16,18 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def nothing_is_small(spark):
+    """Plan as if no table could be broadcast by its estimated size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", list(entry_points.queries()))
-def test_no_cross_join_python_step_or_unpartitioned_window(spark, sf, name):
+def test_no_cross_join_python_step_or_unpartitioned_window(spark, sf, nothing_is_small, name):
     plan = plan_of(entry_points.queries()[name](spark, sf))
-    for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
+    for step in ("CartesianProduct", "NestedLoop", "Python", "MapInPandas"):
         assert step not in plan
     for spec in re.findall(r"Window \[.*?\], \[(.*?)\]", plan):
         assert spec, "window without a partition"
@@ -31,6 +39,11 @@ def test_scans_read_only_what_is_needed(spark, sf):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderpriority:string>" in plan
     boxed = plan_of(entry_points.queries()["agg7_top_box"](spark, sf))
     assert "ReadSchema: struct<l_linenumber:int,l_quantity:double>" in boxed
+    valid = entry_points.queries()["cln1_valid_sample"](spark, sf)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    pushed = re.search(r"PushedFilters: \[(.*)\]", valid).group(1)
+    assert "LessThan(o_orderdate,2000-07-20T00:00)" in pushed and "GreaterThanOrEqual(o_totalprice,1000.0)" in pushed
 
 
 def test_ballots_need_one_shuffle_of_the_answers(spark, sf):
@@ -40,17 +53,13 @@ def test_ballots_need_one_shuffle_of_the_answers(spark, sf):
     assert exchanges == ["SinglePartition", "hashpartitioning"]
 
 
-def test_crosstab_joins_respondents_without_shuffling_answers_again(spark):
+def test_crosstab_joins_respondents_without_shuffling_answers_again(spark, nothing_is_small):
     answers = spark.range(1000).select(
         F.col("id").alias("respondent_id"), F.lit("q").alias("question_id"), F.lit("a").alias("option_id")
     )
     people = spark.range(1000).select(F.col("id").alias("respondent_id"), F.lit("s").alias("segment"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        votes = tally.ballots(answers, "q", {"a": ["a"]})
-        plan = plan_of(votes.join(people, "respondent_id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    votes = tally.ballots(answers, "q", {"a": ["a"]})
+    plan = plan_of(votes.join(people, "respondent_id"))
     assert len(re.findall(r"Exchange hashpartitioning\(respondent_id", plan)) == 2
 
 
