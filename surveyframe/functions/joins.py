@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyframe.session import settled
 
@@ -17,17 +18,20 @@ MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1_000
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's value, without the row's own overhead."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(field.name)))
+    return F.lit(8)
+
+
 def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure a dimension; reads at most ``max_rows + 1`` of its rows."""
-    size = (
-        dim.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
-    return size["n"] <= max_rows and size["b"] <= max_bytes
+    """Measure a dimension by one count over all its rows, done where they are."""
+    width = reduce(Column.__add__, [_width(f) for f in dim.schema])
+    size = dim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def hot_keys(fact: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:

@@ -49,11 +49,10 @@ def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) ->
     put_to = questions.select("question_id", "segment").distinct()
     sizes = respondents.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     asked = put_to.join(sizes, "segment").groupBy("question_id").agg(F.sum("n").alias("asked"))
-    answered = (
-        answers.select("question_id", "respondent_id").distinct().join(respondents.select("respondent_id", "segment"), "respondent_id")
-    )
+    answered = answers.select("question_id", "respondent_id").distinct()
+    placed = answered.join(respondents.select("respondent_id", "segment"), "respondent_id")
     counted = (
-        dimension_join(answered, put_to, ["question_id", "segment"], "left_semi")
+        dimension_join(placed, put_to, ["question_id", "segment"], "left_semi")
         .groupBy("question_id")
         .agg(F.count(F.lit(1)).alias("d"))
     )

@@ -99,6 +99,8 @@ def test_size_check_counts_rows_and_bytes(spark):
     assert not joins.fits_broadcast(dim, max_rows=99)
     assert not joins.fits_broadcast(dim.withColumn("t", F.repeat(F.lit("x"), 1000)), max_bytes=50_000)
     assert joins.fits_broadcast(dim.limit(0))
+    nested = dim.select(F.array(F.repeat(F.lit("x"), 1000)).alias("a"), F.lit(None).cast("string").alias("s"))
+    assert joins.fits_broadcast(nested) and not joins.fits_broadcast(nested, max_bytes=50_000)
 
 
 def test_one_respondent_with_a_third_of_all_rows(spark):
