@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join
+from surveyframe.llm.suffix import repeated_bytes
 from surveyframe.plans.registry import query
 
 
 @query("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(read(spark, sf_dir, "documents"), length=400)
