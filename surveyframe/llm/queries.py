@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join
+from surveyframe.llm.packing import pack
 from surveyframe.llm.suffix import repeated_bytes
+from surveyframe.llm.token_counts import count_tokens
 from surveyframe.plans.registry import query
 
 
@@ -18,3 +22,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(read(spark, sf_dir, "documents"), length=400)
+
+
+@query("op9_harmonic_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def some_edits(n: int) -> Column:
+    """n edits of a row's text, by a rule: places by the hash of its id, what is put in from elsewhere in the text."""
+    size = F.length("text")
+    pick = lambda k, m: F.pmod(F.xxhash64("doc_id", F.lit(k)), m)
+    return F.array(
+        *(
+            F.struct(
+                pick(3 * k, size + 1).alias("at"),
+                pick(3 * k + 1, F.lit(60)).alias("remove"),
+                F.substring("text", pick(3 * k + 2, size + 1).cast("int"), F.lit(80)).alias("insert"),
+            )
+            for k in range(n)
+        )
+    )
+
+
+@query("op10_edit_aware_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(read(spark, sf_dir, "documents"), some_edits(3), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.drop("text")
