@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join
+from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
 from surveyframe.llm.suffix import repeated_bytes
 from surveyframe.llm.token_counts import count_tokens
+from surveyframe.llm.warc import archive_round_trip
 from surveyframe.plans.registry import query
 
 
@@ -49,3 +51,35 @@ def some_edits(n: int) -> Column:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(read(spark, sf_dir, "documents"), some_edits(3), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.drop("text")
+
+
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+f as (select hex, min(page_id) as first_id from p group by hex),
+parts as (select p.*, f.first_id, [cast('0x' || substr(p.hex, 1 + 10 * i, 10) as bigint) for i in range(4)] as v from p join f using (hex))
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31 as integer) + 1, 1) for k in range(32)], '') as payload_digest,
+  case when page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when page_id > first_id then first_id end as refers_to
+from parts
+"""
+
+@query("op4_warc_capture_index", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+#: Target weights by level; names without one have weight 1.
+WEIGHTS = {"domain": {"d0": 2, "d1": 3, "d2": 3, "d3": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+LEVELS_SQL = {"domain": "'d' || (cast(regexp_extract(source, '[0-9]+') as integer) % 4)", "lang": "lang", "source": "source"}
+
+
+def tree() -> dict[str, Column]:
+    """The tree of the mix; a domain is a group of sources, by the source's number."""
+    number = F.regexp_extract("source", "[0-9]+", 0).try_cast("int")
+    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query("op6_hierarchical_mixing", mix_sql(LEVELS_SQL, WEIGHTS, fraction=0.75, max_epochs=3, seed=7))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"), tree(), WEIGHTS, fraction=0.75, max_epochs=3, seed=7)
