@@ -12,6 +12,7 @@ from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
 from surveyframe.llm.suffix import repeated_bytes
 from surveyframe.llm.token_counts import count_tokens
+from surveyframe.llm.topk import TOP_K_SQL, top_k
 from surveyframe.llm.warc import archive_round_trip
 from surveyframe.plans.registry import query
 
@@ -83,3 +84,8 @@ def tree() -> dict[str, Column]:
 @query("op6_hierarchical_mixing", mix_sql(LEVELS_SQL, WEIGHTS, fraction=0.75, max_epochs=3, seed=7))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), tree(), WEIGHTS, fraction=0.75, max_epochs=3, seed=7)
+
+
+@query("op2_impact_ordered_top_k", TOP_K_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), k=10, every=100)
