@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.llm.ann import nearest
 from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join
 from surveyframe.llm.mixing import mix, mix_sql
@@ -89,3 +90,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_impact_ordered_top_k", TOP_K_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query("op1_nn_descent")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
