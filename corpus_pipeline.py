@@ -2,13 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyframe.llm.common import read, settled
-from surveyframe.llm.jaccard import jaccard_join
+from surveyframe.llm.jaccard import one_of_each
+from surveyframe.llm.mixing import mix
+from surveyframe.llm.packing import pack
+from surveyframe.llm.quality import held_out, score_quality
+from surveyframe.llm.queries import WEIGHTS, tree
+from surveyframe.llm.suffix import remove_repeats
 
-STAGES = []
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; labels as in its query."""
+    scored = score_quality(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1), keep=docs.columns)
+    return scored.where("score >= 0.5").drop("score")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    return one_of_each(docs, size=5, percent=80)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings of 400 that are found elsewhere too; lengths are told anew."""
+    return remove_repeats(docs, length=400).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the budgets of the mix, each used once at most."""
+    return mix(docs, tree(), WEIGHTS, fraction=0.9, max_epochs=1, seed=7, keep=docs.columns).drop("tokens", "epoch")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeat_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+# a trained classifier and a tokenizer are not SQL; tests/llm holds the stages against brute force
 ORACLE_SQL = None
 
 

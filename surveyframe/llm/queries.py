@@ -11,9 +11,11 @@ from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join
 from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
+from surveyframe.llm.quality import quality
 from surveyframe.llm.suffix import repeated_bytes
 from surveyframe.llm.token_counts import count_tokens
 from surveyframe.llm.topk import TOP_K_SQL, top_k
+from surveyframe.llm.toxicity import toxicity
 from surveyframe.llm.warc import archive_round_trip
 from surveyframe.plans.registry import query
 
@@ -95,3 +97,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_nn_descent")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op3_toxicity_gru")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_mil")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

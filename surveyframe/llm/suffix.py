@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import attach, id_bits, keep_bits, prepare, release, settled, slabs
+from surveyframe.llm.common import attach, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits
 from surveyframe.llm.texthash import U, mix, span, sums
 
 #: Anchors whose keys one group sorts at a time.
@@ -328,6 +328,47 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
-        *([F.col("spans")] if spans else []),
+        *([F.col("key").alias("text_key"), F.col("spans")] if spans else []),
     )
     return out
+
+
+def text_key(text: Column) -> Column:
+    """What ``repeated_bytes`` names a text by: half of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            raw, at, parts = (text or "").encode(), 0, []
+            for lo, hi in spans:  # a character goes only as a whole
+                while lo < hi and raw[lo] & 0xC0 == 0x80:
+                    lo += 1
+                while hi < len(raw) and hi > lo and raw[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                parts.append(raw[at:lo])
+                at = max(lo, hi)
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["spans"])
+
+
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400) -> DataFrame:
+    """``docs`` with the bytes that ``repeated_bytes`` finds taken out of their texts.
+
+    Characters of which only a part repeats stay. All rows and columns are kept, null
+    texts too; only texts that lose something are shuffled.
+    """
+    spark = docs.sparkSession
+    found = repeated_bytes(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), length=length, spans=True)
+    found = settled(found.where("n_spans > 0").groupBy("text_key").agg(F.first("spans").alias("spans")), "repeats")
+    bits = spark.sparkContext.broadcast(id_bits(found.select(F.xxhash64("text_key").alias("h")), "h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    rows = rows.withColumn("h", F.xxhash64("key"))
+    same = split_by_bits(rows, "h", bits, False).select("row", "text")
+    hit = split_by_bits(rows, "h", bits, True).join(found.withColumnRenamed("text_key", "key"), "key", "left").select("row", "text", "spans")
+    cut = hit.where("spans is not null")
+    kind = same.schema
+    out = same.unionByName(hit.where("spans is null").select("row", "text")).unionByName(cut.mapInArrow(_without, kind))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
