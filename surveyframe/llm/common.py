@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "prepare", "read", "release", "scratch_path", "settled", "slabs", "total_of"]
+__all__ = ["attach", "components", "id_bits", "keep_bits", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 2 << 20
@@ -112,39 +112,42 @@ def keep_bits(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
+def split_by_bits(df: DataFrame, hash_column: str, bits, listed: bool) -> DataFrame:
+    """Rows whose hash may be in the bit map (broadcast), or those whose is surely not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep_bits(batch.column(hash_column).to_numpy(), bits.value) == listed))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _towards_smallest(pairs: DataFrame) -> DataFrame:
-    """(v, u) -> (v, u, m) with m the smallest u of v, for keys of any weight."""
-    least = pairs.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-    return attach(pairs, least, "v", "n")
+    """(v, u) -> (v, u, m) with m the smallest u of v. Both sides are shuffled, so heavy keys can be split at run time."""
+    return pairs.join(pairs.groupBy("v").agg(F.min("u").alias("m")), "v")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a node that has none itself."""
+    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("below")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("below")))
+    found = ends.groupBy("x").agg(F.sum("below").alias("below"), F.min("below").alias("top"))
+    return found.where("below > 1 or below = 1 and top = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the smallest node it is connected to.
 
-    Large-star and small-star steps by turns until nothing changes; every round is
+    Large-star and small-star steps by turns until only stars are left; every round is
     written to the shared folder, so a lost executor costs one round. Nodes that
     are only linked with themselves are left out.
     """
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    e, before = settled(e, "edges"), None
-    while True:
+    e = settled(e, "edges")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = (
-            _towards_smallest(both)
-            .where("u > v")
-            .select(F.col("u").alias("v"), F.least("v", "m").alias("u"))
-            .distinct()
-        )
-        large = settled(large, "edges")
-        small = _towards_smallest(large)
-        small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(small.select("v", F.col("m").alias("u"))).distinct()
-        e = settled(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    release(spark)
-    return e.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(
-        e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
-    )
+        large = _towards_smallest(both).where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
+        small = _towards_smallest(settled(large, "edges"))
+        small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(small.select("v", F.col("m").alias("u")))
+        e = settled(small.distinct(), "edges")
+    tops = e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
+    return e.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(tops)

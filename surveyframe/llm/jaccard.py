@@ -4,14 +4,15 @@ Texts are sets of hashed word shingles; two texts link when their sets' Jaccard
 similarity reaches a threshold, tested exactly on whole sets. Candidates come from
 shared *rare* shingles: in one order of all shingles, rarest first, two linked sets
 share a shingle among the first ``n - ceil(t n) + 1`` of each, whatever the order
-is. Texts that share such a shingle are put into groups, first around one hub for
-each shingle; each group then keeps the union of its members' shingles. A text is
-held against a group as a whole: if it shares too few shingles with the union, no
-member can link and the group stays closed. Only qualifying groups are opened.
-
-A group is a part of a component of linked texts with at most ``GROUP`` members, and a
-text stops at its first link in it, since the result is the components. So a set of near copies of any size costs links to
-hubs and groups, not pairs. Texts with equal sets are one node throughout.
+is. Texts whose most frequent such shingle is the same form a group (large ones are
+split into parts). A group is a matrix of its members by the union of their
+shingles, and links inside it are read off the matrix. A text of another group that
+shares a rare shingle is held against the group as a whole: if it has too few
+shingles in common with the union, no member can link and the group stays closed;
+only qualifying groups are opened. Since the result is the components, a text is
+only held against groups with a larger component than its own, and links are
+returned as pairs of components. So near copies of any number cost texts times
+groups, not pairs. Texts with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm import texthash
-from surveyframe.llm.common import attach, components, id_bits, keep_bits, prepare, release, settled, slabs, total_of
+from surveyframe.llm.common import attach, components, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits, total_of
 
-#: Counters of the frequency sketch: its size does not grow with the corpus.
-SKETCH_BITS = 20
+#: Counters of the frequency sketch: 32 MB of them whatever the corpus.
+SKETCH_BITS = 23
 SLICES = 16
-#: Members of a group of the matrix, and texts held against one copy of it.
+#: Members of a group, on average; four times as many texts are held against one copy of it.
 GROUP = 256
 #: Postings that one group of tasks sorts together, and that a task holds before it passes them on.
 RANGE = 200_000
+#: Partners by size that a posting is held against before it is kept untried.
+TRIED = 40
 FLUSH = 1_000_000
 
 
@@ -45,7 +48,7 @@ def _node(tokens: np.ndarray) -> np.int64:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), pa.int64()
+        sketch, kind = np.zeros(1 << SKETCH_BITS, np.uint32), pa.int64()
         names = ["id", "node", "n", "slice", "counts"]
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -55,7 +58,8 @@ def _signatures(size: int):
                 for t in sets:
                     nodes.append(_node(t) if len(t) else None)
                     counts.append(len(t))
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                at, more = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                sketch[at] += more.astype(np.uint32)
             n = len(nodes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -63,7 +67,8 @@ def _signatures(size: int):
             )
         if sketch.any():
             none = pa.nulls(SLICES, pa.int64())
-            parts = [x.astype(np.uint32).tobytes() for x in np.split(sketch, SLICES)]
+            small = np.uint8 if sketch.max() < 1 << 8 else np.uint16 if sketch.max() < 1 << 16 else np.uint32
+            parts = [x.astype(small).tobytes() for x in np.split(sketch, SLICES)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SLICES, kind), none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names
             )
@@ -74,27 +79,27 @@ def _signatures(size: int):
 def _add_counts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
     for x in rows["counts"]:
-        total += np.frombuffer(x, np.uint32)
+        total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // len(total)])
     return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
 def _prefixes(size: int, percent: int, ranges: int, sketch):
-    """(range, tokens, nodes, sizes) with the rare shingles of each set, packed by ranges of hash values."""
+    """(range, tokens, nodes, sizes, places) with the rare shingles of each set, packed by ranges of hash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen, held, count = sketch.value, set(), [], 0
 
         def packed():
-            t, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            t, nodes, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
             at = np.minimum((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.uint64(ranges - 1)).astype(np.int64)
             o = np.argsort(at, kind="stable")
-            t, nodes, sizes, at = t[o], nodes[o], sizes[o], at[o]
+            t, nodes, sizes, places, at = t[o], nodes[o], sizes[o], places[o], at[o]
             cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             ends = [*cut[1:].tolist(), len(at)]
             spans = list(zip(cut.tolist(), ends, strict=True))
             return pa.RecordBatch.from_arrays(
-                [pa.array(at[cut], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (t, nodes, sizes))],
-                names=["range", "tokens", "nodes", "sizes"],
+                [pa.array(at[cut], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (t, nodes, sizes, places))],
+                names=["range", "tokens", "nodes", "sizes", "places"],
             )
 
         for batch in batches:
@@ -106,9 +111,9 @@ def _prefixes(size: int, percent: int, ranges: int, sketch):
                     seen.add(node)
                     f = order[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     k = m - -(-percent * m // 100) + 1
-                    first = t[np.lexsort((t, f))[:k]] if k < m else t
-                    held.append((first, np.full(len(first), node), np.full(len(first), m, np.int32)))
-                    count += len(first)
+                    first = t[np.lexsort((t, f))[:k]]
+                    held.append((first, np.full(k, node), np.full(k, m, np.int32), np.arange(k, dtype=np.int32)))
+                    count += k
                 if count > FLUSH:
                     yield packed()
                     held, count, seen = [], 0, set()
@@ -118,18 +123,43 @@ def _prefixes(size: int, percent: int, ranges: int, sketch):
     return run
 
 
-def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The postings of shingles that at least two different sets hold."""
-    t = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["tokens"]])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in rows["nodes"]])
-    n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]])
-    o = np.lexsort((node, t))
-    t, node, n = t[o], node[o], n[o]
-    new = np.concatenate(([True], (t[1:] != t[:-1]) | (node[1:] != node[:-1])))
-    t, node, n = t[new], node[new], n[new]
-    same = t[1:] == t[:-1]
-    keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    return pd.DataFrame({"token": t[keep].view(np.int64), "node": node[keep], "n": n[keep]})
+def needed(n, m, percent: int):
+    """Shingles that two linked sets of n and m have in common at least."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _shared(percent: int):
+    """Postings whose shingle another set holds that, by both sizes and places, may link.
+
+    All shingles before the first common one are different ones, so what is left from
+    there on, in either set, bounds the intersection.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32))
+        t, node, n, place = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in kinds)
+        o = np.lexsort((node, n, t))
+        t, node, n, place = t[o], node[o], n[o].astype(np.int64), place[o]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (node[1:] != node[:-1])))
+        t, node, n, left = t[new], node[new], n[new], (n - place)[new]
+        keep, step = np.zeros(len(t), bool), 1
+        near = np.ones(len(t), bool)  # rows whose partner, so many rows on, may still be near enough in size
+        while step < min(len(t), TRIED):
+            a = np.flatnonzero(near[:-step] & (t[step:] == t[:-step]))
+            a = a[n[a] * 100 >= n[a + step] * percent]
+            if not len(a):
+                break
+            near[:] = False
+            near[a] = True
+            ok = a[np.minimum(left[a], left[a + step]) >= needed(n[a], n[a + step], percent)]
+            keep[ok] = keep[ok + step] = True
+            step += 1
+        else:
+            many = np.flatnonzero(near[:-step] & (t[step:] == t[:-step])) if step < len(t) else []
+            keep |= np.isin(t, t[many])  # a shingle of very many sets keeps all its postings
+        return pd.DataFrame({"token": t[keep].view(np.int64), "node": node[keep], "n": n[keep], "remain": left[keep]})
+
+    return run
 
 
 def _sets(size: int, wanted):
@@ -150,131 +180,117 @@ def _sets(size: int, wanted):
     return run
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
+class Matrix:
+    """A group's sets as a matrix: for each shingle of the group's union, the members that hold it."""
+
+    def __init__(self, tokens: list[np.ndarray]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        every = np.concatenate(tokens)
+        member = np.repeat(np.arange(len(tokens)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.member = member[order]
+        self.union, first = np.unique(every[order], return_index=True)
+        self.ends = np.append(first, len(every))
+
+    def common(self, tokens: np.ndarray, least: int) -> np.ndarray | None:
+        """Shingles in common with each member, or None if too few are in the union for any."""
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if len(at) < least:
+            return None  # the group stays closed
+        count = self.ends[at + 1] - self.ends[at]
+        i = np.repeat(self.ends[at] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return np.bincount(self.member[i], minlength=len(self.size))
+
+    def linked(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """The members that a set links with."""
+        least = int(needed(len(tokens), self.size.min(), percent))
+        both = self.common(tokens, least)
+        if both is None:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(100 * both >= percent * (self.size + len(tokens) - both))
+
+
+def _within(percent: int):
+    """Components of the links inside each group: (node, label, size), the label being the smallest node."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        matrix, label = Matrix(sets), np.arange(len(rows))
+        for i, t in enumerate(sets):
+            own = label[matrix.linked(t, percent)]
+            if len(own):
+                label[np.isin(label, own)] = min(own.min(), label[i])
+        nodes = rows["node"].to_numpy()
+        return pd.DataFrame({"node": nodes, "label": nodes[label], "size": np.bincount(label, minlength=len(label))[label]})
 
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = common(a, b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return run
 
 
 def _open_groups(percent: int):
-    """Hold texts against groups: bound by the group's union first, then test members until one links."""
+    """Links between components: texts x against the members of other groups that are in larger components."""
 
     def run(key: tuple, texts: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        links = []
+        links = set()
         if len(texts) and len(members):
-            group = [(node, np.frombuffer(x, np.uint64)) for node, x in zip(members["node"], members["tokens"], strict=True)]
-            union = np.unique(np.concatenate([t for _, t in group]))
-            least = min(len(t) for _, t in group)
-            for x, raw in zip(texts["x"], texts["x_tokens"], strict=True):
-                t = np.frombuffer(raw, np.uint64)
-                # both >= percent/100 * union size, and both + union size = the sum of the sizes
-                if common(t, union) * (100 + percent) < percent * (len(t) + least):
-                    continue
-                for node, other in group:
-                    if 100 * min(len(t), len(other)) >= percent * max(len(t), len(other)) and linked(t, other, percent):
-                        links.append((x, node))
-                        break
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+            matrix = Matrix([np.frombuffer(x, np.uint64) for x in members["tokens"]])
+            size, label = members["size"].to_numpy(), members["label"].to_numpy()
+            for own, own_size, raw in zip(texts["x_label"], texts["x_size"], texts["x_tokens"], strict=True):
+                found = matrix.linked(np.frombuffer(raw, np.uint64), percent)
+                found = found[(size[found] > own_size) | (size[found] == own_size) & (label[found] > own)]
+                links |= {(own, x) for x in label[found].tolist()}
+        return pd.DataFrame(sorted(links), columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _test(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among texts x and the groups (g, part) they are held against.
-
-    A group that many texts name is copied once for every ``GROUP`` * 4 of them.
-    """
-    pairs = settled(pairs, "pairs")
-    copies = pairs.groupBy("g", "part").agg(F.ceil(F.count("*") / (GROUP * 4)).cast("int").alias("copies"))
-    key = ["g", "part", "copy"]
-    spread = pairs.join(copies, ["g", "part"]).select(
-        "g", "part", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("copy"), "x"
-    )
-    left = spread.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("x_tokens")), "x")
-    right = (
-        members.join(copies, ["g", "part"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .select(*key, "node")
-        .join(sets, "node")
-    )
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_open_groups(percent), "a long, b long")
-
-
-def _around_hubs(shared: DataFrame, component: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of texts with the hub they share most rare shingles with: for each shingle, the largest component's smallest node."""
-    if component is None:
-        rows = shared.select("token", "node", "n", F.col("node").alias("label"), F.lit(1).alias("size"))
-    else:
-        rows = _labelled(shared, component)
-    hubs = rows.groupBy("token").agg(
-        F.max(F.struct("size", "label", "node", "n")).alias("hub"), F.count("*").alias("weight"), F.min("label").alias("l0"), F.max("label").alias("l1")
-    )
-    hubs = hubs.where("l0 <> l1").select("token", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"), "weight")
-    votes = (
-        attach(rows, hubs, "token", "weight")
-        .where(F.col("label") != F.col("hub_label"))
-        .where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-        .groupBy("node", "hub")
-        .count()
-    )
-    best = votes.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best"))
-    pairs = best.select(F.col("best.hub").alias("g"), F.lit(0).alias("part"), F.col("node").alias("x"))
-    members = pairs.select("g", "part").distinct().withColumn("node", F.col("g"))
-    return _test(pairs, members, sets, percent)
-
-
-def _labelled(shared: DataFrame, component: DataFrame) -> DataFrame:
-    return (
-        shared.join(component, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
-        .withColumn("size", F.coalesce("size", F.lit(1)))
-    )
-
+def _grouped(shared: DataFrame) -> DataFrame:
+    """(node, g, alone): texts whose most frequent rare shingle is the same, ``GROUP`` to a group."""
+    frequent = shared.groupBy("token").agg(F.count("*").alias("df"))
+    top = shared.join(frequent, "token").groupBy("node").agg(F.max(F.struct("df", "token")).alias("top"))
+    placed = settled(top.select("node", F.col("top.token").alias("top")), "top")
+    sizes = placed.groupBy("top").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
+    return settled(placed.join(sizes, "top").select("node", F.xxhash64("top", part).alias("g"), (F.col("size") == 1).alias("alone")), "groups")
 
-def _components(links: list[DataFrame]) -> DataFrame:
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    label = components(every)
-    sizes = label.groupBy("label").agg(F.count("*").cast("int").alias("size")).withColumn("w", F.col("size"))
-    return settled(attach(label, sizes, "label", "w").select("node", "label", "size"), "components")
 
+def _across(shared: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of components in different groups, as pairs of labels.
 
-def _across_groups(shared: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All that the hubs left open: texts and groups of other components that share a rare shingle."""
-    rows = _labelled(shared, component).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int")
-    )
-    mixed = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
-    rows = settled(rows.join(mixed, "token", "left_semi"), "open")
-    groups = rows.groupBy("token", F.col("label").alias("g"), "part").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("size").alias("g_size")
+    ``placed`` has (node, g, label, size), ``sets`` (node, g, tokens). For two
+    components the smaller one's texts are held against the larger one's groups, if any
+    rare shingle is shared. A group that many texts name is copied once for every
+    ``GROUP`` * 4 of them.
+    """
+    spark = shared.sparkSession
+    rows = settled(shared.join(placed, "node"), "placed")
+    groups = rows.groupBy("token", "g").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("remain").alias("g_remain"), F.max(F.struct("size", "label")).alias("largest")
     )
+    texts = rows.select("token", F.col("node").alias("x"), "n", "remain", F.col("label").alias("x_label"), F.col("size").alias("x_size"), F.col("g").alias("x_g"))
     pairs = (
-        rows.select("token", F.col("node").alias("x"), "n", "label", "size")
-        .join(groups, "token")
-        # one direction: the smaller component's texts are held against the larger's groups
-        .where("g_size > size or g_size = size and g > label")
+        texts.join(groups, "token")
+        .where("g <> x_g")
+        .where("largest.size > x_size or largest.size = x_size and largest.label > x_label")
         .where(f"lo * {percent} <= n * 100 and n * {percent} <= hi * 100")
-        .select("g", "part", "x")
+        .where(f"least(remain, g_remain) * {100 + percent} >= (n + lo) * {percent}")
+        .select("g", "x", "x_label", "x_size")
         .distinct()
     )
-    nodes = sets.select("node").join(component, "node", "left")
-    members = nodes.select(
-        F.coalesce("label", "node").alias("g"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP)).cast("int").alias("part"),
-        "node",
-    )
-    return _test(pairs, members, sets, percent)
+    pairs = settled(pairs, "pairs")
+    copies = pairs.groupBy("g").agg(F.ceil(F.count("*") / (GROUP * 4)).cast("int").alias("copies"))
+    asked = spark.sparkContext.broadcast(id_bits(pairs.select("x").distinct(), "x"))
+    named = spark.sparkContext.broadcast(id_bits(copies, "g"))
+    key = ["g", "copy"]
+    spread = pairs.join(copies, "g").withColumn("copy", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int")).drop("copies")
+    own = split_by_bits(sets.select("node", "tokens"), "node", asked, True)
+    left = spread.join(own.select(F.col("node").alias("x"), F.col("tokens").alias("x_tokens")), "x")
+    members = split_by_bits(sets, "g", named, True).join(placed.select("node", "label", "size"), "node")
+    right = members.join(copies, "g").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    right = right.select(*(F.col(c).alias(c) for c in (*key, "label", "size", "tokens")))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_open_groups(percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -298,29 +314,46 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # one row per set: its smallest id and its copies
     nodes = settled(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "nodes")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for x in out.where("slice is not null").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect():  # 4 MB in all
+    for x in out.where("slice is not null").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect():  # 32 MB in all
         step = len(sketch) // SLICES
         sketch[x.slice * step : (x.slice + 1) * step] = np.frombuffer(x.counts, np.uint32)
     ranges = max(64, (total_of(nodes, "n") * (100 - percent) // 100) // RANGE)
-    order = spark.sparkContext.broadcast(sketch)
-    postings = docs.select("text").mapInArrow(_prefixes(size, percent, ranges, order), "range long, tokens binary, nodes binary, sizes binary")
-    shared = settled(postings.groupBy("range").applyInPandas(_shared, "token long, node long, n int"), "shared")
-    wanted = shared.select("node").distinct()
-    bits = spark.sparkContext.broadcast(id_bits(wanted, "node"))
+    order = spark.sparkContext.broadcast(np.minimum(sketch, 2**16 - 1).astype(np.uint16))
+    postings = docs.select("text").mapInArrow(_prefixes(size, percent, ranges, order), "range long, tokens binary, nodes binary, sizes binary, places binary")
+    shared = settled(postings.groupBy("range").applyInPandas(_shared(percent), "token long, node long, n long, remain long"), "shared")
+    placed = _grouped(shared)
+    bits = spark.sparkContext.broadcast(id_bits(placed, "node"))
     found = docs.select("text").mapInArrow(_sets(size, bits), "node long, tokens binary")
-    sets = settled(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    sets = settled(found.join(placed, "node").groupBy("node", "g", "alone").agg(F.first("tokens").alias("tokens")), "tokens")
     release(spark)
-
-    links = [settled(_around_hubs(shared, None, sets, percent), "links")]
-    links.append(settled(_around_hubs(shared, _components(links), sets, percent), "links"))
-    links.append(settled(_across_groups(shared, _components(links), sets, percent), "links"))
-    component = _components(links)
+    inside = sets.where("not alone").groupBy("g").applyInPandas(_within(percent), "node long, label long, size long")
+    alone = sets.where("alone").select("node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size"))
+    local = inside.unionByName(alone).select(F.col("node").alias("x"), "label", "size")
+    placed = settled(placed.drop("alone").join(local, F.col("node") == F.col("x")).drop("x"), "labels")
     release(spark)
-
-    labelled = nodes.join(component.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = sets.drop("alone")
+    root = components(settled(_across(shared, placed, sets, percent), "links")).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    component = placed.select("node", "label").join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    labelled = nodes.join(component, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = settled(labelled, "labels")
+    release(spark)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("w"))
     of_node = attach(labelled.select("node", "label", "copies"), least, "label", "w").select("node", "component_id", "copies")
     done = attach(rows.where("node is not null"), of_node, "node", "copies")
     alone = rows.where("node is null").withColumn("component_id", F.col("id"))
     return done.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that ``jaccard_join`` links with a smaller id.
+
+    Rows without an id stay, as do repeated rows of the id that stays. Only rows whose
+    id may be one that goes are shuffled.
+    """
+    spark = docs.sparkSession
+    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, size=size, percent=percent)
+    goes = settled(joined.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("goes")).distinct(), "goes")
+    bits = spark.sparkContext.broadcast(id_bits(goes.select(F.xxhash64("goes").alias("h")), "h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("goes"), F.xxhash64(id_col).alias("h"))
+    stay = split_by_bits(rows, "h", bits, False).unionByName(split_by_bits(rows, "h", bits, True).join(goes, "goes", "left_anti").select(*rows.columns))
+    return stay.select("row.*")
