@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def answered(answers: DataFrame) -> DataFrame:
+    """The rows of an answer table that hold an answer: an option, a value or a text that is not blank.
+
+    Every base counts these rows only, so that operators agree on who answered.
+    """
+    present = F.lit(False)
+    for column, kind in answers.dtypes:
+        if column in ("option_id", "value", "text"):
+            filled = F.trim(column) != "" if kind == "string" else F.col(column).isNotNull()
+            present = present | F.coalesce(filled, F.lit(False))
+    return answers.filter(present)
+
+
 def share(n: Column | str, d: Column | str) -> Column:
     """n over d as a fraction; null when the base is empty."""
     return F.try_divide(F.col(n) if isinstance(n, str) else n, F.col(d) if isinstance(d, str) else d)

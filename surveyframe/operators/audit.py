@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
 from surveyframe.functions.joins import dimension_join
-from surveyframe.session import settled
 
 # A number is tried from its first digit only and never given back in part, so
 # long runs of digits are read once.
-NUMBER = r"(?<![0-9])[0-9]++(?:\.[0-9]++)?"
-PERCENT = NUMBER + "%"
-# "38% (18/47)", also with full-width brackets and loose spacing.
-CLAIM = rf"({NUMBER})\s*+%\s*+[(（]\s*+([0-9]++)\s*+/\s*+([0-9]++)\s*+[)）]"
+WHOLE = r"(?:[0-9]{1,3}(?:,[0-9]{3})++(?![0-9])|[0-9]++)"
+NUMBER = rf"(?<![0-9])(?<![0-9],){WHOLE}(?:\.[0-9]++)?"
+PERCENT = rf"(?:{NUMBER})[%％]"
+# "38% (18/47)", also with thousands in groups, full-width signs and loose spacing.
+CLAIM = rf"({NUMBER})\s*+[%％]\s*+[(（]\s*+({WHOLE})\s*+[/／]\s*+({WHOLE})\s*+[)）]"
 # "the Users: 54" inside a caption.
 STATED = r"([^,:;|]++):\s*+([0-9]++)"
 # Base sizes from which a row is graded, with use and note.
@@ -28,9 +28,13 @@ GRADES = (
 
 
 def strip_tags(html: Column) -> Column:
-    """Visible text of a page: scripts, styles, comments and tags removed."""
-    hidden = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-    return F.regexp_replace(F.regexp_replace(html, hidden, " "), r"<[^>]*>", " ")
+    """Visible text of a page: scripts, styles, comments and tags removed.
+
+    What is opened and never closed hides the rest of the page, so no pattern is
+    tried again further on, however many are left open.
+    """
+    hidden = r"(?is)<script[^<>]*+>.*?(?:</script>|\z)|<style[^<>]*+>.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+    return F.regexp_replace(F.regexp_replace(html, hidden, " "), r"<[^<>]*+>", " ")
 
 
 def extract_claims(paragraphs: DataFrame, text: str = "text") -> DataFrame:
@@ -39,19 +43,20 @@ def extract_claims(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     Texts without a percent sign leave before any pattern is tried.
     """
     keys = [c for c in paragraphs.columns if c != text]
-    found = paragraphs.filter(F.col(text).contains("%")).select(
+    signs = F.col(text).contains("%") | F.col(text).contains("％")
+    found = paragraphs.filter(signs).select(
         *keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(CLAIM), F.lit(0))).alias("pos", "claim")
     )
 
     def part(i: int) -> Column:
-        return F.regexp_extract("claim", CLAIM, i)
+        return F.replace(F.regexp_extract("claim", CLAIM, i), F.lit(","), F.lit(""))
 
     return found.select(
         *keys,
         (F.col("pos") + 1).alias("pos"),
         "claim",
         part(1).cast("double").alias("pct"),
-        F.length(F.regexp_extract("claim", r"^[0-9]+\.([0-9]+)", 1)).alias("decimals"),
+        F.length(F.regexp_extract("claim", r"^[0-9,]+\.([0-9]+)", 1)).alias("decimals"),
         part(2).try_cast("bigint").alias("n"),
         part(3).try_cast("bigint").alias("d"),
     )
@@ -87,7 +92,7 @@ def match_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
     Results are reduced to one row per fraction first, so a fraction many
     results share does not multiply the claims quoting it.
     """
-    return dimension_join(claims, settled(_sources(results), "sources"), ["n", "d"]).fillna(0, ["n_sources"])
+    return claims.join(_sources(results), ["n", "d"], "left").fillna(0, ["n_sources"])
 
 
 def missing_refs(refs: DataFrame, catalogue: DataFrame, known_types: Sequence[str]) -> DataFrame:
@@ -114,7 +119,7 @@ def number_index(claims: DataFrame, results: DataFrame, key: Sequence[str]) -> D
     """
     wanted = results.select(*key, "source", "filter", F.col("n").alias("src_n"), F.col("d").alias("src_d"))
     formula = F.concat(F.col("src_n").cast("string"), F.lit(" / "), F.col("src_d").cast("string"))
-    return dimension_join(claims, settled(wanted, "index"), list(key)).withColumn("formula", formula)
+    return claims.join(wanted, list(key), "left").withColumn("formula", formula)
 
 
 def source_audit(claims: DataFrame, results: DataFrame, questions: DataFrame) -> DataFrame:
@@ -128,24 +133,26 @@ def source_audit(claims: DataFrame, results: DataFrame, questions: DataFrame) ->
 
 
 def check_pages(pages: DataFrame, results: DataFrame, key: str = "page_id") -> DataFrame:
-    """Percentages on pages that no result has, compared as printed whole or one-decimal percents.
+    """Percentages on pages that none of the page's own results has, printed as whole or one-decimal percents.
 
-    The results are reduced to their distinct printed percents, at most 1,102
-    forms for shares from 0 to 1.
+    ``results`` carry the ``key`` of the page that shows them: with one set of forms
+    for all pages, nearly every percentage would be some result's.
     """
     tenths = F.floor(share("n", "d") * 1000 + F.lit(0.5))
     whole = F.floor(share("n", "d") * 100 + F.lit(0.5))
     one = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
     forms = (
-        results.select(F.explode(F.array(F.concat(whole.cast("string"), F.lit("%")), F.concat(one, F.lit("%")))).alias("printed"))
+        results.select(key, F.explode(F.array(F.concat(whole.cast("string"), F.lit("%")), F.concat(one, F.lit("%")))).alias("printed"))
         .filter(F.col("printed").isNotNull())
         .distinct()
     )
-    found = pages.filter(F.col("html").contains("%")).select(
+    signs = F.col("html").contains("%") | F.col("html").contains("％")
+    found = pages.filter(signs).select(
         key, F.explode(F.regexp_extract_all(strip_tags(F.col("html")), F.lit(PERCENT), F.lit(0))).alias("printed")
     )
-    counted = found.groupBy(key, "printed").agg(F.count(F.lit(1)).alias("times"))
-    return dimension_join(counted, settled(forms, "printed"), ["printed"], "left_anti")
+    plain = F.translate("printed", "％,", "%")
+    counted = found.withColumn("printed", plain).groupBy(key, "printed").agg(F.count(F.lit(1)).alias("times"))
+    return counted.join(forms, [key, "printed"], "left_anti")
 
 
 def translation_check(source: DataFrame, target: DataFrame, key: Sequence[str] = ("doc_id", "para_no")) -> DataFrame:
@@ -241,9 +248,24 @@ def small_cells(respondents: DataFrame, quasi_ids: Sequence[str], k: int) -> Dat
     return respondents.groupBy(*quasi_ids).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k)
 
 
-def suppress(results: DataFrame, k: int) -> DataFrame:
-    """Hide counts below ``k`` together with their share; zero cells reveal nobody and stay."""
+def suppress(results: DataFrame, k: int, within: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Hide counts below ``k`` together with their share; zero cells reveal nobody and stay.
+
+    ``within`` names the columns that share a published base to which the counts add:
+    where only one cell of it is hidden, it could be had by subtraction, so the
+    smallest other cell that is not zero is hidden too, ties by ``order``. The cells of
+    a base are those of declared lists.
+    """
     hide = (F.col("n") > 0) & (F.col("n") < k)
+    if within:
+        base = Window.partitionBy(*within)
+        rank = F.row_number().over(base.orderBy(F.col("_small") | (F.col("n") == 0), "n", *order))
+        results = results.withColumn("_small", hide).withColumn("_alone", F.count_if("_small").over(base) == 1)
+        results = results.withColumn("_next", F.col("_alone") & ~F.col("_small") & (F.col("n") > 0) & (rank == 1))
+        results = results.withColumn("_hide", F.col("_small") | F.col("_next")).drop("_small", "_alone", "_next")
+        hide = F.col("_hide")
+        out = results.withColumns({"suppressed": hide, "pct": F.when(~hide, F.col("pct")), "n": F.when(~hide, F.col("n"))})
+        return out.drop("_hide")
     return results.withColumns(
         {
             "suppressed": hide,

@@ -8,13 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.functions.expressions import answered
 from surveyframe.functions.joins import dimension_join
 
 # A match starts only where a run of address characters starts (or where the
 # last match ended), so a long run without "@" is scanned once instead of once
 # per character.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+?[0-9]{0,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[- ][0-9]{3,4}"
+# Area code in brackets; a country code with groups of digits; or three groups joined by dashes, the
+# first of three or four digits. Dates such as 2024-01-30 have two-digit groups, network addresses dots.
+PHONE = (
+    r"(?<![0-9])(?:\+[0-9]{1,3}[- ]?)?(?:[0-9]{1,3} )?\([0-9]{2,4}\) ?[0-9]{3,4}[- ][0-9]{3,4}(?![0-9])"
+    r"|(?<![0-9.+-])\+[0-9]{1,3}(?:[- .][0-9]{1,4}){2,4}(?![0-9])"
+    r"|(?<![0-9.+-])[0-9]{3,4}-[0-9]{3}-[0-9]{3,4}(?![0-9-])"
+)
 
 
 def valid_sample(
@@ -28,14 +35,14 @@ def valid_sample(
 def redact_identifiers(df: DataFrame, drop: Sequence[str] = (), text: Sequence[str] = ()) -> DataFrame:
     """Drop identifying columns and mask e-mail addresses and phone numbers inside text.
 
-    A pattern is only tried on texts holding the character every match of it has.
+    The address pattern is only tried on texts holding the character every match has.
     """
 
-    def mask(c: Column, must_have: str, pattern: str, mark: str) -> Column:
-        return F.when(F.contains(c, F.lit(must_have)), F.regexp_replace(c, pattern, mark)).otherwise(c)
+    def addresses(c: Column) -> Column:
+        return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, "[email]")).otherwise(c)
 
-    masked = df.drop(*drop).withColumns({c: mask(F.col(c), "@", EMAIL, "[email]") for c in text})
-    return masked.withColumns({c: mask(F.col(c), "(", PHONE, "[phone]") for c in text})
+    masked = df.drop(*drop).withColumns({c: addresses(F.col(c)) for c in text})
+    return masked.withColumns({c: F.regexp_replace(F.col(c), PHONE, "[phone]") for c in text})
 
 
 def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) -> DataFrame:
@@ -49,8 +56,8 @@ def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) ->
     put_to = questions.select("question_id", "segment").distinct()
     sizes = respondents.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     asked = put_to.join(sizes, "segment").groupBy("question_id").agg(F.sum("n").alias("asked"))
-    answered = answers.select("question_id", "respondent_id").distinct()
-    placed = answered.join(respondents.select("respondent_id", "segment"), "respondent_id")
+    who = answered(answers).select("question_id", "respondent_id").distinct()
+    placed = who.join(respondents.select("respondent_id", "segment"), "respondent_id")
     counted = (
         dimension_join(placed, put_to, ["question_id", "segment"], "left_semi")
         .groupBy("question_id")
@@ -62,10 +69,12 @@ def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) ->
 def collapse(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace fine options by their group and drop the repeats this creates.
 
-    ``mapping`` holds (option_id, group_id); options it does not name stay.
+    ``mapping`` holds (question_id, option_id, group_id); options it does not name
+    stay, as do equal ids of other questions.
     """
+    keys = ["question_id", "option_id"]
     return (
-        dimension_join(answers, mapping.select("option_id", "group_id"), ["option_id"])
+        dimension_join(answers, mapping.select(*keys, "group_id"), keys)
         .withColumn("option_id", F.coalesce("group_id", "option_id"))
         .select("respondent_id", "question_id", "option_id")
         .distinct()
@@ -73,13 +82,13 @@ def collapse(answers: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def pool_writeins(answers: DataFrame, options: DataFrame, keep: bool = False, other: str = "Other") -> DataFrame:
-    """Turn options outside the catalogue into one "other" option, or keep them verbatim.
+    """Turn options outside the catalogue into one "other" option, or keep them verbatim. No option is no write-in.
 
     ``options`` holds (question_id, option_id). ``is_writein`` marks the rows.
     """
     keys = ["question_id", "option_id"]
     known = options.select(*keys).distinct().withColumn("_known", F.lit(True))
-    marked = dimension_join(answers, known, keys).withColumn("is_writein", F.col("_known").isNull()).drop("_known")
+    marked = dimension_join(answers, known, keys).withColumn("is_writein", F.col("_known").isNull() & F.coalesce(F.trim("option_id") != "", F.lit(False))).drop("_known")
     if keep:
         return marked
     return marked.withColumn("option_id", F.when(F.col("is_writein"), F.lit(other)).otherwise(F.col("option_id")))
@@ -91,9 +100,16 @@ def split_multi(df: DataFrame, col: str, sep: str) -> DataFrame:
     Repeats inside a cell are removed before the rows are made, so no shuffle
     is needed when a person has one cell per question.
     """
-    parts = F.array_distinct(F.transform(F.split(F.col(col), rf"\Q{sep}\E"), lambda x: F.trim(x)))
     others = [c for c in df.columns if c not in (col, "option_id")]
-    return df.select(*others, F.explode(F.filter(parts, lambda x: x != "")).alias("option_id"))
+    return df.select(*others, F.explode(_parts(F.col(col), sep)).alias("option_id")).filter(F.col("option_id") != "")
+
+
+def _parts(cell: Column, sep: str) -> Column:
+    """The distinct parts of a cell, without the spaces around them; empty parts stay.
+
+    The separator takes the spaces beside it along, so no part is touched again.
+    """
+    return F.array_distinct(F.split(F.trim(cell), rf" *+\Q{sep}\E *+"))
 
 
 def long_answers(
@@ -120,18 +136,16 @@ def long_answers(
         )
 
     def options(question: str) -> Column:
-        parts = F.transform(F.split(F.col(question), rf"\Q{sep}\E"), lambda x: F.trim(x))
-        chosen = F.filter(F.array_distinct(parts), lambda x: x != "")
-        return F.coalesce(F.transform(chosen, lambda x: answer(question, option=x)), F.array())
+        return F.coalesce(F.transform(_parts(F.col(question), sep), lambda x: answer(question, option=x)), F.array())
 
     one = F.array(
         *[answer(q, option=F.col(q)) for q in single],
         *[answer(q, value=F.col(q)) for q in ratings],
         *[answer(q, text=F.col(q)) for q in texts],
     )
-    rows = F.concat(one, *[options(q) for q in multi])
-    kept = F.filter(rows, lambda a: F.trim(F.coalesce(a["option_id"], a["value"].cast("string"), a["text"])) != "")
-    return responses.select(F.col(respondent).alias("respondent_id"), F.inline(kept))
+    rows = F.concat(one, *[options(q) for q in multi]) if multi else one
+    # empty cells leave after the rows are made, where code is generated
+    return answered(responses.select(F.col(respondent).alias("respondent_id"), F.inline(rows)))
 
 
 def cap_violations(answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
-from surveyframe.functions.joins import dimension_join
-from surveyframe.session import settled
 
 
 def scale_to_max(cells: DataFrame, by: Sequence[str] = ("question_id",), value: str = "pct") -> DataFrame:
@@ -57,11 +55,10 @@ def rank_open_options(cells: DataFrame, by: Sequence[str] = ("question_id",)) ->
     different counts however many options it has, since N picks allow fewer
     than the root of 2N, so no task receives a question's whole option list.
     """
-    cells = settled(cells, "cells")
     same = cells.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("_same"))
     ahead = Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = same.select(*by, "n", (F.coalesce(F.sum("_same").over(ahead), F.lit(0)) + 1).alias("rank"))
-    return dimension_join(cells, settled(ranks, "ranks"), [*by, "n"])
+    return cells.join(ranks, [*by, "n"])
 
 
 def _position(cells: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:

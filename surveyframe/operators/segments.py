@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.functions.expressions import answered
 from surveyframe.functions.joins import dimension_join
 
 RECENCY_NEVER = "never"
@@ -83,7 +84,7 @@ def band(df: DataFrame, col: str, cuts: Sequence[float], labels: Sequence[str],
 def any_of(answers: DataFrame, question: str, option_ids: Sequence[str]) -> DataFrame:
     """Everyone who answered, with a flag for holding any of the options."""
     return respondent_flags(
-        answers.filter(F.col("question_id") == question), {"holds": F.col("option_id").isin(list(option_ids))}
+        answered(answers.filter(F.col("question_id") == question)), {"holds": F.col("option_id").isin(list(option_ids))}
     )
 
 
@@ -114,15 +115,16 @@ def recency_band(respondents: DataFrame, contacts: DataFrame, last_col: str, as_
     return respondents.join(last, "respondent_id", "left").withColumn("recency", expr.otherwise(RECENCY_OLDER))
 
 
-def depth_index(answers: DataFrame, options: DataFrame) -> DataFrame:
+def depth_index(answers: DataFrame, question: str, options: DataFrame) -> DataFrame:
     """Deepest step each person reached; the escape option is off the scale.
 
-    ``options`` holds (option_id, ord, is_escape). People who chose only the
-    escape option have no depth.
+    ``options`` holds (option_id, ord, is_escape) of the question. People who chose
+    only the escape option have no depth; answers to other questions do not count.
     """
     steps = options.select("option_id", F.when(~F.col("is_escape"), F.col("ord")).alias("step"))
+    own = answered(answers.filter(F.col("question_id") == question)).select("respondent_id", "option_id")
     return (
-        dimension_join(answers.select("respondent_id", "option_id"), steps, ["option_id"])
+        dimension_join(own, steps, ["option_id"])
         .groupBy("respondent_id")
         .agg(F.max("step").alias("depth"))
     )

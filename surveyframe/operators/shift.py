@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyframe.functions.expressions import share
+from surveyframe.functions.expressions import answered, share
 from surveyframe.operators.segments import respondent_flags
 
 
@@ -21,7 +21,7 @@ def shift(answers: DataFrame, question: str, then: str, now: str, options: Seque
     for i, o in enumerate(options):
         for name, wave in (("then", then), ("now", now)):
             flags[f"{name}{i}"] = (F.col("wave") == wave) & (F.col("option_id") == o)
-    asked = answers.filter((F.col("question_id") == question) & F.col("wave").isin(then, now))
+    asked = answered(answers.filter((F.col("question_id") == question) & F.col("wave").isin(then, now)))
     both = respondent_flags(asked, flags).filter(
         F.col("in_then") & F.col("in_now")
     )

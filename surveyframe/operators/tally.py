@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.functions.expressions import share
+from surveyframe.functions.expressions import answered, share
 from surveyframe.operators.segments import holds, respondent_flags, respondent_masks
 
 TOTAL = "all"
@@ -24,7 +24,7 @@ TOTAL = "all"
 def ballots(answers: DataFrame, question: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row per person who answered ``question``, with a bit per group of options, in order."""
     return respondent_masks(
-        answers.filter(F.col("question_id") == question),
+        answered(answers.filter(F.col("question_id") == question)),
         [F.col("option_id").isin(list(ids)) for ids in groups.values()],
     )
 
@@ -66,7 +66,7 @@ def distribution(answers: DataFrame) -> DataFrame:
     verbatim. Counting distinct people spreads a popular option over tasks by
     respondent; the bases are joined to already aggregated cells.
     """
-    answers = answers.filter(F.col("option_id").isNotNull())
+    answers = answered(answers.select("respondent_id", "question_id", "option_id"))
     cells = answers.groupBy("question_id", "option_id").agg(F.count_distinct("respondent_id").alias("n"))
     bases = answers.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("d"))
     return cells.join(bases, "question_id").withColumn("pct", share("n", "d"))
@@ -97,16 +97,16 @@ def crosstab(
     )
 
 
-def dense_grid(segments: Sequence[str], options: Sequence[str], cells: DataFrame) -> DataFrame:
+def dense_grid(segments: Sequence[str], options: Sequence[str], cells: DataFrame, bases: DataFrame) -> DataFrame:
     """All segments by all options; a missing cell counts 0 over its segment's base.
 
-    The cells of a segment are brought into one row, which also carries the
-    base to the cells that were missing.
+    ``bases`` holds (segment, d), so a segment all of whose cells are missing keeps
+    its base too. The cells of a segment are brought into one row.
     """
-    counts = cells.groupBy("segment").agg(
-        F.max("d").alias("d"),
-        *[F.sum(F.when(F.col("option_id") == o, F.col("n"))).alias(f"n{i}") for i, o in enumerate(options)],
+    found = cells.groupBy("segment").agg(
+        *[F.sum(F.when(F.col("option_id") == o, F.col("n"))).alias(f"n{i}") for i, o in enumerate(options)]
     )
+    counts = bases.select("segment", "d").join(found, "segment", "left")
     return _cells(_on_grid(counts, segments), options, ["segment", "segment_ord"])
 
 
@@ -168,28 +168,58 @@ def stack(tables: Mapping[str, DataFrame], name: str = "question_id") -> DataFra
     return reduce(DataFrame.unionByName, [t.withColumn(name, F.lit(key)) for key, t in tables.items()])
 
 
-def union_respondents(answers: DataFrame, option_ids: Sequence[str]) -> DataFrame:
-    """People holding any of the options, each once."""
-    return answers.filter(F.col("option_id").isin(list(option_ids))).select("respondent_id").distinct()
+Picks = Sequence[tuple[str, str]]  # (question_id, option_id)
 
 
-def _both(answers: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
-    wanted = answers.filter(F.col("option_id").isin([*a, *b]))
-    return respondent_flags(
-        wanted, {"in_a": F.col("option_id").isin(list(a)), "in_b": F.col("option_id").isin(list(b))}
-    )
+def _among(picks: Picks) -> Column:
+    """Rows with one of the picks; equal option ids of different questions are different picks."""
+    by_question: dict[str, list[str]] = {}
+    for question, option in picks:
+        by_question.setdefault(question, []).append(option)
+    tests = [(F.col("question_id") == q) & F.col("option_id").isin(ids) for q, ids in by_question.items()]
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
+def union_respondents(answers: DataFrame, picks: Picks) -> DataFrame:
+    """People holding any of the picks, each once."""
+    return answers.filter(_among(picks)).select("respondent_id").distinct()
+
+
+def _both(answers: DataFrame, a: Picks, b: Picks) -> DataFrame:
+    wanted = answers.filter(_among([*a, *b]))
+    return respondent_flags(wanted, {"in_a": _among(a), "in_b": _among(b)})
 
 
-def except_respondents(answers: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+def except_respondents(answers: DataFrame, a: Picks, b: Picks) -> DataFrame:
     """People holding any of ``a`` but none of ``b``, from one scan."""
     return _both(answers, a, b).filter(F.col("in_a") & ~F.col("in_b")).select("respondent_id")
 
 
-def intersect_respondents(answers: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+def intersect_respondents(answers: DataFrame, a: Picks, b: Picks) -> DataFrame:
     """People holding any of ``a`` and any of ``b``, from one scan."""
     return _both(answers, a, b).filter(F.col("in_a") & F.col("in_b")).select("respondent_id")
 
 
+def undeclared(
+    answers: DataFrame, options: DataFrame, respondents: DataFrame | None = None, segments: Sequence[str] = ()
+) -> DataFrame:
+    """What tables over declared lists leave out: options and segments that are not declared, with people.
+
+    ``options`` holds (question_id, option_id). Rows: question_id (null for
+    segments), name (null for a missing segment) and n.
+    """
+    keys = ["question_id", "option_id"]
+    known = options.select(*keys).distinct().withColumn("_known", F.lit(True))
+    counted = answered(answers).groupBy(*keys).agg(F.count_distinct("respondent_id").alias("n"))
+    lost = counted.join(known, keys, "left").filter(F.col("_known").isNull())
+    out = lost.select("question_id", F.col("option_id").alias("name"), "n")
+    if respondents is None:
+        return out
+    outside = F.col("segment").isNull() | ~F.col("segment").isin(list(segments))
+    people = respondents.filter(outside).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(people.select(F.lit(None).cast("string").alias("question_id"), F.col("segment").alias("name"), "n"))
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows found more often in one table than in the other, with side and number of extra copies.
 

@@ -65,12 +65,16 @@ def theme_by(texts: DataFrame, members: DataFrame, codebook: Codebook) -> DataFr
     """Each theme over all who answered, and within a membership over all its members.
 
     ``members`` holds (respondent_id, is_member) for the whole sample, so the
-    second base also counts members who wrote nothing. Texts are reduced to
-    flags before the join.
+    second base also counts members who wrote nothing. Texts are reduced to one row
+    of flags per respondent before the join, so a person with several texts is one
+    person, who holds the themes of all of them.
     """
     names = theme_names(codebook)
     flags = [f"o{i}" for i in range(len(names))]
-    coded = theme_flags(texts.filter(answered(F.col("text"))), codebook).select("respondent_id", *flags)
+    each = theme_flags(texts.filter(answered(F.col("text"))), codebook)
+    coded = each.groupBy("respondent_id").agg(*[F.bool_or(f).alias(f) for f in flags[:-1]])
+    uncoded = ~reduce(Column.__or__, [F.col(f) for f in flags[:-1]], F.lit(False))
+    coded = coded.withColumn(flags[-1], uncoded)
     counts = (
         members.select("respondent_id", "is_member")
         .join(coded.withColumn("_wrote", F.lit(True)), "respondent_id", "left")

@@ -32,7 +32,7 @@ def cln1(spark: SparkSession, sf: str) -> DataFrame:
               (length(clean) - length(replace(clean, '[phone]', ''))) // 7 AS n_phones
        FROM (SELECT doc_id, regexp_replace(regexp_replace(text,
                  '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', '[email]', 'g'),
-                 '\\+?[0-9]{0,3} ?\\([0-9]{2,4}\\) ?[0-9]{3,4}[- ][0-9]{3,4}', '[phone]', 'g') AS clean
+                 '(\\+[0-9]{1,3}[- ]?)?([0-9]{1,3} )?\\([0-9]{2,4}\\) ?[0-9]{3,4}[- ][0-9]{3,4}|\\+[0-9]{1,3}([- .][0-9]{1,4}){2,4}|\\b[0-9]{3,4}-[0-9]{3}-[0-9]{3,4}\\b', '[phone]', 'g') AS clean
              FROM documents)""",
 )
 def cln2(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +69,7 @@ def cln3(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cln4_collapse_options",
     v.distribution_sql(
-        "coalesce((SELECT group_id FROM groups g WHERE g.option_id = answers.option_id), option_id)",
+        "coalesce((SELECT group_id FROM groups g WHERE g.option_id = answers.option_id AND question_id = 'home'), option_id)",
         """, groups AS (SELECT n_nationkey::VARCHAR AS option_id,
           CASE WHEN n_nationkey >= 10 THEN 'Other ' || r_name ELSE n_name END AS group_id
           FROM nation JOIN region ON n_regionkey = r_regionkey)""",
@@ -81,7 +81,7 @@ def cln4(spark: SparkSession, sf: str) -> DataFrame:
     mapping = (
         v.table(spark, sf, "nation")
         .join(regions, "n_regionkey")
-        .select(F.col("n_nationkey").cast("string").alias("option_id"), group.alias("group_id"))
+        .select(F.lit("home").alias("question_id"), F.col("n_nationkey").cast("string").alias("option_id"), group.alias("group_id"))
     )
     return tally.distribution(clean.collapse(v.answers(spark, sf), mapping))
 
@@ -107,6 +107,7 @@ def cln5_pool(spark: SparkSession, sf: str) -> DataFrame:
 )
 def cln5_keep(spark: SparkSession, sf: str) -> DataFrame:
     kept = clean.pool_writeins(v.answers(spark, sf), _catalogue(spark), keep=True)
+    kept = kept.filter(F.col("option_id").isNotNull())
     return kept.groupBy("question_id", "option_id", "is_writein").agg(F.count_distinct("respondent_id").alias("n"))
 
 

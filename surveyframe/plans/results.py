@@ -103,15 +103,20 @@ def aud7_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "aud7_segment_totals",
-    f"""WITH {v.SQL_LAYER}, a AS (SELECT home, sector, count(*) AS n FROM layer GROUP BY 1, 2),
-        b AS (SELECT home, sector, count(*) AS n_segments FROM layer WHERE segment <> 'never' OR sector <> 'BUILDING' GROUP BY 1, 2),
-        t AS (SELECT home, count(*) AS d FROM layer GROUP BY 1)
-        SELECT home, a.sector, n, d, coalesce(n_segments, 0) AS n_segments, d AS d_segments
-        FROM a JOIN t USING (home) LEFT JOIN b ON b.home = a.home AND b.sector = a.sector
-        WHERE coalesce(n_segments, 0) <> n""",
+    f"""WITH {v.SQL_LAYER}, {v.SQL_SECTORS},
+        c AS (SELECT home, option_id AS sector, count(*) FILTER (WHERE l.sector = option_id) AS n, count(*) AS d,
+                     count(*) FILTER (WHERE l.sector = option_id AND (segment <> 'never' OR option_id <> 'BUILDING')) AS kept
+              FROM layer l CROSS JOIN opts GROUP BY 1, 2),
+        t AS (SELECT home, sector, n, d FROM c WHERE home <> 3 OR sector <> 'MACHINERY'),
+        b AS (SELECT home, sector, kept AS n_segments, d AS d_segments FROM c WHERE home <> 4)
+        SELECT * FROM t FULL JOIN b USING (home, sector)
+        WHERE n IS DISTINCT FROM n_segments OR d IS DISTINCT FROM d_segments""",
 )
 def aud7_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Segment counts of each nation and sector against the totals; one sector lost a segment."""
+    """Segment counts of each nation and sector against the totals.
+
+    One sector lost a segment, one total is missing, and so are the segments of one nation.
+    """
     people = v.respondents(spark, sf).select("home", "sector", "segment")
     cells = people.groupBy("home", "segment").agg(
         F.count(F.lit(1)).alias("d"), *[F.count_if(F.col("sector") == s).alias(s) for s in v.SECTORS]
@@ -120,9 +125,9 @@ def aud7_segments(spark: SparkSession, sf: str) -> DataFrame:
     by_segment = cells.select("home", "segment", "d", F.inline(rows))
     lost = (F.col("segment") == "never") & (F.col("sector") == "BUILDING")
     published = by_segment.withColumn("n", F.when(lost, 0).otherwise(F.col("n")))
-    total = by_segment.groupBy("home", "sector").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).filter("n > 0")
-    gaps = audit.segment_total_gaps(published, total, ["home", "sector"])
-    return gaps.filter(F.col("n").isNotNull())
+    total = by_segment.groupBy("home", "sector").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    total = total.filter("home <> 3 or sector <> 'MACHINERY'")
+    return audit.segment_total_gaps(published.filter("home <> 4"), total, ["home", "sector"])
 
 
 @query(
@@ -188,13 +193,16 @@ def aud9(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "aud10_suppress",
     f"""WITH {v.SQL_LAYER}, c AS (SELECT home, sector, segment, count(*) AS n FROM layer GROUP BY 1, 2, 3),
-        b AS (SELECT home, count(*) AS d FROM layer GROUP BY 1)
-        SELECT home, sector, segment, CASE WHEN n >= 5 THEN n END AS n, d, CASE WHEN n >= 5 THEN n / d END AS pct, n < 5 AS suppressed
-        FROM c JOIN b USING (home)""",
+        b AS (SELECT home, count(*) AS d FROM layer GROUP BY 1),
+        r AS (SELECT *, n < 5 AS small, count(*) FILTER (WHERE n < 5) OVER (PARTITION BY home) AS k,
+                     row_number() OVER (PARTITION BY home ORDER BY n < 5, n, sector, segment) AS place FROM c),
+        h AS (SELECT *, small OR k = 1 AND place = 1 AS suppressed FROM r)
+        SELECT home, sector, segment, CASE WHEN NOT suppressed THEN n END AS n, d, CASE WHEN NOT suppressed THEN n / d END AS pct, suppressed
+        FROM h JOIN b USING (home)""",
 )
 def aud10(spark: SparkSession, sf: str) -> DataFrame:
     people = v.respondents(spark, sf)
     cells = people.groupBy("home", "sector", "segment").agg(F.count(F.lit(1)).alias("n"))
     bases = cells.groupBy("home").agg(F.sum("n").alias("d"))
     shares = cells.join(bases, "home").withColumn("pct", F.col("n") / F.col("d"))
-    return audit.suppress(shares, 5)
+    return audit.suppress(shares, 5, within=["home"], order=["sector", "segment"])

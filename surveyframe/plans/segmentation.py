@@ -92,5 +92,5 @@ def idx1(spark: SparkSession, sf: str) -> DataFrame:
     options = dimension(
         spark, option_id=v.PRIORITIES, ord=[1, 2, 3, 4, 5], is_escape=[o == v.ESCAPE for o in v.PRIORITIES]
     )
-    depths = segments.depth_index(v.answers_multi(spark, sf), options)
+    depths = segments.depth_index(v.answers(spark, sf), "priority", options)
     return segments.mean_depth(depths, v.respondents(spark, sf))

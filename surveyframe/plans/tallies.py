@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.model import dimension
 from surveyframe.operators import segments, shift, tally
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
@@ -107,7 +108,7 @@ def agg20(spark: SparkSession, sf: str) -> DataFrame:
 
 _SHIFT_SQL = f"""WITH e AS (
   SELECT DISTINCT user_id, event_type AS option_id, strftime(ts, '%Y-%m-%d') AS wave FROM events
-  WHERE strftime(ts, '%Y-%m-%d') IN ('{v.THEN}', '{v.NOW}')),
+  WHERE strftime(ts, '%Y-%m-%d') IN ('{v.THEN}', '{v.NOW}') AND value >= {v.NO_ANSWER_BELOW}),
 both_waves AS (SELECT user_id FROM e GROUP BY 1 HAVING count(DISTINCT wave) = 2),
 opts(ord, option_id) AS (VALUES (1, 'view'), (2, 'click'), (3, 'purchase'), (4, 'signup'), (5, 'error')),
 c AS (SELECT option_id, ord, count(*) FILTER (WHERE wave = '{v.THEN}' AND user_id IN (FROM both_waves)) AS n_then,
@@ -131,15 +132,16 @@ def win5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "joi1_dense_grid",
-    f"""WITH {v.SQL_CROSSTAB}, big AS (SELECT * FROM crosstab WHERE pct >= 0.5)
-        SELECT s.segment, s.segment_ord, o.option_id, o.ord, coalesce(b.n, 0) AS n, coalesce(m.d, 0) AS d,
-               coalesce(b.n, 0) / nullif(m.d, 0) AS pct
-        FROM segs s CROSS JOIN opts o LEFT JOIN big b ON b.segment = s.segment AND b.option_id = o.option_id
-        LEFT JOIN (SELECT segment, max(d) AS d FROM big GROUP BY 1) m ON m.segment = s.segment""",
+    f"""WITH {v.SQL_CROSSTAB}, big AS (SELECT * FROM crosstab WHERE pct >= 0.5 AND segment <> 'aware')
+        SELECT c.segment, c.segment_ord, c.option_id, c.ord, coalesce(b.n, 0) AS n, c.d, coalesce(b.n, 0) / nullif(c.d, 0) AS pct
+        FROM crosstab c LEFT JOIN big b ON b.segment = c.segment AND b.option_id = c.option_id""",
 )
 def joi1(spark: SparkSession, sf: str) -> DataFrame:
-    majority = agg4(spark, sf).filter(F.col("pct") >= 0.5)
-    return tally.dense_grid(v.SEGMENTS, v.PRIORITIES, majority)
+    """The majority cells of two segments; the third has none and keeps its base."""
+    cells = agg4(spark, sf)
+    majority = cells.filter((F.col("pct") >= 0.5) & (F.col("segment") != "aware"))
+    bases = cells.groupBy("segment").agg(F.max("d").alias("d"))
+    return tally.dense_grid(v.SEGMENTS, v.PRIORITIES, majority, bases)
 
 
 @query(
@@ -156,18 +158,37 @@ def set1(spark: SparkSession, sf: str) -> DataFrame:
     return tally.stack({q: tally.multi_distribution(answers, q, options) for q, options in catalogue.items()})
 
 
-@query("set2_union_respondents", f"WITH {v.SQL_PICKS} SELECT DISTINCT respondent_id FROM picks WHERE option_id IN ('1-URGENT', '2-HIGH')")
+_PRESSING = [("priority", "1-URGENT"), ("priority", "2-HIGH")]
+_LOW_OR_LINE = [("priority", "5-LOW"), ("line", "1")]
+# Homes and line numbers share their option ids.
+_SETS = f"""{v.SQL_PICKS}, held AS (SELECT respondent_id, 'priority' AS question_id, option_id FROM picks
+  UNION ALL SELECT DISTINCT o_custkey, 'line', l_linenumber::VARCHAR FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49
+  UNION ALL SELECT c_custkey, 'home', c_nationkey::VARCHAR FROM customer)"""
+_IN_A = "question_id = 'priority' AND option_id IN ('1-URGENT', '2-HIGH')"
+_IN_B = "(question_id = 'priority' AND option_id = '5-LOW' OR question_id = 'line' AND option_id = '1')"
+
+
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    lines = v.table(spark, sf, "lineitem").filter(F.col("l_quantity") >= 49).select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("string").alias("option_id")
+    )
+    buyers = v.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("respondent_id"))
+    large = lines.join(buyers, "o_orderkey").select("respondent_id", F.lit("line").alias("question_id"), "option_id")
+    homes = v.customers(spark, sf).select("respondent_id", F.lit("home").alias("question_id"), F.col("home").cast("string").alias("option_id"))
+    return v.answers_multi(spark, sf).unionByName(large).unionByName(homes)
+
+
+@query("set2_union_respondents", f"WITH {_SETS} SELECT DISTINCT respondent_id FROM held WHERE {_IN_B}")
 def set2(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.union_respondents(v.answers_multi(spark, sf), ["1-URGENT", "2-HIGH"])
+    return tally.union_respondents(_held(spark, sf), _LOW_OR_LINE)
 
 
 @query(
     "set3_except_respondents",
-    f"""WITH {v.SQL_PICKS} SELECT respondent_id FROM picks WHERE option_id IN ('1-URGENT', '2-HIGH')
-        EXCEPT SELECT respondent_id FROM picks WHERE option_id = '5-LOW'""",
+    f"WITH {_SETS} SELECT respondent_id FROM held WHERE {_IN_A} EXCEPT SELECT respondent_id FROM held WHERE {_IN_B}",
 )
 def set3(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.except_respondents(v.answers_multi(spark, sf), ["1-URGENT", "2-HIGH"], ["5-LOW"])
+    return tally.except_respondents(_held(spark, sf), _PRESSING, _LOW_OR_LINE)
 
 
 @query(
@@ -189,8 +210,24 @@ def set4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "set5_intersect_respondents",
-    f"""WITH {v.SQL_PICKS} SELECT respondent_id FROM picks WHERE option_id IN ('1-URGENT', '2-HIGH')
-        INTERSECT SELECT respondent_id FROM picks WHERE option_id = '5-LOW'""",
+    f"WITH {_SETS} SELECT respondent_id FROM held WHERE {_IN_A} INTERSECT SELECT respondent_id FROM held WHERE {_IN_B}",
 )
 def set5(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.intersect_respondents(v.answers_multi(spark, sf), ["1-URGENT", "2-HIGH"], ["5-LOW"])
+    return tally.intersect_respondents(_held(spark, sf), _PRESSING, _LOW_OR_LINE)
+
+
+_DECLARED = {"priority": v.PRIORITIES[:3], "sector": v.SECTORS[:4]}
+
+
+@query(
+    "set5_undeclared",
+    f"""WITH {v.SQL_ANSWERS}, {v.SQL_LAYER}
+        SELECT question_id, option_id AS name, count(*) AS n FROM answers
+        WHERE NOT ({" OR ".join(f"(question_id = '{q}' AND option_id IN {ids})" for q, ids in _DECLARED.items())}) GROUP BY 1, 2
+        UNION ALL SELECT NULL, segment, count(*) FROM layer WHERE segment = 'never' GROUP BY 2""",
+)
+def undeclared(spark: SparkSession, sf: str) -> DataFrame:
+    """Options and a segment that the declared lists do not name."""
+    pairs = [(q, o) for q, ids in _DECLARED.items() for o in ids]
+    options = dimension(spark, question_id=[q for q, _ in pairs], option_id=[o for _, o in pairs])
+    return tally.undeclared(v.answers(spark, sf), options, v.respondents(spark, sf), ["aware", "done"])

@@ -84,23 +84,19 @@ def aud2(spark: SparkSession, sf: str) -> DataFrame:
     return wrong.select("doc_id", "pos", "claim", "recomputed")
 
 
-_FINISHED = f"{v.SQL_CLAIMS}, results AS (SELECT 'finished' AS question_id, n_done AS n, d, respondent_id::VARCHAR AS option_id FROM customer_results)"
+_RESULTS = f"{v.SQL_CLAIMS}, results AS {v.SQL_RESULTS_LONG.split(', results AS', 1)[1]}"
 _SOURCES = """src AS (SELECT n, d, count(*) AS n_sources, min(question_id) AS question_id,
                              min(question_id || ' | ' || option_id) AS source FROM results GROUP BY 1, 2)"""
 
 
-def _finished(spark: SparkSession, sf: str) -> DataFrame:
-    return v.results_long(spark, sf).filter(F.col("question_id") == "finished")
-
-
 @query(
     "joi5_match_claims",
-    f"""WITH {_FINISHED}, {_SOURCES}
+    f"""WITH {_RESULTS}, {_SOURCES}
         SELECT doc_id, pos, claim, c.n, c.d, coalesce(n_sources, 0) AS n_sources, question_id, source
         FROM claims c LEFT JOIN src ON src.n = c.n AND src.d = c.d""",
 )
 def joi5(spark: SparkSession, sf: str) -> DataFrame:
-    matched = audit.match_claims(_claims(spark, sf), _finished(spark, sf))
+    matched = audit.match_claims(_claims(spark, sf), v.results_long(spark, sf))
     return matched.select("doc_id", "pos", "claim", "n", "d", "n_sources", "question_id", "source")
 
 
@@ -127,20 +123,20 @@ def aud3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "aud4_source_audit",
-    f"""WITH {_FINISHED}, {_SOURCES}
+    f"""WITH {_RESULTS}, {_SOURCES}
         SELECT doc_id, pos, c.n, c.d, question_id,
-               CASE WHEN question_id = 'finished' THEN 'customers with orders' END AS base_rule,
+               CASE question_id WHEN 'finished' THEN 'customers with orders' WHEN 'urgent' THEN 'all orders' END AS base_rule,
                CASE WHEN n_sources IS NULL THEN 'unmatched' WHEN n_sources > 1 THEN 'ambiguous' ELSE 'matched' END AS status
         FROM claims c LEFT JOIN src ON src.n = c.n AND src.d = c.d""",
 )
 def aud4(spark: SparkSession, sf: str) -> DataFrame:
-    questions = dimension(spark, question_id=["finished"], base_rule=["customers with orders"])
-    audited = audit.source_audit(_claims(spark, sf), _finished(spark, sf), questions)
+    questions = dimension(spark, question_id=["finished", "urgent"], base_rule=["customers with orders", "all orders"])
+    audited = audit.source_audit(_claims(spark, sf), v.results_long(spark, sf), questions)
     return audited.select("doc_id", "pos", "n", "d", "question_id", "base_rule", "status")
 
 
-_STRIP = """regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
-  '<[^>]*>', ' ', 'g')"""
+_STRIP = """regexp_replace(regexp_replace(html,
+  '(?is)<script[^<>]*>.*?(?:</script>|\\z)|<style[^<>]*>.*?(?:</style>|\\z)|<!--.*?(?:-->|\\z)', ' ', 'g'), '<[^<>]*>', ' ', 'g')"""
 
 
 @query(
@@ -148,11 +144,12 @@ _STRIP = """regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|
     f"""WITH {v.SQL_REPORT},
         pages2 AS (SELECT 'page ' || page_id AS page_id, html FROM pages
                    UNION ALL SELECT 'report ' || doc_id, '<html><style>p{{width:99.9%}}</style><p>' || text || '</p></html>' FROM report),
-        results AS (SELECT n_done AS n, d FROM customer_results),
-        forms AS (SELECT floor(n / d * 100 + 0.5)::BIGINT || '%' AS printed FROM results
-                  UNION SELECT (floor(n / d * 1000 + 0.5)::BIGINT // 10) || '.' || (floor(n / d * 1000 + 0.5)::BIGINT % 10) || '%' FROM results),
+        results AS (SELECT 'report ' || respondent_id AS page_id, n_done AS n, d FROM customer_results
+                    UNION ALL SELECT 'report ' || respondent_id, n_urgent, d FROM customer_results),
+        forms AS (SELECT page_id, floor(n / d * 100 + 0.5)::BIGINT || '%' AS printed FROM results
+                  UNION SELECT page_id, (floor(n / d * 1000 + 0.5)::BIGINT // 10) || '.' || (floor(n / d * 1000 + 0.5)::BIGINT % 10) || '%' FROM results),
         found AS (SELECT page_id, unnest(regexp_extract_all({_STRIP}, '[0-9]+(?:\\.[0-9]+)?%')) AS printed FROM pages2)
-        SELECT page_id, printed, count(*) AS times FROM found WHERE printed NOT IN (FROM forms) GROUP BY 1, 2""",
+        SELECT page_id, printed, count(*) AS times FROM found ANTI JOIN forms USING (page_id, printed) GROUP BY 1, 2""",
 )
 def aud5(spark: SparkSession, sf: str) -> DataFrame:
     given = v.table(spark, sf, "pages").select(F.concat(F.lit("page "), "page_id").alias("page_id"), "html")
@@ -160,7 +157,8 @@ def aud5(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("report "), "doc_id").alias("page_id"),
         F.concat(F.lit("<html><style>p{width:99.9%}</style><p>"), "text", F.lit("</p></html>")).alias("html"),
     )
-    return audit.check_pages(given.unionByName(built), _finished(spark, sf))
+    results = v.results_long(spark, sf).withColumn("page_id", F.concat(F.lit("report "), "option_id"))
+    return audit.check_pages(given.unionByName(built), results)
 
 
 @query(

@@ -7,8 +7,10 @@ fragments say the same for the comparison queries.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import one_decimal_text, share, whole_percent
@@ -22,6 +24,7 @@ EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
 SEGMENTS = ("never", "aware", "done")
 CONTACT_FROM = dt.datetime(2000, 7, 1)
 THEN, NOW = "2024-01-01", "2024-01-30"
+NO_ANSWER_BELOW = 5.0
 CODEBOOK = (
     ("contact", ["@", "555-"]),
     ("license", ["license", "licence", "copyright"]),
@@ -82,11 +85,14 @@ def respondents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers_multi(spark: SparkSession, sf: str) -> DataFrame:
-    """Multi-answer question: priorities a customer's finished orders had."""
-    return (
-        contacts(spark, sf)
-        .filter(F.col("status") == "F")
-        .select("respondent_id", F.lit("priority").alias("question_id"), F.col("priority").alias("option_id"))
+    """Multi-answer question: priorities a customer's finished orders had.
+
+    Other orders are rows without an answer: the question was put, no option given.
+    """
+    return contacts(spark, sf).select(
+        "respondent_id",
+        F.lit("priority").alias("question_id"),
+        F.when(F.col("status") == "F", F.col("priority")).alias("option_id"),
     )
 
 
@@ -108,10 +114,21 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def answers_waves(spark: SparkSession, sf: str) -> DataFrame:
     """Event types per user and day; the day is the wave."""
-    return table(spark, sf, "events").select(
+    return wave_rows(table(spark, sf, "events"), [THEN, NOW])
+
+
+def wave_rows(events: DataFrame, days: Sequence[str]) -> DataFrame:
+    """Rows of the named days only: ranges of the time itself, which reach the scan, come before the day's name.
+
+    An event without a positive value is a contact that left no answer.
+    """
+    day = [dt.date.fromisoformat(d) for d in days]
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    inside = [(F.col("ts") >= at(d)) & (F.col("ts") < at(d + dt.timedelta(days=1))) for d in day]
+    return events.filter(reduce(Column.__or__, inside)).select(
         F.col("user_id").alias("respondent_id"),
         F.lit("activity").alias("question_id"),
-        F.col("event_type").alias("option_id"),
+        F.when(F.col("value") >= NO_ANSWER_BELOW, F.col("event_type")).alias("option_id"),
         F.to_date("ts").cast("string").alias("wave"),
     )
 

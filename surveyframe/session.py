@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,21 +35,16 @@ def local_session(cores: str = "8", memory: str = "16g") -> SparkSession:
     return spark
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="surveyframe-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the session names.
 
-    A machine-local folder is only used when the session itself is local.
+    Where none is named, a session that is itself local uses its warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _local_root()
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/surveyframe/{name}-{uuid.uuid4().hex}"
 
 

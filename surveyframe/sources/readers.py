@@ -25,27 +25,50 @@ def _csv(spark: SparkSession, schema: T.StructType, multiline: bool) -> DataFram
 def read_results(
     spark: SparkSession, glob: str, schema: T.StructType = RESULT_SCHEMA, multiline: bool = False
 ) -> DataFrame:
-    """Every aggregate CSV under a glob, with the name of the table folder it came from."""
-    rows = _csv(spark, schema, multiline).csv(glob)
+    """Every aggregate CSV under a glob, with the name of the table folder it came from.
+
+    A header that differs from the schema, by name or order, and a cell that is not
+    of its column's type are errors, since audits are made on what is read.
+    """
+    rows = _csv(spark, schema, multiline).option("enforceSchema", False).option("mode", "FAILFAST").csv(glob)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("table_name"), "*")
 
 
 def read_catalogue(
     spark: SparkSession, path: str, schema: T.StructType, field: str = "figures", whole: bool = False
 ) -> DataFrame:
-    """Figures stored as JSON behind a script assignment such as ``window.DATA = {...};``.
+    """Figures stored as JSON behind script assignments.
 
-    ``field`` is the map of figure id to record. ``whole`` reads a pretty-printed
-    file as one document; otherwise each line is an assignment of its own, and
-    large files are split between tasks.
+    Either ``window.DATA = {...};`` with ``field`` as the map of figure id to record,
+    or one line for each record, as ``write_catalogue`` makes them. ``whole`` reads a
+    pretty-printed file as one document; otherwise large files are split between tasks.
+    Blank lines and comments are passed over; any other line that cannot be read is an
+    error, and so is JSON that does not fit.
     """
-    raw = spark.read.text(path, wholetext=whole)
-    body = F.regexp_extract("value", r"(?s)=\s*(\{.*\})\s*;?\s*$", 1)
+    value = F.col("value")
+    raw = spark.read.text(path, wholetext=whole).filter(~value.rlike(r"^\s*(?://.*)?$"))
+    one = F.regexp_extract(value, rf"(?s)\.{field} *\|\| *\{{\}}\)\[(\"(?:[^\"\\]|\\.)*+\")\] = (\{{.*\}});\s*$", 1)
+    record = F.regexp_extract(value, rf"(?s)\.{field} *\|\| *\{{\}}\)\[(\"(?:[^\"\\]|\\.)*+\")\] = (\{{.*\}});\s*$", 2)
+    all_of = F.regexp_extract(value, r"(?s)=\s*(\{.*\})\s*;?\s*$", 1)
+    body = F.when(one != "", F.concat(F.lit(f'{{"{field}":{{'), one, F.lit(":"), record, F.lit("}}"))).when(all_of != "", all_of)
+    unread = F.raise_error(F.concat(F.lit("not a figure assignment: "), F.substring(value, 1, 80))).cast("string")
     document = T.StructType([T.StructField(field, T.MapType(T.StringType(), schema))])
-    parsed = raw.filter(body != "").select(F.from_json(body, document, {"mode": "FAILFAST"}).alias("doc"))
+    parsed = raw.select(F.from_json(F.coalesce(body, unread), document, {"mode": "FAILFAST"}).alias("doc"))
     return parsed.select(F.explode(F.col("doc")[field]).alias("figure_key", "record")).select("figure_key", "record.*")
 
 
+def read_tables(spark: SparkSession, path: str, schema: T.StructType, name: str) -> DataFrame:
+    """A side table of a catalogue file: ``name`` is the path below the root, such as ``tables.extra`` or ``meta``.
+
+    A list gives a row per record, a single record one row. The file is one document.
+    """
+    body = F.regexp_extract("value", r"(?s)=\s*(\{.*\})\s*;?\s*$", 1)
+    found = F.get_json_object(body, "$." + name)
+    listed = F.when(found.startswith("["), found).otherwise(F.concat(F.lit("["), found, F.lit("]")))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json(listed, T.ArrayType(schema), {"mode": "FAILFAST"}).alias("rows"))
+    return rows.select(F.inline("rows"))
+
+
 def paragraphs(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per non-empty line of a text, numbered from 1 within its document."""
     keys = [c for c in documents.columns if c != text]

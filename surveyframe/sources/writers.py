@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from surveyframe.operators.audit import annotate_reliability
 
-ITEMS_PER_RECORD = 1_000
-
 
 def write_answers(answers: DataFrame, path: str) -> None:
     """The long answer table in one folder per question, so that counting a question reads only its folder.
@@ -27,15 +25,14 @@ def write_result(df: DataFrame, path: str) -> None:
 
 
 def nest_items(
-    cells: DataFrame, figure: Sequence[str], item: Sequence[str], per_record: int = ITEMS_PER_RECORD
+    cells: DataFrame, figure: Sequence[str], item: Sequence[str]
 ) -> DataFrame:
-    """Figure records with their items as an array in questionnaire order.
+    """Figure records with their items as an array in questionnaire order, each with its ``ord``.
 
-    A figure with more than ``per_record`` items continues in further records
-    with the next ``part`` number, so no array grows without bound.
+    For items of declared lists. Open lists, such as write-ins, are stored as the
+    long rows they are (``write_result``).
     """
-    part = F.floor((F.col("ord") - 1) / per_record).alias("part")
-    return cells.groupBy(*figure, part).agg(
+    return cells.groupBy(*figure).agg(
         F.sort_array(F.collect_list(F.struct("ord", *item))).alias("items")
     )
 
@@ -69,12 +66,20 @@ def nest_segment_cells(crosstab: DataFrame, figure: Sequence[str]) -> DataFrame:
 
 
 def write_catalogue(records: DataFrame, path: str, assign: str | None = None, field: str = "figures") -> None:
-    """Figure records as JSON lines, or as script assignments when ``assign`` names a variable."""
+    """Figure records as JSON lines, or as a script when ``assign`` names a variable.
+
+    Every line of the script adds its own record, so the files of all tasks, loaded
+    in any order, make one catalogue.
+    """
     if assign is None:
         records.write.json(path)
         return
-    figure = F.to_json(F.create_map(F.col("figure_id"), F.struct(*records.columns)))
-    records.select(F.concat(F.lit(f'{assign} = {{"{field}":'), figure, F.lit("};")).alias("value")).write.text(path)
+    # the key printed as JSON: from {"a":"key"} without its frame
+    key = F.to_json(F.struct(F.col("figure_id").alias("a")))
+    key = F.substring(key, F.lit(6), F.length(key) - 6)
+    start = F.lit(f"{assign} = {assign} || {{}}; ({assign}.{field} = {assign}.{field} || {{}})[")
+    line = F.concat(start, key, F.lit("] = "), F.to_json(F.struct(*records.columns)), F.lit(";"))
+    records.select(line.alias("value")).write.text(path)
 
 
 def flatten_figure(figures: DataFrame, kind: str, order: Sequence[str] = ()) -> DataFrame:
@@ -114,6 +119,7 @@ def _fields(struct: str, names: Sequence[str]) -> list[Column]:
 
 
 def _items(figures: DataFrame, *names: str) -> DataFrame:
+    """Items with their place in the record, which holds all of a figure's items in order."""
     rows = figures.select("figure_id", F.posexplode("items").alias("pos", "item"))
     return rows.select("figure_id", (F.col("pos") + 1).alias("pos"), *_fields("item", names))
 

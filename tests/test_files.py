@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyframe.model import CATALOGUE_SCHEMA, FIGURE_TYPES
+from surveyframe.model import CATALOGUE_SCHEMA, RESULT_SCHEMA, FIGURE_TYPES
 from surveyframe.operators import audit, labels, tally
 from surveyframe.session import scratch_path
 from surveyframe.sources import readers, writers
@@ -65,14 +65,44 @@ def test_missing_and_unknown_figures(spark, figures):
     assert rows(gaps, "figure_id", "problem") == {("f5", "unknown type"), ("f9", "no data")}
 
 
-def test_long_figures_continue_in_further_records(spark):
-    cells = spark.range(1, 26).select(
+def test_long_figures_number_all_their_items(spark):
+    cells = spark.range(1, 2_501).select(
         F.lit('fig "one"').alias("figure_id"), F.lit("hbar").alias("type"), F.col("id").alias("ord"),
         F.concat(F.lit("o"), "id").alias("label"), F.lit(1).cast("bigint").alias("n"), F.lit(2).cast("bigint").alias("d"), F.lit(0.5).alias("pct"),
     )
-    records = writers.nest_items(cells, ["figure_id", "type"], ["label", "n", "d", "pct"], per_record=10)
-    assert rows(records.select("part", F.size("items").alias("k")), "part", "k") == {(0, 10), (1, 10), (2, 5)}
-    assert writers.flatten_figure(records, "hbar").count() == 25
+    records = writers.nest_items(cells, ["figure_id", "type"], ["label", "n", "d", "pct"])
+    assert rows(writers.flatten_figure(records, "hbar"), "pos", "label") == {(i, f"o{i}") for i in range(1, 2_501)}
+
+
+def test_a_script_of_many_lines_is_one_catalogue(spark, tmp_path):
+    cells = spark.createDataFrame([(f"f{i}", "hbar", 1, "a", 1, 2, 0.5) for i in range(3)], "figure_id string, type string, ord long, label string, n long, d long, pct double")
+    writers.write_catalogue(writers.nest_items(cells, ["figure_id", "type"], ["label", "n", "d", "pct"]), str(tmp_path / "js"), assign="window.F")
+    lines = [x.value for x in spark.read.text(str(tmp_path / "js")).collect()]
+    assert all(x.startswith("window.F = window.F || {}; (window.F.figures = window.F.figures || {})[") for x in lines) and len(lines) == 3
+    back = readers.read_catalogue(spark, str(tmp_path / "js"), CATALOGUE_SCHEMA)
+    assert rows(back, "figure_key") == {("f0",), ("f1",), ("f2",)}
+    (tmp_path / "bad.js").write_text(lines[0] + "\n// a comment\n\n" + lines[1][:-2] + "\n")
+    with pytest.raises(Exception, match="not a figure assignment"):
+        readers.read_catalogue(spark, str(tmp_path / "bad.js"), CATALOGUE_SCHEMA).collect()
+
+
+def test_header_and_side_tables(spark, tmp_path):
+    (tmp_path / "data.js").write_text('window.D = {"meta": {"n_total": 127}, "tables": {"a": [{"label": "x", "n": 1}, {"label": "y", "n": 2}]}};')
+    path = str(tmp_path / "data.js")
+    assert rows(readers.read_tables(spark, path, T.StructType.fromDDL("n_total int"), "meta"), "n_total") == {(127,)}
+    assert rows(readers.read_tables(spark, path, T.StructType.fromDDL("label string, n int"), "tables.a"), "label", "n") == {("x", 1), ("y", 2)}
+
+
+def test_results_with_other_columns_or_bad_cells_are_errors(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    names = [f.name for f in RESULT_SCHEMA]
+    good = {"question_id": "q", "option_id": "a", "n": "40", "d": "127", "pct": "0.3"}
+    line = lambda cols, cells: ",".join(cells.get(c, "x") for c in cols)
+    swapped = [{"n": "d", "d": "n"}.get(c, c) for c in names]
+    for cols, cells in ((swapped, good), (names, good | {"n": "forty"})):
+        (tmp_path / "t" / "one.csv").write_text(",".join(cols) + "\n" + line(cols, cells) + "\n")
+        with pytest.raises(Exception, match="(?i)header|malformed|column"):
+            readers.read_results(spark, str(tmp_path / "t")).collect()
 
 
 def test_assignments_round_trip_with_awkward_names(spark, tmp_path):
@@ -142,10 +172,11 @@ def test_answers_are_stored_by_question_and_pruned(spark, tmp_path):
 def test_scratch_folder_comes_from_the_session():
     class Session:
         def __init__(self, folder, master):
-            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
+            named = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "file:/warehouse"}
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: named[key])})
             self.sparkContext = type("Context", (), {"master": master})
 
     assert scratch_path(Session("hdfs://shared/x/", "yarn"), "t").startswith("hdfs://shared/x/surveyframe/t-")
-    assert scratch_path(Session(None, "local[2]"), "t").startswith("/")
+    assert scratch_path(Session(None, "local[2]"), "t").startswith("file:/warehouse/surveyframe/t-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session(None, "yarn"), "t")

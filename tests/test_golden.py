@@ -63,7 +63,7 @@ def test_union_of_two_options_is_people_not_rows(spark):
         ("taipei", 41, 127),
         ("new taipei", 39, 127),
     }
-    assert tally.union_respondents(answers, ["taipei", "new taipei"]).count() == 79
+    assert tally.union_respondents(answers, [("q", "taipei"), ("q", "new taipei")]).count() == 79
 
 
 @pytest.mark.parametrize("counts, n3, n4", [((13, 16, 12, 3, 3), 18, 6), ((28, 11, 8, 0, 0), 8, 0), ((33, 11, 3, 0, 0), 3, 0)])
@@ -165,8 +165,9 @@ def test_nested_base(spark):
     answers = spark.createDataFrame(picks, "respondent_id long, question_id string, option_id string")
     nested = tally.nested_share(answers, "q", ["make", "start"], ["use"])
     assert rows(nested, "step", "n", "d") == {(1, 38, 101), (2, 7, 38)}
-    assert tally.except_respondents(answers, ["make", "start"], ["use"]).count() == 7
-    assert tally.intersect_respondents(answers, ["make", "start"], ["use"]).count() == 31
+    made, used = [("q", "make"), ("q", "start")], [("q", "use")]
+    assert tally.except_respondents(answers, made, used).count() == 7
+    assert tally.intersect_respondents(answers, made, used).count() == 31
 
 
 def test_cap_breach_is_reported_and_kept(spark):

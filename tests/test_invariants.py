@@ -122,18 +122,21 @@ def test_collapsed_options_count_a_person_once(spark):
     answers = spark.createDataFrame(
         [(1, "q", "keelung"), (1, "q", "hsinchu"), (2, "q", "taipei")], "respondent_id long, question_id string, option_id string"
     )
-    mapping = spark.createDataFrame([("keelung", "other north"), ("hsinchu", "other north")], "option_id string, group_id string")
-    assert rows(tally.distribution(clean.collapse(answers, mapping)), "option_id", "n", "d") == {("other north", 1, 2), ("taipei", 1, 2)}
+    answers = answers.unionByName(spark.createDataFrame([(1, "r", "keelung"), (2, "r", None)], answers.schema))
+    mapping = spark.createDataFrame([("q", "keelung", "other north"), ("q", "hsinchu", "other north")], "question_id string, option_id string, group_id string")
+    collapsed = rows(tally.distribution(clean.collapse(answers, mapping)), "question_id", "option_id", "n", "d")
+    assert collapsed == {("q", "other north", 1, 2), ("q", "taipei", 1, 2), ("r", "keelung", 1, 1)}
 
 
 def test_depth_ignores_the_escape_option(spark):
     answers = spark.createDataFrame(
-        [(1, "follow"), (1, "start"), (2, "none fits"), (3, "none fits"), (3, "follow")], "respondent_id long, option_id string"
+        [(1, "q", "follow"), (1, "q", "start"), (2, "q", "none fits"), (3, "q", "none fits"), (3, "q", "follow"), (4, "q", None), (5, "r", "start")],
+        "respondent_id long, question_id string, option_id string",
     )
     options = spark.createDataFrame(
         [("follow", 1, False), ("start", 5, False), ("none fits", 6, True)], "option_id string, ord int, is_escape boolean"
     )
-    depths = segments.depth_index(answers, options)
+    depths = segments.depth_index(answers, "q", options)
     assert rows(depths, "respondent_id", "depth") == {(1, 5), (2, None), (3, 1)}
     people = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s")], "respondent_id long, segment string")
     assert rows(segments.mean_depth(depths, people), "d", "answered", "mean_depth") == {(2, 3, 3.0)}

@@ -51,7 +51,7 @@ def test_page_numbers_without_source(spark):
         [(1, "<style>p{width:77%}</style><p>38<b>%</b> 38% and 38.3%<!-- 55% --></p>"), (2, "<p>39% 39%</p><script>x='66%'</script>")],
         "page_id int, html string",
     )
-    results = spark.createDataFrame([("q", "a", 18, 47)], "question_id string, option_id string, n long, d long")
+    results = spark.createDataFrame([(1, "q", "a", 18, 47), (3, "q", "a", 39, 100)], "page_id int, question_id string, option_id string, n long, d long")
     assert rows(audit.check_pages(pages, results), "page_id", "printed", "times") == {(2, "39%", 2)}
 
 
@@ -78,7 +78,7 @@ def test_theme_tallies_over_those_who_answered(spark):
 
 
 def test_theme_by_membership_counts_silent_members(spark):
-    texts = spark.createDataFrame([(1, "mentor"), (2, "mentor"), (3, "docs")], "respondent_id long, text string")
+    texts = spark.createDataFrame([(1, "mentor"), (1, "a mentor"), (2, "mentor"), (3, "docs"), (3, "no theme")], "respondent_id long, text string")
     members = spark.createDataFrame(
         [(1, True), (2, False), (3, True), (4, True), (5, False)], "respondent_id long, is_member boolean"
     )
