@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
-Inner products become cosines by one more component: ``(x, sqrt(M^2 - |x|^2)) / M``
-with M the largest norm; a query gets a zero there. Vectors are dealt to parts of
-about ``PART`` by a hash of their id, and everything that moves is packed by part.
+A vector is its direction and its length. The graph joins vectors of near direction,
+so that it can be walked; queries score by the inner product, length included.
+Vectors are dealt to parts of about ``PART`` by a hash of their id, and everything
+that moves is packed by part.
 
 Building: each vector starts with its best neighbours within its part. Then, round
 by round, every vector introduces its neighbours (forward and reverse) to each
@@ -113,7 +114,7 @@ def _start(degree: int, parts: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["vec_id"].to_numpy()
         half = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]])
-        x, n, k = half.astype(np.float32), len(rows), min(degree, len(rows) - 1)
+        x, n, k = half[:, :-1].astype(np.float32), len(rows), min(degree, len(rows) - 1)
         near, scores = np.full((n, degree), NONE, np.int64), np.full((n, degree), -np.inf, np.float32)
         for a in range(0, n, 512):
             s = x[a : a + 512] @ x.T
@@ -215,7 +216,7 @@ def _introduce(dim: int, degree: int, parts: int):
 
     def run(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
         who, first = np.unique(_cat(sent["who"], np.int64), return_index=True)
-        x = _cat(sent["vectors"], np.float16, dim)[first].astype(np.float32)
+        x = _cat(sent["vectors"], np.float16, dim)[first, :-1].astype(np.float32)
         worst = _cat(sent["worst"], np.float32)[first]
         member, host, fresh = (_cat(sent[c], k) for c, k in (("member", np.int64), ("host", np.int64), ("fresh", np.bool_)))
         order = np.lexsort((~fresh, member, host))
@@ -283,7 +284,7 @@ def build_graph(vectors: DataFrame, dim: int, n: int, *, degree: int = DEGREE, r
         met = sent.where("not ask").unionByName(more).groupBy("part").applyInPandas(_introduce(dim, degree, parts), "part long, to binary, met binary, score binary")
         graph = settled(graph.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(_update(dim, degree), GRAPH), "graph")
         release(spark)
-        if graph.agg(F.sum("changed")).first()[0] <= SETTLED * n * degree:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * n * degree:
             break
     return graph
 
@@ -351,8 +352,7 @@ def _enter(dim: int, beam: int, every: int):
                 if asked.any():
                     b = Beams.__new__(Beams)
                     b.queries, n = ids[asked], int(asked.sum())
-                    b.vectors = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)[asked].copy()
-                    b.vectors[:, -1] = 0  # what evens out the norms is for candidates only
+                    b.vectors = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)[asked]
                     b.beam = np.full((n, beam), NONE, np.int64)
                     b.beam[:, 0] = b.queries
                     b.scores = np.full((n, beam), -np.inf, np.float32)
@@ -390,9 +390,10 @@ def _answer(dim: int, degree: int):
             ids, who = np.frombuffer(row.ids, np.int64), np.frombuffer(row.who, np.int64)
             near = np.frombuffer(row.neighbours, np.int64).reshape(-1, degree)
             x = np.frombuffer(row.vectors, np.float16).reshape(-1, dim).astype(np.float32)
+            x = x[:, :-1] * x[:, -1:]
             for a in asked.itertuples():
                 queries, at = np.frombuffer(a.queries, np.int64), np.frombuffer(a.at, np.int64)
-                v = np.frombuffer(a.vectors, np.float16).reshape(-1, dim).astype(np.float32)
+                v = np.frombuffer(a.vectors, np.float16).reshape(-1, dim)[:, :-1].astype(np.float32)
                 found = near[np.searchsorted(ids, np.frombuffer(a.nodes, np.int64))]
                 q = np.repeat(at, degree)
                 found = found.ravel()
@@ -438,14 +439,15 @@ def _results(dim: int, beam: int, few: int):
 
 
 def _scaled(top: float):
-    """Unit vectors in half precision, with the component that evens out the norms."""
+    """Directions, and lengths over the largest one, in half precision."""
 
     def run(batches):
         for rows in batches:
             if len(rows):
                 x = np.stack(rows["vector"].to_list()).astype(np.float64) / top
-                rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-                packed = np.column_stack((x, rest)).astype(np.float16)
+                size = np.sqrt((x * x).sum(1))
+                x /= np.maximum(size, np.finfo(np.float64).tiny)[:, None]
+                packed = np.column_stack((x, np.maximum(size, 1e-4))).astype(np.float16)
                 yield pd.DataFrame({"vec_id": rows["vec_id"], "vector": [v.tobytes() for v in packed]})
 
     return run

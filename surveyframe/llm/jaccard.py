@@ -37,7 +37,7 @@ GROUP = 256
 RANGE = 200_000
 #: Partners by size that a posting is held against before it is kept untried.
 TRIED = 40
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def _node(tokens: np.ndarray) -> np.int64:
@@ -53,7 +53,7 @@ def _signatures(size: int):
         for batch in batches:
             kind = batch.schema.field("id").type
             nodes, counts = [], []
-            for _, _, buf, bounds in slabs(batch):
+            for _, _, buf, bounds in slabs(batch, limit=1 << 20):
                 sets = texthash.shingles(buf, bounds, size)
                 for t in sets:
                     nodes.append(_node(t) if len(t) else None)
@@ -103,7 +103,7 @@ def _prefixes(size: int, percent: int, ranges: int, sketch):
             )
 
         for batch in batches:
-            for _, _, buf, bounds in slabs(batch):
+            for _, _, buf, bounds in slabs(batch, limit=1 << 20):
                 for t in texthash.shingles(buf, bounds, size):
                     m = len(t)
                     if not m or (node := _node(t)) in seen:
@@ -169,7 +169,7 @@ def _sets(size: int, wanted):
         seen: set[int] = set()
         for batch in batches:
             nodes, tokens = [], []
-            for _, _, buf, bounds in slabs(batch):
+            for _, _, buf, bounds in slabs(batch, limit=1 << 20):
                 for t in texthash.shingles(buf, bounds, size):
                     if len(t) and (node := _node(t)) not in seen and keep_bits(np.array([node]), wanted.value)[0]:
                         seen.add(node)
@@ -357,3 +357,18 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("goes"), F.xxhash64(id_col).alias("h"))
     stay = split_by_bits(rows, "h", bits, False).unionByName(split_by_bits(rows, "h", bits, True).join(goes, "goes", "left_anti").select(*rows.columns))
     return stay.select("row.*")
+
+
+def jaccard_sql(size: int, percent: int) -> str:
+    """The same in DuckDB SQL, by comparing all texts that share a shingle."""
+    return f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= {size} then [array_to_string(w[i:i + {size - 1}], ' ') for i in range(1, len(w) - {size - 2})]
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= {percent} * (a.n + b.n - c)),
+both_ as (select x, y from l union all select y, x from l),
+reach as (select doc_id as x, doc_id as y from d union select r.x, b.y from reach r join both_ b on b.x = r.y)
+select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id from d left join n using (doc_id)
+join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)"""

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm.ann import nearest
 from surveyframe.llm.common import read
-from surveyframe.llm.jaccard import jaccard_join
+from surveyframe.llm.jaccard import jaccard_join, jaccard_sql
 from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
 from surveyframe.llm.quality import quality
-from surveyframe.llm.suffix import repeated_bytes
+from surveyframe.llm.suffix import repeated_bytes, repeats_sql
 from surveyframe.llm.token_counts import count_tokens
 from surveyframe.llm.topk import TOP_K_SQL, top_k
 from surveyframe.llm.toxicity import toxicity
@@ -20,12 +20,12 @@ from surveyframe.llm.warc import archive_round_trip
 from surveyframe.plans.registry import query
 
 
-@query("op7_ngram_jaccard_join")
+@query("op7_ngram_jaccard_join", jaccard_sql(4, 85))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", repeats_sql(400))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(read(spark, sf_dir, "documents"), length=400)
 

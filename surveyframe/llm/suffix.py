@@ -372,3 +372,18 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     kind = same.schema
     out = same.unionByName(hit.where("spans is null").select("row", "text")).unionByName(cut.mapInArrow(_without, kind))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def repeats_sql(length: int) -> str:
+    """``repeated_bytes`` in DuckDB SQL, by the hash of every window."""
+    return f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select doc_id, h, unnest(range(1, cast(len(h) / 2 as bigint) + 1)) as i from d),
+w as (select doc_id, i, substr(h, 2 * i - 1, 2) as byte, case when 2 * i - 1 + {2 * length} <= len(h) + 1 then md5_number(substr(h, 2 * i - 1, {2 * length})) end as k from b),
+r as (select doc_id, i, byte, k is not null and count(*) over (partition by k) > 1 as again from w),
+c as (select doc_id, i, byte, bool_or(again) over (partition by doc_id order by i rows between {length - 1} preceding and current row) as gone from r),
+t as (select doc_id, i, byte, gone, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as first_ from c),
+a as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where first_) as n_spans,
+  sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (where not gone), ''))) as kept_sha256 from t group by 1)
+select d.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join a using (doc_id)"""
