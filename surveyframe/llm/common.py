@@ -20,6 +20,7 @@ __all__ = ["attach", "components", "id_bits", "keep_bits", "prepare", "read", "r
 
 #: Bytes of text that one step of a task works on.
 SLAB = 2 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,7 +31,13 @@ _sent: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, as ``--py-files`` would."""
+    """Send the package to the executors, once per application, as ``--py-files`` would.
+
+    Also bounds what is passed to Python at a time, since texts are long: batches of
+    ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, for this session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent.parent

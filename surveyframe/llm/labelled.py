@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,18 @@ def remainder(id_: Column, modulus: int) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % modulus
 
 
+def rows_with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row, text) with the kept columns as a struct; a text that is kept is passed once, in the struct."""
+    own = [] if "text" in keep else [F.col("text").alias("text")]
+    return docs.select(F.struct(*keep).alias("row"), *own)
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    if "text" in batch.schema.names:
+        return batch.select(["text"])
+    return pa.RecordBatch.from_arrays([batch.column("row").field("text")], names=["text"])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
     """(text, label) of at most ``most`` labelled documents of each class for which ``learn`` holds.
 

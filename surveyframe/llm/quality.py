@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm.common import prepare, slabs
 from surveyframe.llm.encoding import word_chunks
-from surveyframe.llm.labelled import Adam, remainder, sample, sigmoid
+from surveyframe.llm.labelled import Adam, remainder, rows_with_text, sample, sigmoid, texts_of
 from surveyframe.llm.texthash import LOWER, span, sums
 
 PASSAGE = 64
@@ -147,7 +147,7 @@ def _score(weights):
         w = weights.value
         for batch in batches:
             out = []
-            for at, end, buf, bounds in slabs(batch):
+            for at, end, buf, bounds in slabs(texts_of(batch)):
                 x, ends = encode(buf, bounds)
                 out.append(sigmoid(forward(w, x, np.repeat(np.arange(end - at), np.diff(ends)), end - at)[0]))
             score = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, lab
     bags, y = _sampled(sample(docs, labels, label, learn_from, DOCUMENTS).collect())  # 2 * DOCUMENTS rows
     share = labels.where(learn_from).agg(F.avg(F.col(label).cast("double"))).first()[0]
     weights = spark.sparkContext.broadcast(learn(bags, y, 0.5 if share is None else float(share)))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
+    rows = rows_with_text(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(weights), f"row {kind}, score double").select("row.*", "score")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm.common import prepare, slabs
-from surveyframe.llm.labelled import Adam, remainder, sample, sigmoid
+from surveyframe.llm.labelled import Adam, remainder, rows_with_text, sample, sigmoid, texts_of
 from surveyframe.llm.texthash import LOWER, U, mix, span, sums
 
 WINDOW, STRIDE = 32, 16
@@ -263,7 +263,7 @@ class _Part(Vocabulary):
 def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [document_logits(weights.value, buf, bounds) for _, _, buf, bounds in slabs(batch)]
+            out = [document_logits(weights.value, buf, bounds) for _, _, buf, bounds in slabs(texts_of(batch))]
             score = sigmoid(np.concatenate(out).astype(np.float64)) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
@@ -302,7 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, *, la
     share = labels.where(learn_from).agg(F.avg(F.col(label).cast("double"))).first()[0]
     y = np.array([r.y for r in rows], np.int64)
     weights = spark.sparkContext.broadcast(learn(_thinned([r.text.encode() for r in rows]), y, 0.0 if share is None else float(share)))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
+    rows = rows_with_text(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(weights), f"row {kind}, score double").select("row.*", "score")
 
