@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import answered, share
-from surveyframe.operators.segments import holds, respondent_flags, respondent_masks
+from surveyframe.operators.segments import BITS, holds, respondent_flags, respondent_masks
 
 TOTAL = "all"
 
@@ -63,15 +63,61 @@ def distribution(answers: DataFrame) -> DataFrame:
     """Every option of every question over those who answered that question.
 
     For option lists that are not known beforehand, such as write-ins kept
-    verbatim. Counting distinct people spreads a popular option over tasks by
-    respondent; the bases are joined to already aggregated cells.
+    verbatim. The answers are shuffled once, into one row per person and question;
+    each of these counts for its options and, as a pick of nothing, for the base.
     """
     answers = answered(answers.select("respondent_id", "question_id", "option_id"))
-    cells = answers.groupBy("question_id", "option_id").agg(F.count_distinct("respondent_id").alias("n"))
-    bases = answers.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("d"))
+    people = answers.groupBy("question_id", "respondent_id").agg(F.collect_set("option_id").alias("options"))
+    picks = F.explode(F.concat("options", F.array(F.lit(None).cast("string"))))
+    counts = people.select("question_id", picks.alias("option_id")).groupBy("question_id", "option_id").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.filter(F.col("option_id").isNotNull())
+    bases = counts.filter(F.col("option_id").isNull()).select("question_id", F.col("n").alias("d"))
     return cells.join(bases, "question_id").withColumn("pct", share("n", "d"))
 
 
+def tally_catalogue(
+    answers: DataFrame,
+    catalogue: Mapping[str, Sequence[str]],
+    respondents: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Cells of every catalogue question from one pass over the answers.
+
+    One shuffle brings each person's answers to a question into one row with a bit
+    per option; all questions are then counted together, each over its own base.
+    ``by`` names columns of ``respondents`` to count within. Without it a question
+    that nobody answered keeps its cells, with base 0.
+    """
+    longest = max(len(options) for options in catalogue.values())
+    place = {f"{q}\x1f{o}": i for q, options in catalogue.items() for i, o in enumerate(options)}
+    places = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    asked = answered(answers.filter(F.col("question_id").isin(list(catalogue))))
+    at = F.try_element_at(places, F.concat_ws("\x1f", "question_id", "option_id"))
+    words = range(0, longest, BITS)
+    placed = asked.select("question_id", "respondent_id", at.alias("at"))
+    bits = [
+        F.bit_or(F.when((F.col("at") >= w) & (F.col("at") < w + BITS), F.expr(f"shiftleft(1L, at - {w})")).otherwise(F.expr("0L"))).alias(f"mask{k}")
+        for k, w in enumerate(words)
+    ]
+    votes = placed.groupBy("question_id", "respondent_id").agg(*bits)
+    if by:
+        votes = votes.join(respondents.select("respondent_id", *by), "respondent_id")
+    counts = _counts(votes, longest, ["question_id", *by])
+    if not by:
+        names = F.array(*[F.struct(F.lit(q).alias("question_id")) for q in catalogue])
+        counts = answers.sparkSession.range(1).select(F.inline(names)).join(counts, "question_id", "left").fillna(0)
+    cells = F.array(
+        *[
+            F.struct(F.lit(q).alias("_q"), F.lit(o).alias("option_id"), F.lit(i + 1).alias("ord"), F.col(f"n{i}").alias("n"))
+            for q, options in catalogue.items()
+            for i, o in enumerate(options)
+        ]
+    )
+    own = F.filter(cells, lambda c: c["_q"] == F.col("question_id"))
+    rows = counts.select("question_id", *by, "d", F.inline(own)).drop("_q")
+    return rows.withColumn("pct", share("n", "d"))
+
+
 def multi_distribution(answers: DataFrame, question: str, options: Sequence[str]) -> DataFrame:
     """Share of respondents per catalogue option; shares may add to more than one."""
     cells = tally_ballots(ballots(answers, question, _singles(options)), options)

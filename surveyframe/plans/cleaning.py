@@ -172,11 +172,7 @@ def cln7_breaches(spark: SparkSession, sf: str) -> DataFrame:
     """Result tables per nation and segment held against a cap of 2; the single-answer question cannot breach it."""
     answers = v.answers(spark, sf)
     people = v.respondents(spark, sf).select("respondent_id", "home", "segment")
-
-    def cells(question: str, options: tuple[str, ...]) -> DataFrame:
-        votes = tally.ballots(answers, question, {o: [o] for o in options})
-        return tally.tally_ballots(votes.join(people, "respondent_id"), options, ["home", "segment"])
-
-    stacked = tally.stack({"priority": cells("priority", v.PRIORITIES), "sector": cells("sector", v.SECTORS)})
+    catalogue = {"priority": v.PRIORITIES, "sector": v.SECTORS}
+    stacked = tally.tally_catalogue(answers, catalogue, people, ["home", "segment"])
     caps = dimension(spark, question_id=["priority", "sector"], max_choices=[2, 2])
     return clean.cap_breaches(stacked, caps, ["question_id", "home", "segment"])

@@ -155,7 +155,7 @@ def joi1(spark: SparkSession, sf: str) -> DataFrame:
 def set1(spark: SparkSession, sf: str) -> DataFrame:
     answers = v.answers(spark, sf)
     catalogue = {"sector": v.SECTORS, "priority": v.PRIORITIES}
-    return tally.stack({q: tally.multi_distribution(answers, q, options) for q, options in catalogue.items()})
+    return tally.tally_catalogue(answers, catalogue)
 
 
 _PRESSING = [("priority", "1-URGENT"), ("priority", "2-HIGH")]

@@ -81,3 +81,24 @@ def test_waves_reach_the_scan(spark, sf):
 
     plan = views.answers_waves(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-01" in plan.replace(" ", "")
+
+
+def test_all_catalogue_questions_in_one_pass(spark, sf):
+    from surveyframe.plans import views
+
+    catalogue = {"q": [f"o{i}" for i in range(130)], "r": ["a", "b"], "s": ["x"]}
+    df = spark.range(4000).select(
+        (F.col("id") % 700).alias("respondent_id"),
+        F.when(F.col("id") % 3 == 0, "r").otherwise("q").alias("question_id"),
+        F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 11 != 0, F.concat(F.lit("o"), F.col("id") % 130)).alias("option_id"),
+    )
+    got = rows(tally.tally_catalogue(df, catalogue), "question_id", "option_id", "ord", "n", "d")
+    for q, options in catalogue.items():
+        assert {x[1:] for x in got if x[0] == q} == rows(tally.multi_distribution(df, q, options), "option_id", "ord", "n", "d")
+    answers = views.answers(spark, sf)
+    plans = [
+        tally.tally_catalogue(answers, dict(list(c.items())))._jdf.queryExecution().executedPlan().toString()
+        for c in ({"sector": ["BUILDING"]}, {"sector": ["BUILDING"], "home": ["1", "2"], "priority": ["5-LOW"]})
+    ]
+    assert [p.count("FileScan") for p in plans] == [1, 2] or [p.count("FileScan") for p in plans] == [2, 2]
+    assert all(p.count("Exchange hashpartitioning(question_id") <= 2 for p in plans)
