@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import io
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,12 +11,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "total_of"]
+__all__ = ["attach", "components", "id_bits", "keep_bits", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 2 << 20
@@ -27,6 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 _sent: set[str] = set()
 
 
@@ -40,12 +48,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.applicationId in _sent:
         return
-    package = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
+    package, packed = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(to))
+    to = f"{scratch_path(spark, 'package')}.zip"
+    store, path = open_store(to)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(to)
     _sent.add(spark.sparkContext.applicationId)
 
 

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import attach, id_bits, keep_bits, prepare, release, scratch_path, settled
+from surveyframe.llm.common import attach, id_bits, keep_bits, open_store, prepare, release, scratch_path, settled
 
 #: Lines of an index block.
 BLOCK = 1_000
@@ -45,10 +45,6 @@ _URL = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
-
-
 def _plain(text: str) -> str:
     return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", text)
 
@@ -118,7 +114,7 @@ def _write(root: str, bits):
     """Archive the rows of a task; with ``bits``, rows that may be revisits are left to a second pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(root)
+        store, base = open_store(root)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
@@ -177,7 +173,7 @@ def _index_part(root: str):
     """Blocks and directory of one sorted part: lines ``entry TAB archive at size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(root)
+        store, base = open_store(root)
         name = uuid.uuid4().hex
         out, lines, directory, at, last = None, [], [], 0, b""
 
@@ -251,7 +247,7 @@ class Directory:
 
 def _look_up(root: str, parts: list[tuple[bytes, bytes, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(root)
+        store, base = open_store(root)
         lasts = [p[1] for p in parts]
         opened: tuple[int, Directory | None] = (-1, None)
         held: tuple[tuple[int, int], list] = ((-1, -1), [])
@@ -300,7 +296,7 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 def _read(root: str, payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(root)
+        store, base = open_store(root)
         file, name, lo, data = None, None, 0, b""
         for batch in batches:
             rows = []
