@@ -7,12 +7,13 @@ least, so all impacts are non-negative and a score is a constant plus the sum of
 weight times impact. Lists are cut into segments of equal quantised impact and kept
 by descending impact.
 
-A query goes through its segments score at a time: rounds take all segments whose
-weight times impact is above a falling bound. What has been added up is a lower
-bound of each candidate's score; the impacts not reached yet and the quantising
-bound what may be missing. The rounds stop only when that proves that all but a few
-candidates are below the k-th lower bound, or when no segment is left. The possible
-members are scored exactly, in integers. Blocks do not know of each other; the
+Queries go through the segments score at a time, by descending impact, a batch of
+queries at once: a round takes all segments down to a level and adds weight times
+quantised impact to the accumulators. What has been added up is a lower bound of each
+candidate's score; the impacts not reached yet and the quantising bound what may be
+missing. A query stops only when that proves that all but a few candidates are below
+the k-th lower bound, or when no segment is left. The possible members are scored
+exactly, in integers; accumulators are exact too, below 2**53. Blocks do not know of each other; the
 blocks' lists are merged by score.
 """
 
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm.common import prepare, settled
 
-#: Candidates and queries of a block.
+#: Candidates and queries of a block, and queries that are accumulated together.
 BLOCK = 8192
 QUERIES = 256
-#: Levels of the quantised impact.
-LEVELS = 24
+BATCH = 64
+#: Levels of the quantised impact, and the lowest level of each round.
+LEVELS = 256
+ROUNDS = (176, 144, 120, 100, 80, 60, 40, 20, 0)
 #: Possible members that end the rounds, for each of the k.
 ENOUGH = 12
 
@@ -44,59 +47,57 @@ def valid(vector: str = "embedding"):
 
 
 class Index:
-    """Posting lists of one block, each sorted by descending impact, with the bounds of its segments."""
+    """Posting lists of one block, each sorted by descending impact, with the bounds of its segments.
+
+    List 2 d is for queries that are positive in dimension d, list 2 d + 1 for negative ones.
+    """
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         n, d = vectors.shape
-        self.low, self.high = vectors.min(0), vectors.max(0)
-        width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        self.width = width
-        self.order, self.ends, self.impact = [], [], []
-        for sign in (0, 1):
-            impact = vectors - self.low if sign else self.high - vectors
-            level = impact // width
-            order = np.argsort(-level, axis=0, kind="stable").T.astype(np.int32)
-            # ends[dim, s]: postings with a level of at least LEVELS - 1 - s
-            counts = np.stack([np.bincount(level[:, k], minlength=LEVELS) for k in range(d)])
-            self.order.append(order)
-            self.ends.append(np.cumsum(counts[:, ::-1], 1))
-
-    def top(self, query: np.ndarray, k: int, own: int) -> np.ndarray:
-        """Positions of candidates that may be among the k best, ``own`` excepted."""
+        low, high = vectors.min(0), vectors.max(0)
+        impact = np.empty((2 * d, n), np.int64)
+        impact[0::2], impact[1::2] = (vectors - low).T, (high - vectors).T
+        self.width = np.repeat(np.maximum(1, -(-(high - low + 1) // LEVELS)), 2)
+        level = impact // self.width[:, None]
+        self.order = np.argsort(-level, axis=1, kind="stable")
+        self.level = np.take_along_axis(level, self.order, 1)
+
+    def segments(self, top: int, low: int) -> np.ndarray:
+        """Quantised impacts of the postings with a level from ``low`` to below ``top``, by list and vector."""
+        out = np.zeros(self.order.shape)
+        for k, level in enumerate(self.level):
+            a, b = np.searchsorted(-level, [1 - top, 1 - low])  # descending: levels below top, down to low
+            out[k, self.order[k, a:b]] = level[a:b] * self.width[k]
+        return out
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+        """For each query, positions of the vectors that may be among its k best, ``own`` (or -1) excepted."""
         n = len(self.vectors)
-        dims = np.flatnonzero(query)
-        weight = np.abs(query[dims])
-        sign = (query[dims] > 0).astype(np.int64)
-        step = self.width[dims]
-        level = np.arange(LEVELS - 1, -1, -1)
-        worth = weight[:, None] * (level + 1) * step[:, None]  # above any posting of the segment
-        got = np.zeros(n, np.int64)
-        taken = np.zeros(len(dims), np.int64)  # segments done in each list
-        bound, few = worth.max(initial=0), ENOUGH * (k + 1)
-        limit = n if own < 0 else n - 1
-        if limit <= few:
-            return np.flatnonzero(np.arange(n) != own)
-        while True:
-            bound = bound * 0.7
-            upto = np.maximum((worth > bound).sum(1), taken)
-            if bound < 1:
-                upto[:] = LEVELS
-            for i in np.flatnonzero(upto > taken):
-                ends = self.ends[sign[i]][dims[i]]
-                a = ends[taken[i] - 1] if taken[i] else 0
-                b = ends[upto[i] - 1]
-                ids = self.order[sign[i]][dims[i], a:b]
-                sizes = np.diff(np.concatenate(([a], ends[taken[i] : upto[i]])))
-                got[ids] += np.repeat(weight[i] * level[taken[i] : upto[i]] * step[i], sizes)
-            taken = upto
-            # a list not finished may still add its next segment's worth; a finished one at most its quantising
-            left = np.where(taken < LEVELS, worth[np.arange(len(dims)), np.minimum(taken, LEVELS - 1)], 0)
-            missing = int(np.maximum(left, weight * (step - 1)).sum())
-            floor = np.partition(np.delete(got, own) if own >= 0 else got, limit - k)[limit - k]
-            possible = np.flatnonzero(got + missing >= floor)
-            if len(possible) <= few or (taken == LEVELS).all():
-                return possible[possible != own]
+        weight = np.zeros((len(queries), 2 * queries.shape[1]))
+        weight[:, 0::2], weight[:, 1::2] = np.maximum(queries, 0), np.maximum(-queries, 0)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        got, open_, top = np.zeros((len(queries), n)), np.arange(len(queries)), LEVELS
+        for low in ROUNDS:
+            got[open_] += weight[open_] @ self.segments(top, low)
+            top = low
+            # what may be missing: of postings not reached all below the bound, of others what quantising cut off
+            missing = weight[open_] @ np.maximum(low * self.width, self.width - 1.0)
+            some = got[open_]
+            has = own[open_] >= 0
+            some[np.flatnonzero(has), own[open_][has]] = -np.inf
+            if n > k:
+                floor = np.partition(some, n - k, axis=1)[:, n - k]  # the k-th lower bound
+            else:
+                floor = np.full(len(some), -np.inf)
+            possible = (some + missing[:, None] >= floor[:, None]) & np.isfinite(some)
+            done = (possible.sum(1) <= ENOUGH * k) | (low == 0)
+            for q in np.flatnonzero(done):
+                out[open_[q]] = np.flatnonzero(possible[q])
+            open_ = open_[~done]
+            if not len(open_):
+                break
+        return out
 
 
 def _search(k: int):
@@ -106,14 +107,16 @@ def _search(k: int):
             block = block.sort_values("vec_id", ignore_index=True)
             ids = block["vec_id"].to_numpy()
             index = Index(np.stack([np.frombuffer(x, np.int64) for x in block["vector"]]))
-            for qid, raw in zip(queries["vec_id"], queries["vector"], strict=True):
-                q = np.frombuffer(raw, np.int64)
-                at = int(np.searchsorted(ids, qid))
-                own = at if at < len(ids) and ids[at] == qid else -1
-                some = index.top(q, k, own)
-                score = index.vectors[some] @ q
-                best = np.lexsort((ids[some], -score))[:k]
-                out += [(qid, i, s) for i, s in zip(ids[some[best]].tolist(), score[best].tolist(), strict=True)]
+            asked = queries["vec_id"].to_numpy()
+            q = np.stack([np.frombuffer(x, np.int64) for x in queries["vector"]])
+            at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+            own = np.where(ids[at] == asked, at, -1)
+            for a in range(0, len(asked), BATCH):
+                found = index.top(q[a : a + BATCH], k, own[a : a + BATCH])
+                for qid, v, some in zip(asked[a : a + BATCH].tolist(), q[a : a + BATCH], found, strict=True):
+                    score = index.vectors[some] @ v
+                    best = np.lexsort((ids[some], -score))[:k]
+                    out += [(qid, i, s) for i, s in zip(ids[some[best]].tolist(), score[best].tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
