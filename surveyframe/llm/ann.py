@@ -32,6 +32,8 @@ from surveyframe.llm.topk import valid
 PART = 2_048
 #: Neighbours of a vector in the graph, and reverse neighbours that join them in a round.
 DEGREE = 32
+#: Pairs that a part adds before it keeps only each vector's best.
+HELD = 1_000_000
 REVERSE = 32
 #: Rounds of joins at most, and the share of changed neighbours that ends them.
 ROUNDS = 8
@@ -211,6 +213,17 @@ def _pass_on(dim: int, degree: int, parts: int):
     return run
 
 
+def _best_met(got: list[tuple[np.ndarray, ...]], degree: int) -> tuple[np.ndarray, ...]:
+    """Of those that met, each one's best: no others can be among its neighbours."""
+    a, b, s = (np.concatenate(c) for c in zip(*got, strict=True))
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    a, b, s = a[once], b[once], s[once]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < degree
+    return a[keep], b[keep], s[keep]
+
+
 def _introduce(dim: int, degree: int, parts: int):
     """At each host, score all pairs of its members of which one is new to it."""
 
@@ -225,7 +238,8 @@ def _introduce(dim: int, degree: int, parts: int):
         member, host, fresh = member[once], host[once], fresh[once]
         at = np.searchsorted(who, member)
         cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(host)), bool), host[1:] != host[:-1])))
-        got_a, got_b, got_s = [], [], []
+        got: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(host)], strict=True):
             k, new = at[a:b], fresh[a:b]
             if len(k) < 2 or not new.any():
@@ -235,16 +249,13 @@ def _introduce(dim: int, degree: int, parts: int):
             np.fill_diagonal(s, -np.inf)
             i, j = np.nonzero((s > worst[k][:, None]) & (new[:, None] | new[None, :]))
             if len(i):
-                got_a.append(k[i])
-                got_b.append(k[j])
-                got_s.append(s[i, j])
-        if not got_a:
+                got.append((k[i].astype(np.int32), k[j].astype(np.int32), s[i, j]))
+                held += len(i)
+                if held > HELD:
+                    got, held = [_best_met(got, degree)], 0
+        if not got:
             return pd.DataFrame([], columns=["part", "to", "met", "score"])
-        a, b, s = np.concatenate(got_a), np.concatenate(got_b), np.concatenate(got_s)
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b, s = a[once], b[once], s[once]
+        a, b, s = _best_met(got, degree)
         out = [(k, *(c.tobytes() for c in cols)) for k, cols in _split(part_of(who[a], parts), who[a], who[b], s)]
         return pd.DataFrame(out, columns=["part", "to", "met", "score"])
 
