@@ -19,45 +19,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm.common import prepare, slabs
-from surveyframe.llm.encoding import Encoder, encoder, space_chunks
+from surveyframe.llm.encoding import LATIN, Encoder, encoder, space_chunks
 
 #: Chunks of a leaf.
-LEAF = 64
+LEAF = 16
 #: Bytes on either side of a cut that decide whether it is a chunk border.
 REACH = 4
 
 
 class Tree:
-    """Sums of bytes and tokens over a document's leaves, an array of subtree sums each.
+    """Sums of bytes and tokens over a document's leaves, a list of subtree sums each.
 
-    Node k has the children 2k and 2k + 1; leaves begin at ``width``. Leaves that an
-    edit adds are put beside the leaf they come from: the slot keeps a list of them.
+    Node k has the children 2k and 2k + 1; leaves begin at ``width``. What an edit
+    adds goes to the leaf where it begins.
     """
 
-    def __init__(self, sizes: np.ndarray, tokens: np.ndarray):
+    def __init__(self, sizes: list[int], tokens: list[int]):
         self.width = 1 << max(0, (max(1, len(sizes)) - 1).bit_length())
-        self.bytes = np.zeros(2 * self.width, np.int64)
-        self.tokens = np.zeros(2 * self.width, np.int64)
-        for sums, own in ((self.bytes, sizes), (self.tokens, tokens)):
-            sums[self.width : self.width + len(own)] = own
-            level = self.width
-            while level > 1:
-                sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
-                level //= 2
+        self.bytes, self.tokens = self._sums(sizes), self._sums(tokens)
+
+    def _sums(self, own: list[int]) -> list[int]:
+        sums = [0] * self.width + list(own) + [0] * (self.width - len(own))
+        for k in range(self.width - 1, 0, -1):
+            sums[k] = sums[2 * k] + sums[2 * k + 1]
+        return sums
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds byte ``at`` and the byte where it begins; the last one with bytes at the end."""
-        at, k, begin = min(at, int(self.bytes[1]) - 1), 1, 0
+        at, k, begin = min(at, self.bytes[1] - 1), 1, 0
         while k < self.width:
             k *= 2
             if at - begin >= self.bytes[k]:
-                begin += int(self.bytes[k])
+                begin += self.bytes[k]
                 k += 1
         return k - self.width, begin
 
-    def add(self, leaf: int, size: int, tokens: int) -> None:
+    def set(self, leaf: int, size: int, tokens: int) -> None:
         k = self.width + leaf
-        while k:
+        size, tokens = size - self.bytes[k], tokens - self.tokens[k]
+        while k and (size or tokens):
             self.bytes[k] += size
             self.tokens[k] += tokens
             k //= 2
@@ -95,70 +95,83 @@ def _build(path: str):
     return run
 
 
-def _count(e: Encoder, text: bytes) -> int:
-    buf = np.frombuffer(text, np.uint8)
-    start, end = space_chunks(buf, np.array([0, len(buf)]))
-    return int(e.counts(e.rows(buf, start, end)).sum())
-
-
-def _borders(text: bytearray, lo: int, hi: int) -> np.ndarray:
-    """Chunk borders of the whole text within [lo, hi], told from a few bytes beyond."""
-    a, b = max(0, lo - REACH), min(len(text), hi + REACH)
-    start, _ = space_chunks(np.frombuffer(bytes(text[a:b]), np.uint8), np.array([0, b - a]))
-    at = start + a
-    at = at[(at > a) | (a == 0)]
-    at = np.append(at, len(text)) if b == len(text) else at
-    return at[(at >= lo) & (at <= hi)]
-
-
-def edit(e: Encoder, text: bytearray, tree: Tree, at: int, remove: int, insert: bytes) -> int:
-    """Apply one edit in bytes to the text and its tree; the bytes that were encoded anew."""
-    n = len(text)
-    at = min(at, n)
-    remove = min(remove, n - at)
-    if not n:
-        text += insert
-        tree.add(0, len(insert), _count(e, insert))
-        return len(insert)
-    left, begin = tree.find(max(0, at - REACH))
-    right, last = tree.find(min(n - 1, at + remove + REACH))
-    stop = last + int(tree.bytes[tree.width + right])
-    text[at : at + remove] = insert
-    grown = len(insert) - remove
-    # from the border before the first leaf touched to the one after the last, in the new text
-    while begin > 0 and not len(_borders(text, begin, begin)):
-        left, begin = tree.find(begin - 1)
-    while stop < n and not len(_borders(text, stop + grown, stop + grown)):
-        right, last = tree.find(stop)
-        stop = last + int(tree.bytes[tree.width + right])
-    tokens = _count(e, bytes(text[begin : stop + grown]))
-    for leaf in range(left, right + 1):  # the first leaf takes what was told anew
-        size, own = int(tree.bytes[tree.width + leaf]), int(tree.tokens[tree.width + leaf])
-        here = leaf == left
-        tree.add(leaf, (stop + grown - begin) * here - size, tokens * here - own)
-    return stop + grown - begin
+def _counts(e: Encoder, texts: list[bytes]) -> list[int]:
+    """Tokens of each text, all told together."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    start, end = space_chunks(buf, bounds)
+    total = np.concatenate(([0], np.cumsum(e.counts(e.rows(buf, start, end)), dtype=np.int64)))
+    return np.diff(total[np.searchsorted(start, bounds)]).tolist()
+
+
+def is_border(text: bytes, at: int) -> bool:
+    """Whether a chunk may begin at byte ``at``: the rule of ``space_chunks`` for one place."""
+    if at <= 0 or at >= len(text):
+        return True
+    if text[at] != 0x20 or at + 1 >= len(text):
+        return False
+    before = 0x21 <= text[at - 1] < 0x7F or at > 1 and text[at - 2] == LATIN
+    return before and (0x21 <= text[at + 1] < 0x7F or text[at + 1] == LATIN)
+
+
+class Document:
+    """A text in the making, its tree, and the part of it that waits to be encoded again."""
+
+    def __init__(self, text: str, sizes: list[int], tokens: list[int]):
+        self.text, self.raw, self.tree = text, text.encode(), Tree(sizes, tokens)
+        self.encoded = self.edits = 0
+
+    def edit(self, at: int, remove: int, insert: str) -> bytes:
+        """Apply an edit in characters; what has to be encoded anew, from border to border."""
+        at = min(at, len(self.text))
+        head, gone = self.text[:at], self.text[at : at + remove]
+        lo, cut, n = len(head.encode()), len(gone.encode()), len(self.raw)
+        self.text = f"{head}{insert}{self.text[at + remove :]}"
+        self.raw = self.text.encode()
+        grown, tree = len(self.raw) - n, self.tree
+        if n:
+            left, begin = tree.find(max(0, lo - REACH))
+            right, last = tree.find(min(n - 1, lo + cut + REACH))
+            stop = last + tree.bytes[tree.width + right]
+            while not is_border(self.raw, begin):
+                left, begin = tree.find(begin - 1)
+            while stop < n and not is_border(self.raw, stop + grown):
+                right, last = tree.find(stop)
+                stop = last + tree.bytes[tree.width + right]
+        else:
+            left = right = begin = stop = 0
+        self.waits = (left, right, stop + grown - begin)
+        self.edits += 1
+        return self.raw[begin : stop + grown]
+
+    def settle(self, tokens: int) -> None:
+        """The first leaf touched takes what was encoded anew, the others become empty."""
+        left, right, size = self.waits
+        self.encoded += size
+        self.tree.set(left, size, tokens)
+        for leaf in range(left + 1, right + 1):
+            self.tree.set(leaf, 0, 0)
+
+
+def _valid(edits: list | None) -> list[tuple[int, int, str]]:
+    some = [x for x in edits or [] if x is not None and x["at"] is not None and x["at"] >= 0]
+    return [(x["at"], max(0, x["remove"] or 0), x["insert"] or "") for x in some]
 
 
 def _apply(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            rows = []
-            for text, edits, sizes, tokens in zip(*(batch.column(c).to_pylist() for c in ("text", "edits", "leaf_bytes", "leaf_tokens")), strict=True):
-                now = bytearray((text or "").encode())
-                tree = Tree(np.array(sizes, np.int64), np.array(tokens, np.int64))
-                before, anew, done = int(tree.tokens[1]), 0, 0
-                for x in edits or []:
-                    if x is None or x["at"] is None or x["at"] < 0:
-                        continue
-                    raw = np.frombuffer(bytes(now), np.uint8)
-                    chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # edits count characters
-                    a = min(x["at"], len(chars) - 1)
-                    b = min(a + max(0, x["remove"] or 0), len(chars) - 1)
-                    lo, hi = int(chars[a]), int(chars[b])
-                    anew += edit(e, now, tree, lo, hi - lo, (x["insert"] or "").encode())
-                    done += 1
-                rows.append((before, int(tree.tokens[1]), int(tree.bytes[1]), anew, done, now.decode()))
+            columns = (batch.column(c).to_pylist() for c in ("text", "leaf_bytes", "leaf_tokens"))
+            docs = [Document(t or "", sizes, tokens) for t, sizes, tokens in zip(*columns, strict=True)]
+            before = [d.tree.tokens[1] for d in docs]
+            edits = [_valid(x) for x in batch.column("edits").to_pylist()]
+            for turn in range(max(map(len, edits), default=0)):  # each document's next edit, encoded together
+                own = [k for k, x in enumerate(edits) if len(x) > turn]
+                anew = [docs[k].edit(*edits[k][turn]) for k in own]
+                for k, tokens in zip(own, _counts(e, anew), strict=True):
+                    docs[k].settle(tokens)
+            rows = [(b, d.tree.tokens[1], d.tree.bytes[1], d.encoded, d.edits, d.text) for b, d in zip(before, docs, strict=True)]
             names = ["tokens_before", "tokens", "n_bytes", "bytes_encoded", "n_edits", "text"]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             kinds = [pa.int64()] * 5 + [pa.string()]
