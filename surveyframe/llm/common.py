@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import io
 import zipfile
@@ -71,6 +73,13 @@ def total_of(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(column)).first()[0] or 0
 
 
+def tidy() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks, and share a node's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slabs(batch: pa.RecordBatch, name: str = "text", limit: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a batch with the bytes of their texts (null: empty) and each text's bounds.
 
@@ -87,6 +96,7 @@ def slabs(batch: pa.RecordBatch, name: str = "text", limit: int = SLAB) -> Itera
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    tidy()
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:

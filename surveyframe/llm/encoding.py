@@ -20,7 +20,7 @@ import numpy as np
 from surveyframe.llm.texthash import SPACE, span, sums
 
 #: Distinct chunks that a worker remembers; beyond, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 PRINTING = np.zeros(256, bool)
 PRINTING[0x21:0x7F] = True

@@ -147,7 +147,7 @@ def _score(weights):
         w = weights.value
         for batch in batches:
             out = []
-            for at, end, buf, bounds in slabs(texts_of(batch)):
+            for at, end, buf, bounds in slabs(texts_of(batch), limit=1 << 20):
                 x, ends = encode(buf, bounds)
                 out.append(sigmoid(forward(w, x, np.repeat(np.arange(end - at), np.diff(ends)), end - at)[0]))
             score = np.concatenate(out).astype(np.float64) if out else np.zeros(0)

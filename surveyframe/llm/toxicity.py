@@ -263,7 +263,7 @@ class _Part(Vocabulary):
 def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [document_logits(weights.value, buf, bounds) for _, _, buf, bounds in slabs(texts_of(batch))]
+            out = [document_logits(weights.value, buf, bounds) for _, _, buf, bounds in slabs(texts_of(batch), limit=1 << 20)]
             score = sigmoid(np.concatenate(out).astype(np.float64)) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
