@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "total_of"]
+__all__ = ["attach", "components", "id_bits", "keep_bits", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
-SLAB = 2 << 20
+SLAB = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
@@ -85,6 +85,7 @@ def slabs(batch: pa.RecordBatch, name: str = "text", limit: int = SLAB) -> Itera
 
     A slab holds whole texts: many short ones, or a single long one.
     """
+    tidy()
     col = pc.fill_null(batch.column(name).cast(pa.large_binary()), b"")
     n = len(col)
     if not n:

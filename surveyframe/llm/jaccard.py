@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm import texthash
-from surveyframe.llm.common import attach, components, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits, total_of
+from surveyframe.llm.common import attach, components, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits, tidy, total_of
 
 #: Counters of the frequency sketch: 32 MB of them whatever the corpus.
 SKETCH_BITS = 23
@@ -72,6 +72,9 @@ def _signatures(size: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SLICES, kind), none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names
             )
+            del parts
+        del sketch
+        tidy()
 
     return run
 
@@ -119,6 +122,8 @@ def _prefixes(size: int, percent: int, ranges: int, sketch):
                     held, count, seen = [], 0, set()
         if held:
             yield packed()
+        del held, seen
+        tidy()
 
     return run
 
@@ -136,6 +141,7 @@ def _shared(percent: int):
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tidy()  # what the last group left
         kinds = (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32))
         t, node, n, place = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in kinds)
         o = np.lexsort((node, n, t))
@@ -216,6 +222,7 @@ def _within(percent: int):
     """Components of the links inside each group: (node, label, size), the label being the smallest node."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         rows = rows.sort_values("node", ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         matrix, label = Matrix(sets), np.arange(len(rows))
@@ -234,6 +241,7 @@ def _open_groups(percent: int):
 
     def run(key: tuple, texts: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         links = set()
+        tidy()
         if len(texts) and len(members):
             matrix = Matrix([np.frombuffer(x, np.uint64) for x in members["tokens"]])
             size, label = members["size"].to_numpy(), members["label"].to_numpy()
