@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import prepare, release, settled
+from surveyframe.llm.common import prepare, release, settled, tidy
 from surveyframe.llm.texthash import U, mix
 from surveyframe.llm.topk import valid
 
@@ -173,6 +173,7 @@ def _send(dim: int, degree: int, parts: int, reverse: bool):
     """Each vector to the parts of those that will introduce it: the owners it is a neighbour of, and its own neighbours."""
 
     def run(key: tuple, graph: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         p = Part(next(graph.itertuples()), dim, degree)
         rng = np.random.default_rng(key[0])
         to, owner, fresh = (_cat(told[c], k) for c, k in (("to", np.int64), ("owner", np.int64), ("fresh", np.bool_)))
@@ -228,6 +229,7 @@ def _introduce(dim: int, degree: int, parts: int):
     """At each host, score all pairs of its members of which one is new to it."""
 
     def run(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         who, first = np.unique(_cat(sent["who"], np.int64), return_index=True)
         x = _cat(sent["vectors"], np.float16, dim)[first, :-1].astype(np.float32)
         worst = _cat(sent["worst"], np.float32)[first]
@@ -266,6 +268,7 @@ def _update(dim: int, degree: int):
     """Replace the worst neighbours by better ones that were met."""
 
     def run(key: tuple, graph: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         p = Part(next(graph.itertuples()), dim, degree)
         n = len(p.ids)
         row = p.row_of(_cat(met["to"], np.int64))
@@ -395,6 +398,7 @@ def _answer(dim: int, degree: int):
     """Neighbours of the nodes opened, with their scores."""
 
     def run(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         out = []
         if len(asked):
             row = next(graph.itertuples())
@@ -425,6 +429,7 @@ def _answer(dim: int, degree: int):
 
 def _merge(dim: int, beam: int):
     def run(key: tuple, beams: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         b = Beams(next(beams.itertuples()), dim, beam)
         opened = b.opened | b.next()
         row = np.searchsorted(b.queries, _cat(answers["queries"], np.int64))
