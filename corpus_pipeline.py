@@ -27,8 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 400 that are found elsewhere too; lengths are told anew."""
-    return remove_repeats(docs, length=400).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without strings of 400 bytes or of 51 words that are found elsewhere too; lengths are told anew."""
+    return remove_repeats(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

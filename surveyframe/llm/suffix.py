@@ -20,6 +20,9 @@ suffixes again; buckets that are settled drop out of every later round:
 The buckets are in the order of hashes, since only equality matters here. One
 symbol a round, as in the original, would cost as many shuffles as the longest
 common prefix; the rounds here take a few hundred bytes each.
+
+Strings may be of words instead of bytes: the symbols are then the words, whatever
+white space is between them, and ``length`` counts words.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm.common import attach, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits
-from surveyframe.llm.texthash import U, mix, span, sums
+from surveyframe.llm.encoding import word_chunks
+from surveyframe.llm.texthash import U, mix, running, span, sums
 
 #: Anchors whose keys one group sorts at a time.
 RANGE = 250_000
@@ -56,14 +60,21 @@ def _slide(x: np.ndarray, r: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (r - step)], x[r - step :]) if r > step else x
 
 
-def anchors(buf: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each anchor that owns windows: its text, position, first and last window, and the running sums."""
+def symbols(buf: np.ndarray, bounds: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The running sums over a slab's bytes or words, and each text's bounds among them."""
+    if not words:
+        return sums(buf), bounds
+    start, end = word_chunks(buf, bounds)
+    return running(span(sums(buf), start, end)), np.searchsorted(start, bounds)
+
+
+def anchors(run: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """For each anchor that owns windows: its text, position, first and last window."""
     r, w = geometry(length)
-    run = sums(buf)
     none = np.zeros(0, np.int64)
-    if len(buf) < length:
-        return none, none, none, none, run
-    at = np.arange(len(buf) - w + 1)
+    if len(run) - 1 < length:
+        return none, none, none, none
+    at = np.arange(len(run) - w)
     h = (span(run, at, at + w) >> U(32)).astype(np.uint32)
     least = _slide(h, r, np.minimum)
     end = np.repeat(bounds[1:], np.diff(bounds))[: len(least)]  # of the text at each position
@@ -79,7 +90,7 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     lo = np.maximum(lo, bounds[text])
     hi = np.minimum(p - r + 1, bounds[text + 1] - length)
     own = lo <= hi
-    return text[own], p[own], lo[own], hi[own], run
+    return text[own], p[own], lo[own], hi[own]
 
 
 def _prefix(run: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
@@ -94,7 +105,7 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
 SHARDS = "shard long, range long, prefixes binary, contexts binary, keys binary, owned binary, windows binary, offsets binary, ranks binary"
 
 
-def _shards(length: int, ranges: int):
+def _shards(length: int, ranges: int, words: bool):
     """For each shard one row with its anchors and their order, and its sorted keys by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +115,8 @@ def _shards(length: int, ranges: int):
         for batch in batches:
             for at, end, buf, bounds in slabs(batch):
                 shard += 1
-                text, p, lo, hi, total = anchors(buf, bounds, length)
+                total, bounds = symbols(buf, bounds, words)
+                text, p, lo, hi = anchors(total, bounds, length)
                 if not len(p):
                     continue
                 prefix = _prefix(total, p, length)
@@ -205,7 +217,7 @@ def _flagged(bits):
     return run
 
 
-def _windows(length: int, ranges: int):
+def _windows(length: int, ranges: int, words: bool):
     """Round 3: the hash of every window of the anchors to be told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +230,8 @@ def _windows(length: int, ranges: int):
                     parts = tell[k]
                     if not parts:
                         continue
-                    total = sums(buf) if total is None else total
+                    if total is None:
+                        total, bounds = symbols(buf, bounds, words)
                     told = np.unique(np.frombuffer(b"".join(parts), np.int64).reshape(-1, 4), axis=0)
                     lo, size, off, sure = told.T
                     base = bounds[k - at]
@@ -253,7 +266,7 @@ def _tell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"].to_numpy()[hit], "starts": starts})
 
 
-def _cut(length: int, texts: bool):
+def _cut(length: int, words: bool, texts: bool):
     """Each flagged text without its repeated bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +281,9 @@ def _cut(length: int, texts: bool):
                 lo, hi = _runs(lo[o], hi[o] - 1 + length)
                 if not len(lo):
                     continue
+                if words:
+                    start, end = word_chunks(raw, np.array([0, len(raw)]))
+                    lo, hi = start[lo], end[hi - 1]
                 keep = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(keep, lo, 1)
                 np.add.at(keep, hi, -1)
@@ -282,12 +298,13 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, spans: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: bool = False, spans: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans]) for every row of ``docs``.
 
     A byte goes when some string of ``length`` bytes that covers it starts anywhere
     else too, in the same text or another; strings overlap freely and are judged on
-    the input. ``spans`` adds the maximal removed byte ranges [from, to]. Null texts
+    the input. With ``words`` the strings are of ``length`` words, and go from their
+    first word's first byte to their last word's last. ``spans`` adds the maximal removed byte ranges [from, to]. Null texts
     count as empty; empty and short texts lose nothing; repeated rows lose all they
     share, whatever their ids; ids may be null or repeated. Other columns are
     ignored. An empty table gives an empty result.
@@ -299,8 +316,10 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), sha.alias("sha"), F.unhex(F.substring(sha, 1, 32)).alias("key"))
     light = settled(docs.select("id", "key", F.unhex("sha").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     r, _ = geometry(length)
-    ranges = max(64, int((light.agg(F.sum("n_bytes")).first()[0] or 0) * 2 / r / RANGE))
-    parsed = settled(docs.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_shards(length, ranges), SHARDS), "shards")
+    total = (light.agg(F.sum("n_bytes")).first()[0] or 0) / (6 if words else 1)  # words are of about six bytes
+    ranges = max(64, int(total * 2 / r / RANGE))
+    least = 2 * length - 1 if words else length
+    parsed = settled(docs.where(F.octet_length("text") >= least).select("key", "text").mapInArrow(_shards(length, ranges, words), SHARDS), "shards")
     blocks = parsed.where("range is not null").select("shard", "range", "prefixes", "contexts")
     flags = settled(blocks.groupBy("range").applyInPandas(_interleave, "shard long, range long, flags binary"), "flags")
     release(spark)
@@ -313,12 +332,12 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     open_texts = settled(some.join(found, "key"), "open")
     release(spark)
     windows = open_texts.where(F.size("told") > 0).select("key", "text", "told")
-    hashes = windows.mapInArrow(_windows(length, ranges), "range long, prefix long, key binary, first long, sure boolean, hashes binary")
+    hashes = windows.mapInArrow(_windows(length, ranges, words), "range long, prefix long, key binary, first long, sure boolean, hashes binary")
     starts = hashes.groupBy("range").applyInPandas(_tell, "key binary, starts binary")
     starts = settled(starts.groupBy("key").agg(F.collect_list("starts").alias("starts")), "starts")
     release(spark)
     cut = open_texts.select("key", "text", "sure").join(starts, "key", "left").mapInArrow(
-        _cut(length, spans), "key binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+        _cut(length, words, spans), "key binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     )
     copies = light.groupBy("key").agg(F.count("*").alias("w"))
     cut = settled(cut.join(copies, "key"), "cut")
@@ -343,7 +362,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw, at, parts = (text or "").encode(), 0, []
-            for lo, hi in spans:  # a character goes only as a whole
+            lo, hi = np.array(sorted(spans), np.int64).reshape(-1, 2).T
+            for lo, hi in zip(*(x.tolist() for x in _runs(lo, hi)), strict=True):  # a character goes only as a whole
                 while lo < hi and raw[lo] & 0xC0 == 0x80:
                     lo += 1
                 while hi < len(raw) and hi > lo and raw[hi] & 0xC0 == 0x80:
@@ -354,15 +374,23 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["spans"])
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` with the bytes that ``repeated_bytes`` finds taken out of their texts.
 
-    Characters of which only a part repeats stay. All rows and columns are kept, null
-    texts too; only texts that lose something are shuffled.
+    With ``words``, repeated strings of so many words go too; both kinds are judged on
+    the input. Characters of which only a part repeats stay. All rows and columns are
+    kept, null texts too; only texts that lose something are shuffled.
     """
     spark = docs.sparkSession
-    found = repeated_bytes(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), length=length, spans=True)
-    found = settled(found.where("n_spans > 0").groupBy("text_key").agg(F.first("spans").alias("spans")), "repeats")
+    texts = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
+    kinds = [(length, False), *([(words, True)] if words else [])]
+    found = None
+    for n, by_word in kinds:
+        some = repeated_bytes(texts, length=n, words=by_word, spans=True).where("n_spans > 0")
+        some = settled(some.groupBy("text_key").agg(F.first("spans").alias("spans")), "repeats")
+        release(spark)
+        found = some if found is None else found.unionByName(some)
+    found = found.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     bits = spark.sparkContext.broadcast(id_bits(found.select(F.xxhash64("text_key").alias("h")), "h"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
     rows = rows.withColumn("h", F.xxhash64("key"))

@@ -40,8 +40,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def sums(buf: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
     """Running sums from which ``span`` makes hashes."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * powers(len(buf) + 1)[0][: len(buf)], out=out[1:])
+    return running(table[buf])
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """``sums`` over a value for each symbol."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
