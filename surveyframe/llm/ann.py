@@ -1,7 +1,10 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
-A vector is its direction and its length. The graph joins vectors of near direction,
-so that it can be walked; queries score by the inner product, length included.
+A vector is its direction and its length. One half of a vector's neighbours are those
+of nearest direction, so that the graph can be walked; the other half are, of the
+rest, those of largest inner product with it, so that long vectors at a moderate
+angle are met. With equal lengths both are one order. Queries score by the inner
+product, length included, and begin at their own place and at the longest vectors.
 Vectors are dealt to parts of about ``PART`` by a hash of their id, and everything
 that moves is packed by part.
 
@@ -38,6 +41,8 @@ REVERSE = 32
 #: Rounds of joins at most, and the share of changed neighbours that ends them.
 ROUNDS = 8
 SETTLED = 0.01
+#: The longest vectors, at which every query begins too.
+WAYS_IN = 32
 #: Beam of a query, vectors it opens in a round, and rounds at most.
 BEAM = 160
 OPENED = 24
@@ -67,18 +72,48 @@ def _cat(column, kind, width: int | None = None) -> np.ndarray:
     return x if width is None else x.reshape(-1, width)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, flags: np.ndarray, k: int):
-    """Of each row, the k best distinct ids; -1 for none. Of copies of an id, one with a flag counts."""
+def _distinct(ids: np.ndarray, flags: np.ndarray, *columns: np.ndarray):
+    """The rows by id, and which of their ids are new. Of copies of an id, one with a flag comes first."""
     order = np.lexsort((~flags, ids), axis=1)
-    ids, scores, flags = (np.take_along_axis(x, order, 1) for x in (ids, scores, flags))
-    again = np.zeros(ids.shape, bool)
-    again[:, 1:] = ids[:, 1:] == ids[:, :-1]
-    scores = np.where(again | (ids == NONE), -np.inf, scores)
+    ids, flags, *columns = (np.take_along_axis(x, order, 1) for x in (ids, flags, *columns))
+    new = ids != NONE
+    new[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+    return new, ids, flags, *columns
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, flags: np.ndarray, k: int):
+    """Of each row, the k best distinct ids; NONE for none. Of copies of an id, one with a flag counts."""
+    new, ids, flags, scores = _distinct(ids, flags, scores)
+    scores = np.where(new, scores, -np.inf)
     order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     ids, scores, flags = (np.take_along_axis(x, order, 1) for x in (ids, scores, flags))
     return np.where(np.isfinite(scores), ids, NONE), scores, flags & np.isfinite(scores)
 
 
+def _both_best(ids: np.ndarray, scores: np.ndarray, lengths: np.ndarray, flags: np.ndarray, k: int):
+    """``_best`` of neighbours: first the nearest half by direction, then the best by inner product of the rest."""
+    new, ids, flags, scores, lengths = _distinct(ids, flags, scores, lengths)
+    scores = np.where(new, scores, -np.inf)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    ids, scores, flags, lengths = (np.take_along_axis(x, order, 1) for x in (ids, scores, flags, lengths))
+    half = k - k // 2
+    inner = np.where(np.isfinite(scores), scores, 0) * lengths
+    inner = np.where(np.isfinite(scores), inner, -np.inf)
+    inner[:, :half] = np.inf  # stay in front, in their order
+    order = np.argsort(-inner, axis=1, kind="stable")[:, :k]
+    ids, scores, flags, lengths = (np.take_along_axis(x, order, 1) for x in (ids, scores, flags, lengths))
+    has = np.isfinite(scores)
+    return np.where(has, ids, NONE), scores, np.where(has, lengths, 0), flags & has
+
+
+def _least(scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What a new neighbour's direction, or else its inner product, has to exceed, as two columns."""
+    half = scores.shape[1] - scores.shape[1] // 2
+    has = np.isfinite(scores)
+    inner = np.where(has, np.where(has, scores, 0) * lengths, -np.inf)
+    return np.column_stack((scores[:, :half].min(1), inner[:, half:].min(1) if half < scores.shape[1] else np.full(len(scores), np.inf))).astype(np.float32)
+
+
 def _ragged(owner: np.ndarray, n: int, *columns: np.ndarray, fill):
     """Columns of rows with an owner in 0..n-1 as matrices with a row for each owner."""
     order = np.argsort(owner, kind="stable")
@@ -93,7 +128,7 @@ def _ragged(owner: np.ndarray, n: int, *columns: np.ndarray, fill):
     return out
 
 
-GRAPH = "part long, ids binary, vectors binary, neighbours binary, scores binary, fresh binary, changed long"
+GRAPH = "part long, ids binary, vectors binary, neighbours binary, scores binary, lengths binary, fresh binary, changed long"
 
 
 class Part:
@@ -104,6 +139,7 @@ class Part:
         self.vectors = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)
         self.neighbours = np.frombuffer(row.neighbours, np.int64).reshape(-1, degree)
         self.scores = np.frombuffer(row.scores, np.float32).reshape(-1, degree)
+        self.lengths = np.frombuffer(row.lengths, np.float32).reshape(-1, degree)
         self.fresh = np.frombuffer(row.fresh, np.bool_).reshape(-1, degree)
 
     def row_of(self, ids: np.ndarray) -> np.ndarray:
@@ -116,16 +152,23 @@ def _start(degree: int, parts: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["vec_id"].to_numpy()
         half = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]])
-        x, n, k = half[:, :-1].astype(np.float32), len(rows), min(degree, len(rows) - 1)
-        near, scores = np.full((n, degree), NONE, np.int64), np.full((n, degree), -np.inf, np.float32)
+        x, size, n = half[:, :-1].astype(np.float32), half[:, -1].astype(np.float32), len(rows)
+        a_half = degree - degree // 2
+        near, scores, lengths = np.full((n, degree), NONE, np.int64), np.full((n, degree), -np.inf, np.float32), np.zeros((n, degree), np.float32)
         for a in range(0, n, 512):
             s = x[a : a + 512] @ x.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-            if k:
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                near[a : a + 512, :k], scores[a : a + 512, :k] = ids[top], np.take_along_axis(s, top, 1)
-        out = [(p, *(c.tobytes() for c in cols)) for p, cols in _split(part_of(ids, parts), ids, half, near, scores)]
-        return pd.DataFrame(out, columns=["part", "ids", "vectors", "neighbours", "scores"])
+            by = s
+            for lo, hi in ((0, a_half), (a_half, degree)):
+                k = min(hi, n - 1) - lo
+                if k > 0:
+                    top = np.argpartition(-by, k - 1, axis=1)[:, :k]
+                    near[a : a + 512, lo : lo + k], scores[a : a + 512, lo : lo + k], lengths[a : a + 512, lo : lo + k] = ids[top], np.take_along_axis(s, top, 1), size[top]
+                    by = by * size  # the rest by inner product
+                    np.put_along_axis(by, top, -np.inf, 1)
+                    by[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        out = [(p, *(c.tobytes() for c in cols)) for p, cols in _split(part_of(ids, parts), ids, half, near, scores, lengths)]
+        return pd.DataFrame(out, columns=["part", "ids", "vectors", "neighbours", "scores", "lengths"])
 
     return run
 
@@ -135,20 +178,20 @@ def _first(dim: int, degree: int, each: int):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         owner, vectors = _cat(rows["ids"], np.int64), _cat(rows["vectors"], np.float16, dim)
-        near, scores = _cat(rows["neighbours"], np.int64, each), _cat(rows["scores"], np.float32, each)
+        near, scores, lengths = (_cat(rows[c], k, each) for c, k in (("neighbours", np.int64), ("scores", np.float32), ("lengths", np.float32)))
         ids, first, at = np.unique(owner, return_index=True, return_inverse=True)
         at = np.repeat(at, each)
-        many, score = _ragged(at, len(ids), near.ravel(), scores.ravel(), fill=(NONE, -np.inf))
-        pad = max(0, degree - many.shape[1])
-        many, score = np.pad(many, ((0, 0), (0, pad)), constant_values=NONE), np.pad(score, ((0, 0), (0, pad)), constant_values=-np.inf)
-        near, score, _ = _best(many, score, np.zeros(many.shape, bool), degree)
-        return _graph_row(key[0], ids, vectors[first], near, score, near != NONE, near.size)
+        many = _ragged(at, len(ids), near.ravel(), scores.ravel(), lengths.ravel(), fill=(NONE, -np.inf, 0))
+        pad = ((0, 0), (0, max(0, degree - many[0].shape[1])))
+        many = [np.pad(m, pad, constant_values=f) for m, f in zip(many, (NONE, -np.inf, 0), strict=True)]
+        near, score, length, _ = _both_best(*many, np.zeros(many[0].shape, bool), degree)
+        return _graph_row(key[0], ids, vectors[first], near, score, length, near != NONE, near.size)
 
     return run
 
 
-def _graph_row(part, ids, vectors, neighbours, scores, fresh, changed) -> pd.DataFrame:
-    parts = (ids, vectors.astype(np.float16), neighbours, scores.astype(np.float32), fresh)
+def _graph_row(part, ids, vectors, neighbours, scores, lengths, fresh, changed) -> pd.DataFrame:
+    parts = (ids, vectors.astype(np.float16), neighbours, scores.astype(np.float32), lengths.astype(np.float32), fresh)
     return pd.DataFrame([(part, *(x.tobytes() for x in parts), int(changed))], columns=[c.split()[0] for c in GRAPH.split(", ")])
 
 
@@ -183,7 +226,7 @@ def _send(dim: int, degree: int, parts: int, reverse: bool):
         rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
         some = order[rank < REVERSE] if reverse else order[:0]
         back, back_to, back_new = owner[some], to[some], fresh[some]
-        worst = p.scores.min(1)
+        worst = _least(p.scores, p.lengths)
         out = []
         for k, (a, h, f) in _split(part_of(owner, parts), row, owner, fresh):
             u, back_at = np.unique(a, return_inverse=True)
@@ -205,7 +248,7 @@ def _pass_on(dim: int, degree: int, parts: int):
     def run(key: tuple, graph: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         p = Part(next(graph.itertuples()), dim, degree)
         member, host, fresh = (_cat(sent[c], k) for c, k in (("member", np.int64), ("host", np.int64), ("fresh", np.bool_)))
-        worst, out = p.scores.min(1), []
+        worst, out = _least(p.scores, p.lengths), []
         for k, (m, h, f) in _split(part_of(host, parts), member, host, fresh):
             u = p.row_of(np.unique(m))
             out.append((k, p.ids[u].tobytes(), p.vectors[u].tobytes(), worst[u].tobytes(), m.tobytes(), h.tobytes(), f.tobytes(), False))
@@ -214,14 +257,17 @@ def _pass_on(dim: int, degree: int, parts: int):
     return run
 
 
-def _best_met(got: list[tuple[np.ndarray, ...]], degree: int) -> tuple[np.ndarray, ...]:
-    """Of those that met, each one's best: no others can be among its neighbours."""
+def _best_met(got: list[tuple[np.ndarray, ...]], size: np.ndarray, degree: int) -> tuple[np.ndarray, ...]:
+    """Of those that met, each one's best by direction and by inner product: no others can be among its neighbours."""
     a, b, s = (np.concatenate(c) for c in zip(*got, strict=True))
     order = np.lexsort((b, -s, a))
     a, b, s = a[order], b[order], s[order]
     once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     a, b, s = a[once], b[once], s[once]
-    keep = np.arange(len(a)) - np.searchsorted(a, a) < degree
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    keep = rank < degree - degree // 2
+    order = np.lexsort((-s * size[b], a))
+    keep[order[rank < degree]] = True  # the groups lie as before
     return a[keep], b[keep], s[keep]
 
 
@@ -231,8 +277,9 @@ def _introduce(dim: int, degree: int, parts: int):
     def run(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
         tidy()
         who, first = np.unique(_cat(sent["who"], np.int64), return_index=True)
-        x = _cat(sent["vectors"], np.float16, dim)[first, :-1].astype(np.float32)
-        worst = _cat(sent["worst"], np.float32)[first]
+        half = _cat(sent["vectors"], np.float16, dim)[first]
+        x, size = half[:, :-1].astype(np.float32), half[:, -1].astype(np.float32)
+        near, inner = _cat(sent["worst"], np.float32, 2)[first].T
         member, host, fresh = (_cat(sent[c], k) for c, k in (("member", np.int64), ("host", np.int64), ("fresh", np.bool_)))
         order = np.lexsort((~fresh, member, host))
         member, host, fresh = member[order], host[order], fresh[order]
@@ -248,18 +295,19 @@ def _introduce(dim: int, degree: int, parts: int):
                 continue
             v = x[k]
             s = v @ v.T
-            np.fill_diagonal(s, -np.inf)
-            i, j = np.nonzero((s > worst[k][:, None]) & (new[:, None] | new[None, :]))
+            better = (s > near[k][:, None]) | (s * size[k] > inner[k][:, None])
+            np.fill_diagonal(better, False)
+            i, j = np.nonzero(better & (new[:, None] | new[None, :]))
             if len(i):
                 got.append((k[i].astype(np.int32), k[j].astype(np.int32), s[i, j]))
                 held += len(i)
                 if held > HELD:
-                    got, held = [_best_met(got, degree)], 0
+                    got, held = [_best_met(got, size, degree)], 0
         if not got:
-            return pd.DataFrame([], columns=["part", "to", "met", "score"])
-        a, b, s = _best_met(got, degree)
-        out = [(k, *(c.tobytes() for c in cols)) for k, cols in _split(part_of(who[a], parts), who[a], who[b], s)]
-        return pd.DataFrame(out, columns=["part", "to", "met", "score"])
+            return pd.DataFrame([], columns=["part", "to", "met", "score", "length"])
+        a, b, s = _best_met(got, size, degree)
+        out = [(k, *(c.tobytes() for c in cols)) for k, cols in _split(part_of(who[a], parts), who[a], who[b], s, size[b])]
+        return pd.DataFrame(out, columns=["part", "to", "met", "score", "length"])
 
     return run
 
@@ -272,12 +320,14 @@ def _update(dim: int, degree: int):
         p = Part(next(graph.itertuples()), dim, degree)
         n = len(p.ids)
         row = p.row_of(_cat(met["to"], np.int64))
-        ids, scores = _ragged(row, n, _cat(met["met"], np.int64), _cat(met["score"], np.float32), fill=(NONE, -np.inf))
+        ids, scores, lengths = _ragged(row, n, _cat(met["met"], np.int64), _cat(met["score"], np.float32), _cat(met["length"], np.float32), fill=(NONE, -np.inf, 0))
         # those had before are not fresh any more, and stay so if they are met again
         old = p.neighbours != NONE
-        near, score, had = _best(np.hstack((p.neighbours, ids)), np.hstack((p.scores, scores)), np.hstack((old, np.zeros(ids.shape, bool))), degree)
+        near, score, length, had = _both_best(
+            np.hstack((p.neighbours, ids)), np.hstack((p.scores, scores)), np.hstack((p.lengths, lengths)), np.hstack((old, np.zeros(ids.shape, bool))), degree
+        )
         fresh = ~had & (near != NONE)
-        return _graph_row(key[0], p.ids, p.vectors, near, score, fresh, fresh.sum())
+        return _graph_row(key[0], p.ids, p.vectors, near, score, length, fresh, fresh.sum())
 
     return run
 
@@ -288,14 +338,14 @@ def build_graph(vectors: DataFrame, dim: int, n: int, *, degree: int = DEGREE, r
     parts = max(1, -(-n // PART))
     each = -(-degree // 2)  # two dealings: through both, neighbours of neighbours lead everywhere
     found = vectors.mapInPandas(_deal(parts), "dealing int, part long, vec_id long, vector binary").groupBy("dealing", "part").applyInPandas(
-        _start(each, parts), "part long, ids binary, vectors binary, neighbours binary, scores binary"
+        _start(each, parts), "part long, ids binary, vectors binary, neighbours binary, scores binary, lengths binary"
     )
     graph = settled(found.groupBy("part").applyInPandas(_first(dim, degree, each), GRAPH), "graph")
     for _ in range(rounds):
-        edges = graph.select("part", "ids", "vectors", "neighbours", "scores", "fresh").mapInPandas(_edges(dim, degree, parts), "part long, to binary, owner binary, fresh binary")
+        edges = graph.select("part", "ids", "vectors", "neighbours", "scores", "lengths", "fresh").mapInPandas(_edges(dim, degree, parts), "part long, to binary, owner binary, fresh binary")
         sent = settled(graph.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_send(dim, degree, parts, True), SENT), "sent")
         more = graph.groupBy("part").cogroup(sent.where("ask").groupBy("part")).applyInPandas(_pass_on(dim, degree, parts), SENT)
-        met = sent.where("not ask").unionByName(more).groupBy("part").applyInPandas(_introduce(dim, degree, parts), "part long, to binary, met binary, score binary")
+        met = sent.where("not ask").unionByName(more).groupBy("part").applyInPandas(_introduce(dim, degree, parts), "part long, to binary, met binary, score binary, length binary")
         graph = settled(graph.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(_update(dim, degree), GRAPH), "graph")
         release(spark)
         if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * n * degree:
@@ -354,8 +404,10 @@ class Beams:
         return pd.DataFrame([(part, *(c.tobytes() for c in cols), int(waiting))], columns=[c.split()[0] for c in BEAMS.split(", ")])
 
 
-def _enter(dim: int, beam: int, every: int):
-    """Queries begin at their own place in the graph."""
+def _enter(dim: int, beam: int, every: int, ways: tuple[np.ndarray, np.ndarray]):
+    """Queries begin at their own place in the graph, and at the longest vectors."""
+    way_ids, way_vectors = ways
+    way_x = way_vectors[:, :-1].astype(np.float32) * way_vectors[:, -1:].astype(np.float32)
 
     def run(batches):
         for rows in batches:
@@ -371,6 +423,10 @@ def _enter(dim: int, beam: int, every: int):
                     b.beam[:, 0] = b.queries
                     b.scores = np.full((n, beam), -np.inf, np.float32)
                     b.scores[:, 0] = np.finfo(np.float32).max  # the query itself is no result, but a way in
+                    k = min(len(way_ids), beam - 1)
+                    own = way_ids[:k] == b.queries[:, None]
+                    b.beam[:, 1 : k + 1] = np.where(own, NONE, way_ids[:k])
+                    b.scores[:, 1 : k + 1] = np.where(own, -np.inf, b.vectors[:, :-1].astype(np.float32) @ way_x[:k].T)
                     b.opened = np.zeros((n, beam), bool)
                     out.append(b.row(row.part))
             yield pd.concat(out) if out else pd.DataFrame([], columns=[c.split()[0] for c in BEAMS.split(", ")])
@@ -490,11 +546,14 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     top = rows.agg(F.max(F.sqrt(dot(F.col("vector"), F.col("vector"))))).first()[0] or 1.0
     dim, parts = (size or 0) + 1, max(1, -(-n // PART))
     packed = rows.mapInPandas(_scaled(top), "vec_id long, vector binary")
+    longest = rows.orderBy(F.desc(dot(F.col("vector"), F.col("vector"))), "vec_id").limit(WAYS_IN)
+    longest = longest.mapInPandas(_scaled(top), "vec_id long, vector binary").collect()  # WAYS_IN rows
+    ways = np.array([r.vec_id for r in longest], np.int64), _cat([bytes(r.vector) for r in longest], np.float16, dim)
     graph = build_graph(packed, dim, n, degree=degree)
     edges = graph.mapInPandas(_edges(dim, degree, parts), "part long, to binary, owner binary, fresh binary")
     sent = graph.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_send(dim, degree, parts, False), SENT)
     adjacent = settled(graph.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(_adjacent(dim, degree), ADJACENT), "adjacent")
-    beams = settled(graph.mapInPandas(_enter(dim, beam, every), BEAMS), "beams")
+    beams = settled(graph.mapInPandas(_enter(dim, beam, every, ways), BEAMS), "beams")
     release(spark)
     for _ in range(HOPS):
         asked = beams.mapInPandas(_ask(dim, beam, parts), "part long, back long, queries binary, vectors binary, at binary, nodes binary")
