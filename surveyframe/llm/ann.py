@@ -8,6 +8,9 @@ product, length included, and begin at their own place and at the longest vector
 Vectors are dealt to parts of about ``PART`` by a hash of their id, and everything
 that moves is packed by part.
 
+Equal vectors are one node, named by their smallest id; searching is for nodes, and
+each stands for its smallest ids at the end.
+
 Building: each vector starts with its best neighbours within its part. Then, round
 by round, every vector introduces its neighbours (forward and reverse) to each
 other: neighbours of neighbours are joined, and those better than what a vector has
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import prepare, release, settled, tidy
+from surveyframe.llm.common import attach, prepare, release, settled, tidy
 from surveyframe.llm.texthash import U, mix
 from surveyframe.llm.topk import valid
 
@@ -404,32 +407,54 @@ class Beams:
         return pd.DataFrame([(part, *(c.tobytes() for c in cols), int(waiting))], columns=[c.split()[0] for c in BEAMS.split(", ")])
 
 
-def _enter(dim: int, beam: int, every: int, ways: tuple[np.ndarray, np.ndarray]):
+def _enter(dim: int, beam: int, ways: tuple[np.ndarray, np.ndarray]):
     """Queries begin at their own place in the graph, and at the longest vectors."""
     way_ids, way_vectors = ways
     way_x = way_vectors[:, :-1].astype(np.float32) * way_vectors[:, -1:].astype(np.float32)
 
+    def run(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame([], columns=[c.split()[0] for c in BEAMS.split(", ")])
+        row = next(graph.itertuples())
+        b = Beams.__new__(Beams)
+        b.queries = np.sort(asked["node"].to_numpy(np.int64))
+        n, k = len(b.queries), min(len(way_ids), beam - 1)
+        b.vectors = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)[np.searchsorted(np.frombuffer(row.ids, np.int64), b.queries)]
+        b.beam = np.full((n, beam), NONE, np.int64)
+        b.beam[:, 0] = b.queries
+        b.scores = np.full((n, beam), -np.inf, np.float32)
+        b.scores[:, 0] = np.finfo(np.float32).max  # the query itself is no result, but a way in
+        own = way_ids[:k] == b.queries[:, None]
+        b.beam[:, 1 : k + 1] = np.where(own, NONE, way_ids[:k])
+        b.scores[:, 1 : k + 1] = np.where(own, -np.inf, b.vectors[:, :-1].astype(np.float32) @ way_x[:k].T)
+        b.opened = np.zeros((n, beam), bool)
+        return b.row(row.part)
+
+    return run
+
+
+def _with_part(parts: int):
     def run(batches):
         for rows in batches:
-            out = []
-            for row in rows.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                asked = ids % every == 0
-                if asked.any():
-                    b = Beams.__new__(Beams)
-                    b.queries, n = ids[asked], int(asked.sum())
-                    b.vectors = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)[asked]
-                    b.beam = np.full((n, beam), NONE, np.int64)
-                    b.beam[:, 0] = b.queries
-                    b.scores = np.full((n, beam), -np.inf, np.float32)
-                    b.scores[:, 0] = np.finfo(np.float32).max  # the query itself is no result, but a way in
-                    k = min(len(way_ids), beam - 1)
-                    own = way_ids[:k] == b.queries[:, None]
-                    b.beam[:, 1 : k + 1] = np.where(own, NONE, way_ids[:k])
-                    b.scores[:, 1 : k + 1] = np.where(own, -np.inf, b.vectors[:, :-1].astype(np.float32) @ way_x[:k].T)
-                    b.opened = np.zeros((n, beam), bool)
-                    out.append(b.row(row.part))
-            yield pd.concat(out) if out else pd.DataFrame([], columns=[c.split()[0] for c in BEAMS.split(", ")])
+            yield rows.assign(part=part_of(rows["node"].to_numpy(np.int64), parts))
+
+    return run
+
+
+def _smallest(k: int):
+    """Of the ids of each vector (by its hashes), the k smallest that a task has."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        size = least = 0
+        for rows in batches:
+            held.append(rows)
+            size += len(rows)
+            if size > max(100_000, 2 * least):
+                held = [pd.concat(held).sort_values("vec_id").groupby(["a", "b"]).head(k)]
+                size = least = len(held[0])
+        if held:
+            yield pd.concat(held).sort_values("vec_id").groupby(["a", "b"]).head(k)
 
     return run
 
@@ -498,14 +523,17 @@ def _merge(dim: int, beam: int):
 
 
 def _results(dim: int, beam: int, few: int):
+    """The best of each beam, and the query's own node for its other ids."""
+
     def run(batches):
         for rows in batches:
             out = []
             for row in rows.itertuples():
                 b = Beams(row, dim, beam)
-                q, c = np.nonzero((b.beam != NONE) & (b.beam != b.queries[:, None]) & (np.arange(beam) <= few))
-                out.append(pd.DataFrame({"query_id": b.queries[q], "vec_id": b.beam[q, c]}))
-            yield pd.concat(out) if out else pd.DataFrame([], columns=["query_id", "vec_id"])
+                own = b.beam == b.queries[:, None]
+                q, c = np.nonzero((b.beam != NONE) & (np.cumsum(~own, 1) <= few) & ~own)
+                out.append(pd.DataFrame({"query": np.concatenate((b.queries, b.queries[q])), "node": np.concatenate((b.queries, b.beam[q, c]))}))
+            yield pd.concat(out) if out else pd.DataFrame([], columns=["query", "node"])
 
     return run
 
@@ -532,28 +560,40 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     candidate. Scores are inner products of the original vectors in double precision,
     nearest first, ties to the smaller id. Null ids and vectors that are null, zero or
     hold null or non-finite components take no part, nor do vectors of another length
-    than the smallest id's. Rows of one id are one row: that with the least vector.
+    than the smallest id's. Equal vectors are told by 128 bits of hashes. Rows of one id are one row: that with the least vector.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & valid("vector") & F.exists("vector", lambda x: x != 0))
-    rows = settled(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # no zero has a sign
+    rows = settled(rows.withColumns({"a": F.xxhash64("vector"), "b": F.xxhash64(F.lit(1), "vector")}), "vectors")
+    size = rows.agg(F.min_by(F.size("vector"), "vec_id")).first()[0] or 0
+    rows = rows.where(F.size("vector") == size)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size, n = rows.agg(F.min_by(F.size("vector"), "vec_id"), F.count("*")).first()
-    rows = rows.where(F.size("vector") == (size or 0))
-    top = rows.agg(F.max(F.sqrt(dot(F.col("vector"), F.col("vector"))))).first()[0] or 1.0
-    dim, parts = (size or 0) + 1, max(1, -(-n // PART))
-    packed = rows.mapInPandas(_scaled(top), "vec_id long, vector binary")
-    longest = rows.orderBy(F.desc(dot(F.col("vector"), F.col("vector"))), "vec_id").limit(WAYS_IN)
+    light = rows.select("a", "b", "vec_id")
+    few = light.mapInPandas(_smallest(k + 1), "a long, b long, vec_id long").groupBy("a", "b").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    copies = settled(few.withColumn("node", F.col("ids")[0]), "copies")
+    first = rows.groupBy("a", "b").agg(F.min("vec_id").alias("node"), F.first("vector").alias("vector"))  # a partial sum leaves one row for each task
+    nodes = settled(first.select("node", "vector"), "nodes")
+    named = light.where(F.col("vec_id") % every == 0).select("a", "b", F.col("vec_id").alias("query_id"))
+    weights = named.groupBy("a", "b").agg(F.count("*").alias("w")).join(copies.select("a", "b", "node"), ["a", "b"])
+    weights = settled(weights.select(F.struct("a", "b").alias("key"), "node", "w"), "asked")
+    n, top = nodes.agg(F.count("*"), F.max(F.sqrt(dot(F.col("vector"), F.col("vector"))))).first()
+    top = top or 1.0
+    dim, parts = size + 1, max(1, -(-n // PART))
+    packed = nodes.withColumnRenamed("node", "vec_id").mapInPandas(_scaled(top), "vec_id long, vector binary")
+    longest = nodes.orderBy(F.desc(dot(F.col("vector"), F.col("vector"))), "node").limit(WAYS_IN).withColumnRenamed("node", "vec_id")
     longest = longest.mapInPandas(_scaled(top), "vec_id long, vector binary").collect()  # WAYS_IN rows
     ways = np.array([r.vec_id for r in longest], np.int64), _cat([bytes(r.vector) for r in longest], np.float16, dim)
     graph = build_graph(packed, dim, n, degree=degree)
     edges = graph.mapInPandas(_edges(dim, degree, parts), "part long, to binary, owner binary, fresh binary")
     sent = graph.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_send(dim, degree, parts, False), SENT)
     adjacent = settled(graph.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(_adjacent(dim, degree), ADJACENT), "adjacent")
-    beams = settled(graph.mapInPandas(_enter(dim, beam, every, ways), BEAMS), "beams")
+    asking = weights.select("node").mapInPandas(_with_part(parts), "node long, part long")
+    beams = settled(graph.groupBy("part").cogroup(asking.groupBy("part")).applyInPandas(_enter(dim, beam, ways), BEAMS), "beams")
     release(spark)
     for _ in range(HOPS):
         asked = beams.mapInPandas(_ask(dim, beam, parts), "part long, back long, queries binary, vectors binary, at binary, nodes binary")
@@ -562,8 +602,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
         if not beams.agg(F.sum("open")).first()[0]:
             break
     release(spark)
-    pairs = beams.mapInPandas(_results(dim, beam, 3 * k), "query_id long, vec_id long")
-    own = rows.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
-    scored = pairs.join(own, "query_id").join(rows, "vec_id").select("query_id", "vec_id", dot(F.col("query"), F.col("vector")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = beams.mapInPandas(_results(dim, beam, 3 * k), "query long, node long")
+    own = nodes.select(F.col("node").alias("query"), F.col("vector").alias("asked"))
+    scored = pairs.join(own, "query").join(nodes, "node").select("query", "node", dot(F.col("asked"), F.col("vector")).alias("score"))
+    # each query's k + 1 best ids, its own perhaps among them, nearest first and of equals the smaller id
+    scored = scored.join(copies.select("node", "ids"), "node").select("query", F.explode("ids").alias("vec_id"), "score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    best = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best")).withColumnRenamed("query", "node")
+    found = attach(named.select(F.struct("a", "b").alias("key"), "query_id"), settled(weights.join(best, "node").select("key", "best", "w"), "found"), "key", "w")
+    found = found.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    found = found.select("query_id", F.posexplode("best").alias("at", "x"))
+    return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -37,3 +37,18 @@ def test_spread_lengths(spark, monkeypatch, sigma):
     got = recall(spark, v, 20, 20)
     print("recall", sigma, got)
     assert got > 0.95
+
+
+@pytest.mark.parametrize("lengths", ["equal", "unequal"])
+def test_copies(spark, monkeypatch, lengths):
+    monkeypatch.setattr(ann, "PART", 300)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(1_500, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if lengths == "unequal":
+        v *= rng.uniform(0.5, 1.5, len(v))[:, None]
+        v[0] /= 2 * np.linalg.norm(v[0])
+    v[:500] = v[0]
+    got = recall(spark, v, 10, 20)
+    print("recall copies", lengths, got)
+    assert got > 0.9
