@@ -55,6 +55,15 @@ HOPS = 12
 NONE = np.int64(-(2**63))
 
 
+def _directions(packed: np.ndarray) -> np.ndarray:
+    return packed[:, :-2].astype(np.float32)
+
+
+def _lengths(packed: np.ndarray) -> np.ndarray:
+    """The last two places of a packed vector are the bytes of its length in single precision."""
+    return np.ascontiguousarray(packed[:, -2:]).view(np.float32)[:, 0]
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % U(parts)).astype(np.int64)
 
@@ -155,7 +164,7 @@ def _start(degree: int, parts: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["vec_id"].to_numpy()
         half = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]])
-        x, size, n = half[:, :-1].astype(np.float32), half[:, -1].astype(np.float32), len(rows)
+        x, size, n = _directions(half), _lengths(half), len(rows)
         a_half = degree - degree // 2
         near, scores, lengths = np.full((n, degree), NONE, np.int64), np.full((n, degree), -np.inf, np.float32), np.zeros((n, degree), np.float32)
         for a in range(0, n, 512):
@@ -281,7 +290,7 @@ def _introduce(dim: int, degree: int, parts: int):
         tidy()
         who, first = np.unique(_cat(sent["who"], np.int64), return_index=True)
         half = _cat(sent["vectors"], np.float16, dim)[first]
-        x, size = half[:, :-1].astype(np.float32), half[:, -1].astype(np.float32)
+        x, size = _directions(half), _lengths(half)
         near, inner = _cat(sent["worst"], np.float32, 2)[first].T
         member, host, fresh = (_cat(sent[c], k) for c, k in (("member", np.int64), ("host", np.int64), ("fresh", np.bool_)))
         order = np.lexsort((~fresh, member, host))
@@ -410,7 +419,7 @@ class Beams:
 def _enter(dim: int, beam: int, ways: tuple[np.ndarray, np.ndarray]):
     """Queries begin at their own place in the graph, and at the longest vectors."""
     way_ids, way_vectors = ways
-    way_x = way_vectors[:, :-1].astype(np.float32) * way_vectors[:, -1:].astype(np.float32)
+    way_x = _directions(way_vectors) * _lengths(way_vectors)[:, None]
 
     def run(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
@@ -426,7 +435,7 @@ def _enter(dim: int, beam: int, ways: tuple[np.ndarray, np.ndarray]):
         b.scores[:, 0] = np.finfo(np.float32).max  # the query itself is no result, but a way in
         own = way_ids[:k] == b.queries[:, None]
         b.beam[:, 1 : k + 1] = np.where(own, NONE, way_ids[:k])
-        b.scores[:, 1 : k + 1] = np.where(own, -np.inf, b.vectors[:, :-1].astype(np.float32) @ way_x[:k].T)
+        b.scores[:, 1 : k + 1] = np.where(own, -np.inf, _directions(b.vectors) @ way_x[:k].T)
         b.opened = np.zeros((n, beam), bool)
         return b.row(row.part)
 
@@ -485,11 +494,11 @@ def _answer(dim: int, degree: int):
             row = next(graph.itertuples())
             ids, who = np.frombuffer(row.ids, np.int64), np.frombuffer(row.who, np.int64)
             near = np.frombuffer(row.neighbours, np.int64).reshape(-1, degree)
-            x = np.frombuffer(row.vectors, np.float16).reshape(-1, dim).astype(np.float32)
-            x = x[:, :-1] * x[:, -1:]
+            half = np.frombuffer(row.vectors, np.float16).reshape(-1, dim)
+            x = _directions(half) * _lengths(half)[:, None]
             for a in asked.itertuples():
                 queries, at = np.frombuffer(a.queries, np.int64), np.frombuffer(a.at, np.int64)
-                v = np.frombuffer(a.vectors, np.float16).reshape(-1, dim)[:, :-1].astype(np.float32)
+                v = _directions(np.frombuffer(a.vectors, np.float16).reshape(-1, dim))
                 found = near[np.searchsorted(ids, np.frombuffer(a.nodes, np.int64))]
                 q = np.repeat(at, degree)
                 found = found.ravel()
@@ -539,7 +548,7 @@ def _results(dim: int, beam: int, few: int):
 
 
 def _scaled(top: float):
-    """Directions, and lengths over the largest one, in half precision."""
+    """Directions in half precision, and lengths over the largest one in single precision."""
 
     def run(batches):
         for rows in batches:
@@ -547,7 +556,7 @@ def _scaled(top: float):
                 x = np.stack(rows["vector"].to_list()).astype(np.float64) / top
                 size = np.sqrt((x * x).sum(1))
                 x /= np.maximum(size, np.finfo(np.float64).tiny)[:, None]
-                packed = np.column_stack((x, np.maximum(size, 1e-4))).astype(np.float16)
+                packed = np.column_stack((x.astype(np.float16), size.astype(np.float32)[:, None].view(np.float16)))
                 yield pd.DataFrame({"vec_id": rows["vec_id"], "vector": [v.tobytes() for v in packed]})
 
     return run
@@ -583,7 +592,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     weights = settled(weights.select(F.struct("a", "b").alias("key"), "node", "w"), "asked")
     n, top = nodes.agg(F.count("*"), F.max(F.sqrt(dot(F.col("vector"), F.col("vector"))))).first()
     top = top or 1.0
-    dim, parts = size + 1, max(1, -(-n // PART))
+    dim, parts = size + 2, max(1, -(-n // PART))
     packed = nodes.withColumnRenamed("node", "vec_id").mapInPandas(_scaled(top), "vec_id long, vector binary")
     longest = nodes.orderBy(F.desc(dot(F.col("vector"), F.col("vector"))), "node").limit(WAYS_IN).withColumnRenamed("node", "vec_id")
     longest = longest.mapInPandas(_scaled(top), "vec_id long, vector binary").collect()  # WAYS_IN rows

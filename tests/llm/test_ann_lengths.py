@@ -1,6 +1,7 @@
 """Recall of the graph search where the lengths of vectors differ."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from surveyframe.llm import ann
@@ -52,3 +53,22 @@ def test_copies(spark, monkeypatch, lengths):
     got = recall(spark, v, 10, 20)
     print("recall copies", lengths, got)
     assert got > 0.9
+
+
+def test_one_long_vector_leaves_the_others_their_lengths():
+    v = np.random.default_rng(2).normal(size=(50, 8))
+    v[0] *= 20_000
+    true = np.linalg.norm(v, axis=1)
+    (packed,) = ann._scaled(true.max())([pd.DataFrame({"vec_id": range(50), "vector": list(v)})])
+    held = ann._lengths(np.stack([np.frombuffer(x, np.float16) for x in packed["vector"]]))
+    assert held * true.max() == pytest.approx(true, rel=1e-6)
+
+
+def test_recall_beside_one_long_vector(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 600)
+    rng = np.random.default_rng(6)
+    v = clustered(rng, 3_000, 32) * rng.uniform(0.5, 1.5, 3_000)[:, None]
+    v[7] *= 20_000
+    got = recall(spark, v, 20, 20)
+    print("recall outlier", got)
+    assert got > 0.95
