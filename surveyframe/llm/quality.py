@@ -23,8 +23,8 @@ from surveyframe.llm.texthash import LOWER, span, sums
 
 PASSAGE = 64
 HIDDEN, GATE = 24, 12
-#: Labelled documents of each class to learn from, and passages of each that are taken, evenly spread.
-DOCUMENTS, PASSAGES = 2_000, 48
+#: Labelled documents of each class to learn from, by all of their passages.
+DOCUMENTS = 2_000
 EPOCHS, BATCH = 12, 64
 #: Steps at least, for small samples.
 STEPS = 400
@@ -160,8 +160,7 @@ def _sampled(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
     bags, y = [], []
     for r in sorted(rows, key=lambda r: r.h):
         raw = np.frombuffer(r.text.encode(), np.uint8)
-        x, _ = encode(raw, np.array([0, len(raw)]))
-        bags.append(x[np.unique(np.linspace(0, len(x) - 1, PASSAGES).round().astype(int))])
+        bags.append(encode(raw, np.array([0, len(raw)]))[0])
         y.append(r.y)
     return bags, np.array(y, np.float32)
 

@@ -29,8 +29,8 @@ WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 WORDS, TRIGRAMS = 1 << 15, 1 << 13
 WORD_DIM, CHAR_DIM = 8, 8
-#: Labelled documents of each class to learn from, and windows of each, evenly spread.
-DOCUMENTS, WINDOWS = 1_500, 200
+#: Labelled documents of each class to learn from, by their whole texts.
+DOCUMENTS = 1_500
 TURNS, EPOCHS, BATCH = 4, 3, 128
 #: Windows of a document of label 0 that a turn trains on.
 HARD = 3
@@ -270,26 +270,12 @@ def _score(weights):
     return run
 
 
-def _thinned(texts: list[bytes]) -> list[bytes]:
-    """Training texts cut to ``WINDOWS`` windows each, evenly spread pieces of long ones."""
-    most = WINDOWS * STRIDE
-    out = []
-    for t in texts:
-        words = t.split()
-        if len(words) > most:
-            cuts = np.linspace(0, len(words) - WINDOW, most // WINDOW).astype(int)
-            words = [x for c in cuts for x in words[c : c + WINDOW]]
-            t = b" ".join(words)
-        out.append(t)
-    return out
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, *, label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """(keep columns, score) for every row of ``docs``: the higher, the likelier its label is 1.
 
     ``learn_from`` is a condition on ``doc_id`` that says whose labels may be learned;
-    at most ``DOCUMENTS`` of each class are, by the smallest hash of the id, with at most
-    ``WINDOWS`` windows each. Whole texts are scored. Null texts count as empty, and texts
+    at most ``DOCUMENTS`` of each class are, by the smallest hash of the id, with all
+    windows of their texts. Whole texts are scored. Null texts count as empty, and texts
     without letters score like a state of zeros. Without any label, or with one class
     only, all scores are that class's share. Ids may be null or repeated; equal texts
     have equal scores; other columns are ignored unless kept. An empty table gives an
@@ -301,7 +287,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, *, la
     rows = sorted(sample(docs, labels, label, learn_from, DOCUMENTS).collect(), key=lambda r: r.h)  # 2 * DOCUMENTS rows
     share = labels.where(learn_from).agg(F.avg(F.col(label).cast("double"))).first()[0]
     y = np.array([r.y for r in rows], np.int64)
-    weights = spark.sparkContext.broadcast(learn(_thinned([r.text.encode() for r in rows]), y, 0.0 if share is None else float(share)))
+    weights = spark.sparkContext.broadcast(learn([r.text.encode() for r in rows], y, 0.0 if share is None else float(share)))
     rows = rows_with_text(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(weights), f"row {kind}, score double").select("row.*", "score")
