@@ -75,7 +75,7 @@ def anchors(run: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     if len(run) - 1 < length:
         return none, none, none, none
     at = np.arange(len(run) - w)
-    h = (span(run, at, at + w) >> U(32)).astype(np.uint32)
+    h = np.maximum((span(run, at, at + w) >> U(32)).astype(np.uint32), 1)  # zero marks what leaves its text
     least = _slide(h, r, np.minimum)
     end = np.repeat(bounds[1:], np.diff(bounds))[: len(least)]  # of the text at each position
     least[np.arange(len(least)) + (r - 1 + w) > end] = 0  # such a run of grams leaves its text
