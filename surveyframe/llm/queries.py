@@ -12,6 +12,7 @@ from surveyframe.llm.jaccard import jaccard_join, jaccard_sql
 from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
 from surveyframe.llm.quality import quality
+from surveyframe.llm.simhash import near_copies
 from surveyframe.llm.suffix import repeated_bytes, repeats_sql
 from surveyframe.llm.token_counts import count_tokens
 from surveyframe.llm.topk import TOP_K_SQL, top_k
@@ -107,3 +108,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_mil")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op12_simhash_popcount_grid")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read(spark, sf_dir, "documents"), size=3, bits=2)
