@@ -11,6 +11,7 @@ from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join, jaccard_sql
 from surveyframe.llm.mixing import mix, mix_sql
 from surveyframe.llm.packing import pack
+from surveyframe.llm.prefix_trie import TRIE_SQL, prefix_trie
 from surveyframe.llm.quality import quality
 from surveyframe.llm.simhash import near_copies
 from surveyframe.llm.suffix import repeated_bytes, repeats_sql
@@ -113,3 +114,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_popcount_grid")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "documents"), size=3, bits=2)
+
+
+@query("op13_conversation_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
