@@ -266,8 +266,8 @@ def prefix_trie(
 
 def _crc32_sql(text: str) -> str:
     """CRC-32 of an ASCII string, bit by bit."""
-    bit = "(r, i) -> xor(r >> 1, 3988292384 * (r & 1))"
-    byte = f"(c, b) -> list_reduce(list_prepend(xor(c, b), [cast(0 as bigint) for _ in range(8)]), {bit})"
+    bit = "lambda r, i: xor(r >> 1, 3988292384 * (r & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [cast(0 as bigint) for _ in range(8)]), {bit})"
     return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), [cast(ord(x) as bigint) for x in string_split({text}, '')]), {byte}), 4294967295)"
 
 
