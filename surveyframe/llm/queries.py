@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyframe.llm.alignment import align_tokens
 from surveyframe.llm.ann import nearest
 from surveyframe.llm.common import read
 from surveyframe.llm.jaccard import jaccard_join, jaccard_sql
@@ -119,3 +120,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_conversation_prefix_trie", TRIE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_exact_text_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(read(spark, sf_dir, "documents"), *paths)[0]
