@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "tidy", "total_of"]
+__all__ = ["attach", "components", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 1 << 20
@@ -152,6 +152,15 @@ def split_by_bits(df: DataFrame, hash_column: str, bits, listed: bool) -> DataFr
     return df.mapInArrow(run, df.schema)
 
 
+def may_be_listed(hashes: Column, bits) -> Column:
+    """Whether a hash may be in the bit map (broadcast); only the hashes pass through Python, not their rows."""
+
+    def told(values: pa.Array) -> pa.Array:
+        return pa.array(keep_bits(values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False), bits.value))
+
+    return F.arrow_udf(told, "boolean")(hashes)
+
+
 def _towards_smallest(pairs: DataFrame) -> DataFrame:
     """(v, u) -> (v, u, m) with m the smallest u of v. Both sides are shuffled, so heavy keys can be split at run time."""
     return pairs.join(pairs.groupBy("v").agg(F.min("u").alias("m")), "v")

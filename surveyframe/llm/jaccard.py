@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.llm import texthash
-from surveyframe.llm.common import attach, components, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits, tidy, total_of
+from surveyframe.llm.common import attach, components, id_bits, keep_bits, may_be_listed, prepare, release, settled, slabs, split_by_bits, tidy, total_of
 
 #: Counters of the frequency sketch: 32 MB of them whatever the corpus.
 SKETCH_BITS = 23
@@ -362,8 +362,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = jaccard_join(docs, id_col=id_col, text_col=text_col, size=size, percent=percent)
     goes = settled(joined.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("goes")).distinct(), "goes")
     bits = spark.sparkContext.broadcast(id_bits(goes.select(F.xxhash64("goes").alias("h")), "h"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("goes"), F.xxhash64(id_col).alias("h"))
-    stay = split_by_bits(rows, "h", bits, False).unionByName(split_by_bits(rows, "h", bits, True).join(goes, "goes", "left_anti").select(*rows.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("goes"))
+    rows = rows.withColumn("tried", may_be_listed(F.xxhash64("goes"), bits))
+    stay = rows.where(~F.col("tried")).select("row").unionByName(rows.where("tried").join(goes, "goes", "left_anti").select("row"))
     return stay.select("row.*")
 
 

@@ -165,6 +165,30 @@ def _sampled(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
     return bags, np.array(y, np.float32)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str):
+    """The model's weights, broadcast, learned from at most 2 * DOCUMENTS rows."""
+    spark = docs.sparkSession
+    prepare(spark)
+    bags, y = _sampled(sample(docs, labels, label, learn_from, DOCUMENTS).collect())
+    share = labels.where(learn_from).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return spark.sparkContext.broadcast(learn(bags, y, 0.5 if share is None else float(share)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: Column, *, label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, as ``score_quality`` tells it.
+
+    Only texts pass through Python, and only scores come back: rows are neither copied
+    nor shuffled, and columns of any name stay as they are.
+    """
+    weights = _fitted(docs, labels, learn_from, label)
+
+    def scores(text: pa.Array) -> pa.Array:
+        return next(_score(weights)(iter([pa.RecordBatch.from_arrays([text, text], names=["row", "text"])])))["score"]
+
+    told = F.arrow_udf(scores, "double")
+    return docs.where(told(F.coalesce(F.col("text"), F.lit(""))) >= least)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """(keep columns, score) for every row of ``docs``: the higher, the likelier its label is 1.
 
@@ -175,12 +199,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, lab
     or repeated; equal texts have equal scores; other columns are ignored unless kept.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     keep = ["doc_id"] if keep is None else keep
-    bags, y = _sampled(sample(docs, labels, label, learn_from, DOCUMENTS).collect())  # 2 * DOCUMENTS rows
-    share = labels.where(learn_from).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    weights = spark.sparkContext.broadcast(learn(bags, y, 0.5 if share is None else float(share)))
+    weights = _fitted(docs, labels, learn_from, label)
     rows = rows_with_text(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(weights), f"row {kind}, score double").select("row.*", "score")

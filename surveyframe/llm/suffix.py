@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import attach, id_bits, keep_bits, prepare, release, settled, slabs, split_by_bits
+from surveyframe.llm.common import attach, id_bits, keep_bits, may_be_listed, prepare, release, settled, slabs
 from surveyframe.llm.encoding import word_chunks
 from surveyframe.llm.texthash import U, mix, running, span, sums
 
@@ -393,9 +393,9 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     found = found.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     bits = spark.sparkContext.broadcast(id_bits(found.select(F.xxhash64("text_key").alias("h")), "h"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
-    rows = rows.withColumn("h", F.xxhash64("key"))
-    same = split_by_bits(rows, "h", bits, False).select("row", "text")
-    hit = split_by_bits(rows, "h", bits, True).join(found.withColumnRenamed("text_key", "key"), "key", "left").select("row", "text", "spans")
+    rows = rows.withColumn("tried", may_be_listed(F.xxhash64("key"), bits))
+    same = rows.where(~F.col("tried")).select("row", "text")
+    hit = rows.where("tried").join(found.withColumnRenamed("text_key", "key"), "key", "left").select("row", "text", "spans")
     cut = hit.where("spans is not null")
     kind = same.schema
     out = same.unionByName(hit.where("spans is null").select("row", "text")).unionByName(cut.mapInArrow(_without, kind))
