@@ -10,34 +10,54 @@ from surveyframe.llm.common import read, settled
 from surveyframe.llm.jaccard import one_of_each
 from surveyframe.llm.mixing import mix
 from surveyframe.llm.packing import pack
-from surveyframe.llm.quality import held_out, score_quality
+from surveyframe.llm.quality import held_out, keep_good
 from surveyframe.llm.queries import WEIGHTS, tree
 from surveyframe.llm.suffix import remove_repeats
 
 
+# All stages: null texts count as empty; rows with a null id stay unless named below; repeated
+# rows are rows of their own; extra columns of any name go through; an empty table gives an
+# empty one. Ties are told for each.
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; labels as in its query."""
-    scored = score_quality(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1), keep=docs.columns)
-    return scored.where("score >= 0.5").drop("score")
+    """Documents that the quality classifier does not reject; labels as in its query.
+
+    A score of exactly 0.5 is kept; equal texts have equal scores. Empty texts are scored
+    like any others.
+    """
+    return keep_good(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the smallest id.
+
+    Texts without words are linked with nothing. Rows without an id stay, as do repeated
+    rows of the id that stays.
+    """
     return one_of_each(docs, size=5, percent=80)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes or of 51 words that are found elsewhere too; lengths are told anew."""
+    """Texts without strings of 400 bytes or of 51 words that are found elsewhere too; lengths are told anew.
+
+    Every occurrence goes, the first one too. Null texts stay null, with a null length.
+    """
     return remove_repeats(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the budgets of the mix, each used once at most."""
-    return mix(docs, tree(), WEIGHTS, fraction=0.9, max_epochs=1, seed=7, keep=docs.columns).drop("tokens", "epoch")
+    """Documents within the budgets of the mix, each used once at most.
+
+    Documents of one id are all taken or all left; null languages and sources are
+    leaves of their own; documents without words cost nothing.
+    """
+    own = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("document"))
+    return mix(own, tree(), WEIGHTS, fraction=0.9, max_epochs=1, seed=7, keep=["document"]).select("document.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 tokens."""
+    """Sequences of 2,048 tokens; a document without text is its end token."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
