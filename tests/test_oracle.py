@@ -60,7 +60,8 @@ def compare(spark, sf, duck, name):
 OWN = [name for name in entry_points.queries() if not re.match(r"op[0-9]+_|pipeline$", name)]
 
 
-@pytest.mark.parametrize("name", OWN)
+# one hides and attacks by turns until nothing is told; test_disclosure.py tries all tables instead
+@pytest.mark.parametrize("name", [name for name in OWN if name in entry_points.oracle_sql()])
 def test_query_equals_sql(spark, sf, duck, name):
     compare(spark, sf, duck, name)
 
@@ -77,6 +78,10 @@ def test_same_result_when_no_dimension_may_be_broadcast(spark, sf, duck, name, m
     compare(spark, sf, duck, name)
 
 
+def test_only_loops_are_without_sql():
+    assert set(OWN) - set(entry_points.oracle_sql()) == {"aud10_withstand_attack"}
+
+
 def test_every_inventory_id_is_registered():
     assert len(INVENTORY) == 79
     prefixes = {name.split("_")[0] for name in OWN}
