@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.model import dimension
-from surveyframe.operators import audit, themes
+from surveyframe.operators import alignment, audit, themes
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 from surveyframe.sources.readers import paragraphs
@@ -173,3 +173,28 @@ def aud6(spark: SparkSession, sf: str) -> DataFrame:
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
     other = docs.withColumn("text", F.upper(F.replace("text", F.lit("555-"), F.lit("556-"))))
     return audit.translation_check(paragraphs(docs), paragraphs(other))
+
+
+_PLAIN = r"""list_transform(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.')
+  THEN regexp_replace(regexp_replace(x, '^0+([0-9])', '\1'), '\.?0+$', '') ELSE regexp_replace(x, '^0+([0-9])', '\1') END)"""
+
+
+@query(
+    "aud6_align_translation",
+    f"""WITH {v.paragraphs_sql()}, {v.paragraphs_sql("upper(replace(text, '555-', '556-'))", "other")},
+        a AS (SELECT doc_id, para_no, array_to_string(list_sort({_PLAIN}), ' ') AS x FROM paras),
+        b AS (SELECT doc_id, para_no, array_to_string(list_sort({_PLAIN}), ' ') AS x FROM other),
+        size AS (SELECT d.doc_id, count(p.doc_id) AS n FROM documents d LEFT JOIN paras p USING (doc_id) GROUP BY 1)
+        SELECT doc_id, para_no AS source_no, para_no + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS target_no,
+               a.x AS numbers_source, b.x AS numbers_target, 'changed' AS kind
+        FROM a JOIN b USING (doc_id, para_no) WHERE a.x <> b.x
+        UNION ALL SELECT doc_id, NULL, CASE doc_id % 3 WHEN 0 THEN 1 ELSE n + 1 END, '', (7000000 + doc_id)::VARCHAR, 'only in target'
+        FROM size WHERE doc_id % 3 < 2""",
+)
+def aud6_align(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers misprinted in a translation that has one paragraph more: in front of, behind, or not at all, by document."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    added = F.concat(F.lit("Added: "), F.format_number(F.col("doc_id") + 7_000_000, 0))
+    turn = F.pmod("doc_id", F.lit(3))
+    parts = F.concat_ws("\n", F.when(turn == 0, added), F.upper(F.replace("text", F.lit("555-"), F.lit("556-"))), F.when(turn == 1, added))
+    return alignment.align_translation(paragraphs(docs), paragraphs(docs.withColumn("text", parts)))

@@ -24,7 +24,8 @@ def nothing_is_small(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-OWN = [name for name in entry_points.queries() if not re.match(r"op[0-9]+_|pipeline$", name)]
+# the longest chain of anchors and the cheapest pairing of a gap are searched in Python, by document and gap
+OWN = [name for name in entry_points.queries() if not re.match(r"op[0-9]+_|pipeline$|aud6_align_translation$", name)]
 
 
 @pytest.mark.parametrize("name", OWN)
