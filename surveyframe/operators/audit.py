@@ -15,10 +15,10 @@ from surveyframe.functions.joins import dimension_join
 WHOLE = r"(?:[0-9]{1,3}(?:,[0-9]{3})++(?![0-9])|[0-9]++)"
 NUMBER = rf"(?<![0-9])(?<![0-9],){WHOLE}(?:\.[0-9]++)?"
 PERCENT = rf"(?:{NUMBER})[%％]"
-# "38% (18/47)", also with thousands in groups, full-width signs and loose spacing.
-CLAIM = rf"({NUMBER})\s*+[%％]\s*+[(（]\s*+({WHOLE})\s*+[/／]\s*+({WHOLE})\s*+[)）]"
-# "the Users: 54" inside a caption.
-STATED = r"([^,:;|]++):\s*+([0-9]++)"
+# "38% (18/47)", also with a sign (but not the dash of "3-5%"), thousands in groups, full-width signs and loose spacing.
+CLAIM = rf"((?:(?<![0-9])[-−](?=[0-9]))?{NUMBER})\s*+[%％]\s*+[(（]\s*+({WHOLE})\s*+[/／]\s*+({WHOLE})\s*+[)）]"
+# "the Users: 54" or "Users：1,270" inside a caption.
+STATED = rf"([^,:：;|]++)[:：]\s*+({WHOLE})"
 # Base sizes from which a row is graded, with use and note.
 GRADES = (
     (100, "high", "usable", "Stable for this sample"),
@@ -49,14 +49,14 @@ def extract_claims(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def part(i: int) -> Column:
-        return F.replace(F.regexp_extract("claim", CLAIM, i), F.lit(","), F.lit(""))
+        return F.translate(F.regexp_extract("claim", CLAIM, i), "−,", "-")
 
     return found.select(
         *keys,
         (F.col("pos") + 1).alias("pos"),
         "claim",
         part(1).cast("double").alias("pct"),
-        F.length(F.regexp_extract("claim", r"^[0-9,]+\.([0-9]+)", 1)).alias("decimals"),
+        F.length(F.regexp_extract("claim", r"^[-−]?[0-9,]+\.([0-9]+)", 1)).alias("decimals"),
         part(2).try_cast("bigint").alias("n"),
         part(3).try_cast("bigint").alias("d"),
     )
@@ -155,6 +155,46 @@ def check_pages(pages: DataFrame, results: DataFrame, key: str = "page_id") -> D
     return counted.join(forms, [key, "printed"], "left_anti")
 
 
+#: Decimals of a printed percentage up to which it is traced.
+MOST_DECIMALS = 6
+
+
+def trace_percents(pages: DataFrame, results: DataFrame, key: str = "page_id") -> DataFrame:
+    """Every percentage on a page with the results that print as it, whether a fraction stands beside it or not.
+
+    Columns: key, printed, times, n_sources (results that round to it, halves up), n_shares
+    (different fractions among them) and the first of their names. A printed percentage
+    is the interval of shares that round to it; at its number of decimals these intervals
+    part the line into bins, so the two sides meet by an equi-join on (decimals, bin).
+    Both are added up first: pages to their different percentages, results to one row for
+    each bin, so that a share that many results have is not paired with each page that
+    quotes it. With more than MOST_DECIMALS decimals nothing is traced; a result without
+    a base has no share. ``results`` holds (question_id, option_id, n, d).
+    """
+    signs = F.col("html").contains("%") | F.col("html").contains("％")
+    found = pages.filter(signs).select(
+        key, F.explode(F.regexp_extract_all(strip_tags(F.col("html")), F.lit(PERCENT), F.lit(0))).alias("printed")
+    )
+    found = found.withColumn("printed", F.translate("printed", "％,", "%")).groupBy(key, "printed").agg(F.count(F.lit(1)).alias("times"))
+    digits = F.substring_index("printed", "%", 1)
+    decimals = F.when(F.instr("printed", ".") > 0, F.length(F.substring_index(digits, ".", -1))).otherwise(0)
+    wanted = found.withColumn("decimals", decimals).withColumn("bin", F.replace(digits, F.lit("."), F.lit("")).try_cast("bigint"))
+
+    # the exact share in units of the last digit, halves up, at every number of decimals
+    fractions = results.filter("d > 0 and n >= 0").groupBy("n", "d").agg(
+        F.count(F.lit(1)).alias("sources"), F.min(F.concat_ws(" | ", "question_id", "option_id")).alias("first_source")
+    )
+    units = [
+        F.struct(F.lit(i).alias("decimals"), F.expr(f"(cast(n as decimal(18, 0)) * {200 * 10**i} + d) div (2 * cast(d as decimal(18, 0)))").cast("bigint").alias("bin"))
+        for i in range(MOST_DECIMALS + 1)
+    ]
+    bins = fractions.select("sources", "first_source", F.inline(F.array(*units))).groupBy("decimals", "bin").agg(
+        F.sum("sources").alias("n_sources"), F.count(F.lit(1)).alias("n_shares"), F.min("first_source").alias("source")
+    )
+    traced = wanted.join(bins, ["decimals", "bin"], "left").fillna(0, ["n_sources", "n_shares"])
+    return traced.select(key, "printed", "times", "n_sources", "n_shares", "source")
+
+
 def translation_check(source: DataFrame, target: DataFrame, key: Sequence[str] = ("doc_id", "para_no")) -> DataFrame:
     """Paragraphs whose numbers differ between two languages.
 
@@ -220,7 +260,7 @@ def stated_bases(captions: DataFrame, note: str = "note") -> DataFrame:
     return pairs.select(
         *keys,
         F.trim(F.regexp_extract("_pair", STATED, 1)).alias("label"),
-        F.regexp_extract("_pair", STATED, 2).try_cast("bigint").alias("stated_d"),
+        F.replace(F.regexp_extract("_pair", STATED, 2), F.lit(","), F.lit("")).try_cast("bigint").alias("stated_d"),
     )
 
 
@@ -253,14 +293,19 @@ def suppress(results: DataFrame, k: int, within: Sequence[str] = (), order: Sequ
 
     ``within`` names the columns that share a published base to which the counts add:
     where only one cell of it is hidden, it could be had by subtraction, so the
-    smallest other cell that is not zero is hidden too, ties by ``order``. The cells of
-    a base are those of declared lists.
+    smallest other cell that is not zero is hidden too, ties by ``order``; where there is
+    none, the base ``d`` is hidden, as it is that cell's count. The cells of a base are
+    those of declared lists. Bases that add up over more than one column are the matter of
+    ``disclosure.protect_margins``.
     """
     hide = (F.col("n") > 0) & (F.col("n") < k)
     if within:
         base = Window.partitionBy(*within)
         rank = F.row_number().over(base.orderBy(F.col("_small") | (F.col("n") == 0), "n", *order))
         results = results.withColumn("_small", hide).withColumn("_alone", F.count_if("_small").over(base) == 1)
+        if "d" in results.columns:
+            bare = F.col("_alone") & (F.count_if((F.col("n") > 0) & ~F.col("_small")).over(base) == 0)
+            results = results.withColumn("_bare", bare).withColumn("d", F.when(~F.col("_bare"), F.col("d"))).drop("_bare")
         results = results.withColumn("_next", F.col("_alone") & ~F.col("_small") & (F.col("n") > 0) & (rank == 1))
         results = results.withColumn("_hide", F.col("_small") | F.col("_next")).drop("_small", "_alone", "_next")
         hide = F.col("_hide")

@@ -1,8 +1,8 @@
 """Scaling, running shares, ranks and orders of result cells.
 
 Windows here run over counted cells of catalogue questions, so a partition has
-as many rows as its question has declared options. ``rank_open_options`` is for
-option lists without such a bound. Orders are given as a position column,
+as many rows as its question has declared options. ``rank_open_options`` and
+``order_open_options`` are for option lists without such a bound. Orders are given as a position column,
 because a DataFrame has no row order of its own.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
+from surveyframe.session import settled
 
 
 def scale_to_max(cells: DataFrame, by: Sequence[str] = ("question_id",), value: str = "pct") -> DataFrame:
@@ -61,6 +62,41 @@ def rank_open_options(cells: DataFrame, by: Sequence[str] = ("question_id",)) ->
     return cells.join(ranks, [*by, "n"])
 
 
+#: Rows of an open list that one task numbers.
+BLOCK_ROWS = 200_000
+
+
+def _running(cells: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``cells`` with ``position`` and ``reached``, the sum of ``n`` up to the row, in order within ``by``.
+
+    Rows are put in order over ranges of the whole table, numbered and added up within
+    each range, and what earlier ranges of a question hold is joined back: a question's
+    list may be of any length, and no task receives it whole.
+    """
+    blocks = max(1, -(-cells.count() // BLOCK_ROWS))
+    rows = cells.repartitionByRange(blocks, *by, *order).withColumn("_block", F.spark_partition_id())
+    rows = settled(rows, "ordered")
+    sums = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_rows", "_n")]
+    own = Window.partitionBy(*by, "_block").orderBy(*order)
+    placed = rows.withColumns({"_at": F.row_number().over(own), "_sum": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = placed.join(sums.select(*by, "_block", *before), [*by, "_block"])
+    numbered = joined.withColumns({"position": F.col("_at") + F.col("_rows_before"), "reached": F.col("_sum") + F.col("_n_before")})
+    return numbered.drop("_block", "_at", "_sum", "_rows_before", "_n_before")
+
+
+def order_open_options(cells: DataFrame, by: Sequence[str] = ("question_id",), option: str = "option_id") -> DataFrame:
+    """Position by share, and where the option's slice starts and ends in that order, for lists of any length.
+
+    Write-ins have no place in the questionnaire: equal counts are ordered by the option.
+    """
+    totals = cells.groupBy(*by).agg(F.sum("n").alias("_total"))
+    placed = _running(cells, by, [F.desc("n"), F.asc(option)]).join(totals, list(by))
+    shares = {"start_share": share(F.col("reached") - F.col("n"), F.col("_total")), "end_share": share(F.col("reached"), F.col("_total"))}
+    return placed.withColumns(shares).drop("reached", "_total")
+
+
 def _position(cells: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     return cells.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 

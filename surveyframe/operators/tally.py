@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,15 @@ def distribution(answers: DataFrame) -> DataFrame:
     """Every option of every question over those who answered that question.
 
     For option lists that are not known beforehand, such as write-ins kept
-    verbatim. The answers are shuffled once, into one row per person and question;
-    each of these counts for its options and, as a pick of nothing, for the base.
+    verbatim. Each person's picks of a question are made distinct by one shuffle on
+    (question, person, option), together with a pick of nothing that counts the person
+    for the base; so no row holds all that a person wrote, and one who wrote a third of
+    all rows is spread like any others.
     """
     answers = answered(answers.select("respondent_id", "question_id", "option_id"))
-    people = answers.groupBy("question_id", "respondent_id").agg(F.collect_set("option_id").alias("options"))
-    picks = F.explode(F.concat("options", F.array(F.lit(None).cast("string"))))
-    counts = people.select("question_id", picks.alias("option_id")).groupBy("question_id", "option_id").agg(F.count(F.lit(1)).alias("n"))
+    with_base = F.explode(F.array(F.col("option_id"), F.lit(None).cast(answers.schema["option_id"].dataType)))
+    picks = answers.select("question_id", "respondent_id", with_base.alias("option_id")).distinct()
+    counts = picks.groupBy("question_id", "option_id").agg(F.count(F.lit(1)).alias("n"))
     cells = counts.filter(F.col("option_id").isNotNull())
     bases = counts.filter(F.col("option_id").isNull()).select("question_id", F.col("n").alias("d"))
     return cells.join(bases, "question_id").withColumn("pct", share("n", "d"))
@@ -79,14 +82,16 @@ def tally_catalogue(
     answers: DataFrame,
     catalogue: Mapping[str, Sequence[str]],
     respondents: DataFrame | None = None,
-    by: Sequence[str] = (),
+    by: Sequence[str] | Mapping[str, Sequence] = (),
 ) -> DataFrame:
     """Cells of every catalogue question from one pass over the answers.
 
     One shuffle brings each person's answers to a question into one row with a bit
     per option; all questions are then counted together, each over its own base.
-    ``by`` names columns of ``respondents`` to count within. Without it a question
-    that nobody answered keeps its cells, with base 0.
+    ``by`` names columns of ``respondents`` to count within, best as a mapping to their
+    declared values: then every question and combination of values keeps its cells,
+    with base 0 where nobody answered, and values that are not declared are left out.
+    Without ``by``, too, a question that nobody answered keeps its cells.
     """
     longest = max(len(options) for options in catalogue.values())
     place = {f"{q}\x1f{o}": i for q, options in catalogue.items() for i, o in enumerate(options)}
@@ -103,9 +108,11 @@ def tally_catalogue(
     if by:
         votes = votes.join(respondents.select("respondent_id", *by), "respondent_id")
     counts = _counts(votes, longest, ["question_id", *by])
-    if not by:
-        names = F.array(*[F.struct(F.lit(q).alias("question_id")) for q in catalogue])
-        counts = answers.sparkSession.range(1).select(F.inline(names)).join(counts, "question_id", "left").fillna(0)
+    if not by or isinstance(by, Mapping):
+        declared = [[F.lit(q).alias("question_id") for q in catalogue], *([F.lit(x).alias(c) for x in values] for c, values in dict(by).items())]
+        names = F.array(*[F.struct(*combination) for combination in product(*declared)])
+        grid = answers.sparkSession.range(1).select(F.inline(names))
+        counts = grid.join(counts, ["question_id", *by], "left").fillna(0, ["d", *(f"n{i}" for i in range(longest))])
     cells = F.array(
         *[
             F.struct(F.lit(q).alias("_q"), F.lit(o).alias("option_id"), F.lit(i + 1).alias("ord"), F.col(f"n{i}").alias("n"))

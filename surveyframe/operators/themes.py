@@ -3,7 +3,8 @@
 A codebook is a declared list of (theme, rule) in order of precedence. A rule is
 a list of keywords, any of which in any letter case gives the theme, or a
 regular expression. Each text gets one flag per theme; there is no join of texts
-to keywords.
+to keywords. Codebooks of thousands of keywords are tables, looked up through an
+index (``code_by_index``).
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.functions.expressions import share
+from surveyframe.functions.joins import dimension_join
+from surveyframe.session import settled
 from surveyframe.operators.tally import tally_ballots
 
 Codebook = Sequence[tuple[str, Sequence[str] | str]]
@@ -94,3 +97,53 @@ def theme_by(texts: DataFrame, members: DataFrame, codebook: Codebook) -> DataFr
     return counts.select("d", "d_member", F.inline(rows)).withColumns(
         {"pct": share("n", "d"), "pct_member": share("n_member", "d_member")}
     )
+
+
+#: Characters by which keywords are looked up.
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The strings of ``size`` characters in a text, made by laying shorter ones side by side; null at its end."""
+    if size == 1:
+        return F.split(text, "")
+    half = size // 2
+    rest = F.slice(_grams(text, size - half), half + 1, 1 << 30)
+    return F.zip_with(_grams(text, half), rest, lambda x, y: F.concat(x, y))
+
+
+def code_by_index(texts: DataFrame, words: DataFrame, multi: bool = True, gram: int = GRAM) -> DataFrame:
+    """``texts`` with ``theme`` and ``ord``, a row for each theme of an answer, for codebooks of any size.
+
+    ``words`` holds (theme, ord, word): a text has a theme if it holds any of its words, in
+    any letter case, wherever in the text; a text that fits none has UNCODED, with a null
+    ``ord``, and without ``multi`` only the theme of smallest ``ord`` counts (by name
+    between equals). Blank texts are no answers; empty and null words are no rules.
+    Repeated rows are answers of their own.
+
+    Keywords are indexed by their first ``gram`` characters (shorter ones by all of them).
+    A text's distinct strings of that many characters meet the index by an equi-join, and
+    only keywords found there are looked for in the text itself.
+    """
+    rules = words.select("theme", "ord", F.lower("word").alias("_word")).filter(F.length("_word") > 0).distinct()
+    rules = settled(rules.withColumn("_gram", F.substring("_word", 1, gram)), "rules")
+    sizes = sorted(r["size"] for r in rules.select(F.length("_gram").alias("size")).distinct().collect())  # at most ``gram`` numbers
+    rows = texts.filter(answered(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    rows = settled(rows, "answers")
+    lowered = rows.select("_row", F.lower("text").alias("_lower"))
+    every = F.array_distinct(F.array_compact(F.concat(*[_grams(F.col("_lower"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    met = lowered.select("_row", F.explode(every).alias("_gram"))
+    index = rules.groupBy("_gram").agg(F.count(F.lit(1)).alias("_words")).select("_gram")
+    tried = dimension_join(met, index, ["_gram"], "inner").join(rules, "_gram").select("_row", "theme", "ord", "_word")
+    found = tried.join(lowered, "_row").filter(F.contains("_lower", F.col("_word"))).select("_row", "theme", "ord").distinct()
+    if not multi:
+        first = Window.partitionBy("_row").orderBy("ord", "theme")
+        found = found.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") == 1).drop("_first")
+    return rows.join(found, "_row", "left").withColumn("theme", F.coalesce("theme", F.lit(UNCODED))).drop("_row")
+
+
+def index_tally(texts: DataFrame, words: DataFrame, multi: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Answers per theme found, over all who answered; one row per answer expected in ``texts``."""
+    bases = texts.filter(answered(F.col("text"))).groupBy(*by).agg(F.count(F.lit(1)).alias("d"))
+    counted = code_by_index(texts, words, multi).groupBy(*by, "theme").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(bases, list(by)).withColumn("pct", share("n", "d"))

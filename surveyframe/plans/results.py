@@ -16,11 +16,10 @@ from surveyframe.plans.registry import query
     "joi2_with_label",
     f"""WITH {v.SQL_SECTOR_CELLS}
         SELECT cells.*, coalesce(n_name, question_id::VARCHAR) AS label
-        FROM cells LEFT JOIN nation ON n_nationkey = question_id AND n_regionkey <> 0""",
+        FROM cells LEFT JOIN nation ON n_nationkey = question_id""",
 )
 def joi2(spark: SparkSession, sf: str) -> DataFrame:
-    known = v.table(spark, sf, "nation").filter(F.col("n_regionkey") != 0)
-    names = known.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label"))
+    names = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label"))
     return labels.with_label(v.sector_cells(spark, sf), names, "question_id")
 
 
@@ -65,17 +64,18 @@ def joi4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "joi6_missing_refs",
-    """SELECT l_orderkey AS doc_id, 'fig' || l_partkey AS figure_id,
+    """SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'old' ELSE 'fig' END || l_partkey AS figure_id,
               CASE WHEN p_partkey IS NULL THEN 'no data' ELSE 'unknown type' END AS problem, count(*) AS times
-       FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 25
+       FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND l_returnflag <> 'R'
        WHERE p_partkey IS NULL OR p_type NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'SMALL') GROUP BY ALL""",
 )
 def joi6(spark: SparkSession, sf: str) -> DataFrame:
-    figure = F.concat(F.lit("fig"), F.col("l_partkey"))
+    """Parts are the figures; returned lines name them by a prefix that no figure has."""
+    figure = F.concat(F.when(F.col("l_returnflag") == "R", "old").otherwise("fig"), F.col("l_partkey"))
     refs = v.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), figure.alias("figure_id")).agg(
         F.count(F.lit(1)).alias("times")
     )
-    parts = v.table(spark, sf, "part").filter(F.col("p_size") <= 25)
+    parts = v.table(spark, sf, "part")
     catalogue = parts.select(F.concat(F.lit("fig"), F.col("p_partkey")).alias("figure_id"), F.col("p_type").alias("type"))
     return audit.missing_refs(refs, catalogue, ["ECONOMY", "LARGE", "MEDIUM", "SMALL"])
 
@@ -197,7 +197,8 @@ def aud9(spark: SparkSession, sf: str) -> DataFrame:
         r AS (SELECT *, n < 5 AS small, count(*) FILTER (WHERE n < 5) OVER (PARTITION BY home) AS k,
                      row_number() OVER (PARTITION BY home ORDER BY n < 5, n, sector, segment) AS place FROM c),
         h AS (SELECT *, small OR k = 1 AND place = 1 AS suppressed FROM r)
-        SELECT home, sector, segment, CASE WHEN NOT suppressed THEN n END AS n, d, CASE WHEN NOT suppressed THEN n / d END AS pct, suppressed
+        SELECT home, sector, segment, CASE WHEN NOT suppressed THEN n END AS n,
+               CASE WHEN NOT (k = 1 AND count(*) FILTER (WHERE n >= 5) OVER (PARTITION BY home) = 0) THEN d END AS d, CASE WHEN NOT suppressed THEN n / d END AS pct, suppressed
         FROM h JOIN b USING (home)""",
 )
 def aud10(spark: SparkSession, sf: str) -> DataFrame:

@@ -178,6 +178,24 @@ def win4_open(spark: SparkSession, sf: str) -> DataFrame:
     return order.rank_open_options(tally.distribution(picks))
 
 
+@query(
+    "win2_open_cumulative_share",
+    """WITH c AS (SELECT l_returnflag AS question_id, l_partkey AS option_id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2),
+            b AS (SELECT l_returnflag AS question_id, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY 1),
+            r AS (SELECT question_id, option_id, n, d, n / d AS pct, row_number() OVER w AS position, sum(n) OVER w AS reached, sum(n) OVER (PARTITION BY question_id) AS total
+                  FROM c JOIN b USING (question_id) WINDOW w AS (PARTITION BY question_id ORDER BY n DESC, option_id ROWS UNBOUNDED PRECEDING))
+       SELECT question_id, option_id, n, d, pct, position, (reached - n) / total AS start_share, reached / total AS end_share FROM r""",
+)
+def win2_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as an open option list of each return flag, in order and with their slices."""
+    picks = v.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("respondent_id"),
+        F.col("l_returnflag").alias("question_id"),
+        F.col("l_partkey").alias("option_id"),
+    )
+    return order.order_open_options(tally.distribution(picks))
+
+
 def _position_sql(by: str, table: str = "cells") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {by})::INT AS position FROM {table}"
 

@@ -158,18 +158,35 @@ def set1(spark: SparkSession, sf: str) -> DataFrame:
     return tally.tally_catalogue(answers, catalogue)
 
 
+@query(
+    "set1_catalogue_by_segment",
+    f"""WITH {v.SQL_ANSWERS}, {v.SQL_LAYER}, {v.SQL_SEGMENTS.split("(", 1)[0]}(segment) AS (VALUES ('never'), ('aware'), ('done'), ('elsewhere')),
+        q(question_id, option_id, ord) AS (VALUES {", ".join(f"('{q}', '{o}', {i + 1})" for q, ids in (("sector", v.SECTORS), ("priority", v.PRIORITIES), ("unasked", ("x",))) for i, o in enumerate(ids))}),
+        a AS (SELECT * FROM answers JOIN layer USING (respondent_id)),
+        b AS (SELECT question_id, segment, count(DISTINCT respondent_id) AS d FROM a GROUP BY 1, 2)
+        SELECT q.question_id, s.segment, q.option_id, q.ord, count(a.respondent_id) AS n, coalesce(any_value(b.d), 0) AS d,
+               count(a.respondent_id) / nullif(any_value(b.d), 0) AS pct
+        FROM q CROSS JOIN segs s LEFT JOIN b ON b.question_id = q.question_id AND b.segment = s.segment
+        LEFT JOIN a ON a.question_id = q.question_id AND a.segment = s.segment AND a.option_id = q.option_id GROUP BY 1, 2, 3, 4""",
+)
+def set1_by(spark: SparkSession, sf: str) -> DataFrame:
+    """A question nobody was asked and a segment without people keep their cells."""
+    catalogue = {"sector": v.SECTORS, "priority": v.PRIORITIES, "unasked": ["x"]}
+    return tally.tally_catalogue(v.answers(spark, sf), catalogue, v.respondents(spark, sf), {"segment": [*v.SEGMENTS, "elsewhere"]})
+
+
 _PRESSING = [("priority", "1-URGENT"), ("priority", "2-HIGH")]
-_LOW_OR_LINE = [("priority", "5-LOW"), ("line", "1")]
+_LINE_OR_HOME = [("line", "7"), ("home", "7")]
 # Homes and line numbers share their option ids.
 _SETS = f"""{v.SQL_PICKS}, held AS (SELECT respondent_id, 'priority' AS question_id, option_id FROM picks
-  UNION ALL SELECT DISTINCT o_custkey, 'line', l_linenumber::VARCHAR FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49
+  UNION ALL SELECT DISTINCT o_custkey, 'line', l_linenumber::VARCHAR FROM orders JOIN lineitem ON l_orderkey = o_orderkey
   UNION ALL SELECT c_custkey, 'home', c_nationkey::VARCHAR FROM customer)"""
 _IN_A = "question_id = 'priority' AND option_id IN ('1-URGENT', '2-HIGH')"
-_IN_B = "(question_id = 'priority' AND option_id = '5-LOW' OR question_id = 'line' AND option_id = '1')"
+_IN_B = "(question_id IN ('line', 'home') AND option_id = '7')"
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
-    lines = v.table(spark, sf, "lineitem").filter(F.col("l_quantity") >= 49).select(
+    lines = v.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("string").alias("option_id")
     )
     buyers = v.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("respondent_id"))
@@ -180,7 +197,7 @@ def _held(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("set2_union_respondents", f"WITH {_SETS} SELECT DISTINCT respondent_id FROM held WHERE {_IN_B}")
 def set2(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.union_respondents(_held(spark, sf), _LOW_OR_LINE)
+    return tally.union_respondents(_held(spark, sf), _LINE_OR_HOME)
 
 
 @query(
@@ -188,7 +205,7 @@ def set2(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_SETS} SELECT respondent_id FROM held WHERE {_IN_A} EXCEPT SELECT respondent_id FROM held WHERE {_IN_B}",
 )
 def set3(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.except_respondents(_held(spark, sf), _PRESSING, _LOW_OR_LINE)
+    return tally.except_respondents(_held(spark, sf), _PRESSING, _LINE_OR_HOME)
 
 
 @query(
@@ -213,7 +230,7 @@ def set4(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_SETS} SELECT respondent_id FROM held WHERE {_IN_A} INTERSECT SELECT respondent_id FROM held WHERE {_IN_B}",
 )
 def set5(spark: SparkSession, sf: str) -> DataFrame:
-    return tally.intersect_respondents(_held(spark, sf), _PRESSING, _LOW_OR_LINE)
+    return tally.intersect_respondents(_held(spark, sf), _PRESSING, _LINE_OR_HOME)
 
 
 _DECLARED = {"priority": v.PRIORITIES[:3], "sector": v.SECTORS[:4]}

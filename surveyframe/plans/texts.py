@@ -46,6 +46,23 @@ def agg18_single(spark: SparkSession, sf: str) -> DataFrame:
     return themes.theme_tally(v.texts(spark, sf), v.CODEBOOK, multi=False, by=["lang"])
 
 
+@query(
+    "agg18_codebook_index",
+    """WITH words AS (SELECT 'item ' || item_id AS theme, lower(substr(trim(text), 1, 24)) AS word FROM benchmark),
+        a AS (SELECT doc_id, lang, lower(text) AS t FROM documents WHERE length(trim(text)) > 0),
+        f AS (SELECT DISTINCT doc_id, theme FROM a JOIN words ON word <> '' AND contains(t, word)),
+        b AS (SELECT lang, count(*) AS d FROM a GROUP BY 1)
+        SELECT lang, coalesce(theme, 'Not specified') AS theme, count(*) AS n, any_value(d) AS d, count(*) / any_value(d) AS pct
+        FROM a LEFT JOIN f USING (doc_id) JOIN b USING (lang) GROUP BY 1, 2""",
+)
+def agg18_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by the benchmark item whose opening they quote; every item is a theme with one keyword."""
+    words = v.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), "item_id").alias("theme"), F.col("item_id").alias("ord"), F.substring(F.trim("text"), 1, 24).alias("word")
+    )
+    return themes.index_tally(v.texts(spark, sf), words, by=["lang"])
+
+
 @query(
     "agg19_theme_by_membership",
     f"""WITH {_CODED}, {_theme_sql(True)}, {_THEMES},
@@ -161,6 +178,39 @@ def aud5(spark: SparkSession, sf: str) -> DataFrame:
     return audit.check_pages(given.unionByName(built), results)
 
 
+_RESULT_ROWS = """results AS (SELECT 'finished' AS question_id, respondent_id::VARCHAR AS option_id, n_done AS n, d FROM customer_results
+  UNION ALL SELECT 'urgent', respondent_id::VARCHAR, n_urgent, d FROM customer_results)"""
+
+
+@query(
+    "aud5_trace_percents",
+    f"""WITH {v.SQL_REPORT}, {_RESULT_ROWS},
+        pages2 AS (SELECT 'page ' || page_id AS page_id, html FROM pages
+                   UNION ALL SELECT 'report ' || doc_id, '<html><style>p{{width:99.9%}}</style><p>' || text || '</p></html>' FROM report
+                   UNION ALL SELECT 'summary ' || respondent_id, '<p>About ' || (floor(n_done / d * 10000 + 0.5)::BIGINT // 100) || '.'
+                     || lpad((floor(n_done / d * 10000 + 0.5)::BIGINT % 100)::VARCHAR, 2, '0') || '% done, not 12.345%</p>' FROM customer_results),
+        found AS (SELECT page_id, unnest(regexp_extract_all({_STRIP}, '[0-9]+(?:\\.[0-9]+)?%')) AS printed FROM pages2),
+        w AS (SELECT page_id, printed, count(*) AS times, length(regexp_extract(printed, '\\.([0-9]+)%', 1)) AS decimals,
+                     replace(replace(printed, '.', ''), '%', '')::BIGINT AS bin FROM found GROUP BY 1, 2),
+        s AS (SELECT *, (n * 200 * power(10, k)::BIGINT + d) // (2 * d) AS bin FROM results, (SELECT unnest(range(7)) AS k)),
+        b AS (SELECT k AS decimals, bin, count(*) AS n_sources, count(DISTINCT (n, d)) AS n_shares, min(question_id || ' | ' || option_id) AS source FROM s GROUP BY 1, 2)
+        SELECT page_id, printed, times, coalesce(n_sources, 0) AS n_sources, coalesce(n_shares, 0) AS n_shares, source FROM w LEFT JOIN b USING (decimals, bin)""",
+)
+def aud5_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages, the report and a summary that quotes shares without their fractions."""
+    given = v.table(spark, sf, "pages").select(F.concat(F.lit("page "), "page_id").alias("page_id"), "html")
+    built = v.report(spark, sf).select(
+        F.concat(F.lit("report "), "doc_id").alias("page_id"),
+        F.concat(F.lit("<html><style>p{width:99.9%}</style><p>"), "text", F.lit("</p></html>")).alias("html"),
+    )
+    units = F.floor(F.col("n_done") / F.col("d") * 10_000 + F.lit(0.5))
+    printed = F.concat((units / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(F.pmod(units, F.lit(100)).cast("string"), 2, "0"))
+    short = v.customer_results(spark, sf).select(
+        F.concat(F.lit("summary "), "respondent_id").alias("page_id"), F.concat(F.lit("<p>About "), printed, F.lit("% done, not 12.345%</p>")).alias("html")
+    )
+    return audit.trace_percents(given.unionByName(built).unionByName(short), v.results_long(spark, sf))
+
+
 @query(
     "aud6_translation_check",
     f"""WITH {v.paragraphs_sql()}, {v.paragraphs_sql("upper(replace(text, '555-', '556-'))", "other")},

@@ -50,6 +50,7 @@ TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
 }
 
 

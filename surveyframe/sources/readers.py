@@ -10,12 +10,14 @@ from surveyframe.model import RESULT_SCHEMA
 
 
 def read_responses(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """Cleaned response table from CSV, with its declared schema; a header that differs is an error.
+    """Cleaned response table from CSV, with its declared schema.
+
+    A header that differs and a cell that is not of its column's type are errors.
 
     ``multiline`` allows line breaks inside quoted answers, and then reads each
     file in one task, so split such exports into many files.
     """
-    return _csv(spark, schema, multiline).option("enforceSchema", False).csv(path)
+    return _csv(spark, schema, multiline).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def _csv(spark: SparkSession, schema: T.StructType, multiline: bool) -> DataFrameReader:
