@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "split_by_bits", "tidy", "total_of"]
+__all__ = ["attach", "components", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 1 << 20
@@ -40,14 +41,20 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 _sent: set[str] = set()
 
 
+def small_batches(spark: SparkSession, rows: int, size: int) -> None:
+    """Lower the session's Arrow batches to at most so many rows and bytes; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def prepare(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, as ``--py-files`` would.
 
-    Also bounds what is passed to Python at a time, since texts are long: batches of
-    ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, for this session.
+    Also bounds what is passed to Python at a time, since texts are long.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(spark, BATCH_ROWS, BATCH_BYTES)
     if spark.sparkContext.applicationId in _sent:
         return
     package, packed = Path(__file__).resolve().parent.parent, io.BytesIO()
