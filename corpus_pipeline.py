@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import read, settled
+from surveyframe.llm.common import read, release, settled, small_batches, tidy
 from surveyframe.llm.jaccard import one_of_each
 from surveyframe.llm.mixing import mix
 from surveyframe.llm.packing import pack
@@ -20,12 +20,24 @@ from surveyframe.llm.suffix import remove_repeats
 # empty one. Ties are told for each.
 
 
+# Stages follow one another in the same workers, so each begins with little held by the last one.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+
+
+def _begin(spark: SparkSession) -> None:
+    """Give memory of the stage before back, and pass less to Python at a time."""
+    small_batches(spark, BATCH_ROWS, BATCH_BYTES)
+    release(spark)
+    tidy()
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; labels as in its query.
 
     A score of exactly 0.5 is kept; equal texts have equal scores. Empty texts are scored
     like any others.
     """
+    _begin(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
 
 
@@ -35,6 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are linked with nothing. Rows without an id stay, as do repeated
     rows of the id that stays.
     """
+    _begin(spark)
     return one_of_each(docs, size=5, percent=80)
 
 
@@ -43,6 +56,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Every occurrence goes, the first one too. Null texts stay null, with a null length.
     """
+    _begin(spark)
     return remove_repeats(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -52,12 +66,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Documents of one id are all taken or all left; null languages and sources are
     leaves of their own; documents without words cost nothing.
     """
+    _begin(spark)
     own = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("document"))
     return mix(own, tree(), WEIGHTS, fraction=0.9, max_epochs=1, seed=7, keep=["document"]).select("document.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 tokens; a document without text is its end token."""
+    _begin(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
