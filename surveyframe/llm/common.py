@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
+__all__ = ["attach", "components", "delete_tables", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "scratch_tables", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 1 << 20
@@ -76,6 +76,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def scratch_tables(spark: SparkSession) -> set[str]:
+    """The tables in the shared scratch folder."""
+    root = scratch_path(spark, "x").rpartition("/")[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.getPath().toString() for x in store.listStatus(path)} if store.exists(path) else set()
+
+
+def delete_tables(spark: SparkSession, paths: set[str]) -> None:
+    for p in sorted(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def total_of(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(column)).first()[0] or 0
 

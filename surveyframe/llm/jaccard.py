@@ -361,6 +361,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     joined = jaccard_join(docs, id_col=id_col, text_col=text_col, size=size, percent=percent)
     goes = settled(joined.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("goes")).distinct(), "goes")
+    release(spark)
     bits = spark.sparkContext.broadcast(id_bits(goes.select(F.xxhash64("goes").alias("h")), "h"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("goes"))
     rows = rows.withColumn("tried", may_be_listed(F.xxhash64("goes"), bits))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from surveyframe.llm.common import scratch_tables
 from surveyframe.session import settled
 from tests.conftest import SF_DIR
 from tests.llm.test_jaccard import brute as components
@@ -40,10 +41,14 @@ def without_repeats(texts, length, size):
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    names, kept = [], [docs]
+    names, kept, held = [], [docs], []
+    before = scratch_tables(spark)
     for name, stage in corpus_pipeline.STAGES:
         names.append(name)
         kept.append(settled(stage(spark, kept[-1], SF_DIR), name))
+        held.append(len(scratch_tables(spark) - before))
+    # what a stage wrote on its way goes with the next; results stay
+    assert len(scratch_tables(spark) - before) < sum(held) and max(held) < 150
     rows = [{r.doc_id: r for r in d.collect()} for d in kept[:5]]
     assert [d.columns for d in kept[:5]] == [docs.columns] * 5 and names[0] == "quality" and names[-1] == "packing"
 
