@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import read, release, settled, small_batches, tidy
+from surveyframe.llm.common import delete_tables, read, release, scratch_tables, settled, small_batches, tidy
 from surveyframe.llm.jaccard import one_of_each
 from surveyframe.llm.mixing import mix
 from surveyframe.llm.packing import pack
@@ -24,56 +27,78 @@ from surveyframe.llm.suffix import remove_repeats
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
-def _begin(spark: SparkSession) -> None:
-    """Give memory of the stage before back, and pass less to Python at a time."""
-    small_batches(spark, BATCH_ROWS, BATCH_BYTES)
-    release(spark)
-    tidy()
+_scratch: dict[str, set[str]] = {}
+
+
+def _light(stage: Callable) -> Callable:
+    """A stage that passes little to Python at a time and leaves little behind.
+
+    What the stage before has written on its way is deleted when the next one begins: its
+    result is a table of its own by then, and is all that the next one reads. Other
+    tables, such as those of queries and of ``run``, are not touched: only those made
+    while the stage's function ran, in this application, and none that ``docs`` reads.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark, BATCH_ROWS, BATCH_BYTES)
+        read_now = {f.rpartition("/")[0].removeprefix("file:").lstrip("/") for f in docs.inputFiles()}
+        gone = _scratch.pop(spark.sparkContext.applicationId, set())
+        delete_tables(spark, {p for p in gone if p.removeprefix("file:").lstrip("/") not in read_now})
+        release(spark)
+        tidy()
+        before = scratch_tables(spark)
+        out = stage(spark, docs, sf_dir)
+        made = {p for p in scratch_tables(spark) - before if "/package-" not in p}
+        _scratch[spark.sparkContext.applicationId] = made
+        return out
+
+    return run_stage
 
 
+@_light
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; labels as in its query.
 
     A score of exactly 0.5 is kept; equal texts have equal scores. Empty texts are scored
     like any others.
     """
-    _begin(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
 
 
+@_light
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the smallest id.
 
     Texts without words are linked with nothing. Rows without an id stay, as do repeated
     rows of the id that stays.
     """
-    _begin(spark)
     return one_of_each(docs, size=5, percent=80)
 
 
+@_light
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 400 bytes or of 51 words that are found elsewhere too; lengths are told anew.
 
     Every occurrence goes, the first one too. Null texts stay null, with a null length.
     """
-    _begin(spark)
     return remove_repeats(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_light
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the budgets of the mix, each used once at most.
 
     Documents of one id are all taken or all left; null languages and sources are
     leaves of their own; documents without words cost nothing.
     """
-    _begin(spark)
     own = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("document"))
     return mix(own, tree(), WEIGHTS, fraction=0.9, max_epochs=1, seed=7, keep=["document"]).select("document.*")
 
 
+@_light
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 tokens; a document without text is its end token."""
-    _begin(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
