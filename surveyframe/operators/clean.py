@@ -35,14 +35,19 @@ def valid_sample(
 def redact_identifiers(df: DataFrame, drop: Sequence[str] = (), text: Sequence[str] = ()) -> DataFrame:
     """Drop identifying columns and mask e-mail addresses and phone numbers inside text.
 
-    The address pattern is only tried on texts holding the character every match has.
+    Patterns are only tried on texts holding what every match has: an at sign; a bracket,
+    a plus sign, or two digits joined by a dash.
     """
 
     def addresses(c: Column) -> Column:
         return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, "[email]")).otherwise(c)
 
+    def phones(c: Column) -> Column:
+        some = F.contains(c, F.lit("(")) | F.contains(c, F.lit("+")) | c.rlike("[0-9]-[0-9]")
+        return F.when(some, F.regexp_replace(c, PHONE, "[phone]")).otherwise(c)
+
     masked = df.drop(*drop).withColumns({c: addresses(F.col(c)) for c in text})
-    return masked.withColumns({c: F.regexp_replace(F.col(c), PHONE, "[phone]") for c in text})
+    return masked.withColumns({c: phones(F.col(c)) for c in text})
 
 
 def base_of(answers: DataFrame, respondents: DataFrame, questions: DataFrame) -> DataFrame:
