@@ -11,7 +11,7 @@ from surveyframe.operators import kano, ratings, tally
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
 from surveyframe.session import scratch_path
-from surveyframe.sources import readers, writers
+from surveyframe.sources import nested, readers, writers
 
 
 @query(
@@ -86,6 +86,14 @@ def src3(spark: SparkSession, sf: str) -> DataFrame:
     return writers.flatten_figure(readers.read_catalogue(spark, path, CATALOGUE_SCHEMA), "hbar")
 
 
+@query("src3_read_split_catalogue", _FLAT)
+def src3_split(spark: SparkSession, sf: str) -> DataFrame:
+    """From indented files, whose records span many lines."""
+    path = scratch_path(spark, "indented")
+    nested.write_pretty_catalogue(_customer_figures(spark, sf), path, "window.FIGURES", files=4)
+    return writers.flatten_figure(nested.read_split_catalogue(spark, path, CATALOGUE_SCHEMA), "hbar")
+
+
 @query(
     "src4_read_paragraphs",
     f"""WITH {v.paragraphs_sql()}

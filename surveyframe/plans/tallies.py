@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.model import dimension
-from surveyframe.operators import segments, shift, tally
+from surveyframe.operators import membership, segments, shift, tally
 from surveyframe.plans import views as v
 from surveyframe.plans.registry import query
+from surveyframe.session import scratch_path
 
 
 @query("agg1_distribution", v.distribution_sql())
@@ -248,3 +249,39 @@ def undeclared(spark: SparkSession, sf: str) -> DataFrame:
     pairs = [(q, o) for q, ids in _DECLARED.items() for o in ids]
     options = dimension(spark, question_id=[q for q, _ in pairs], option_id=[o for _, o in pairs])
     return tally.undeclared(v.answers(spark, sf), options, v.respondents(spark, sf), ["aware", "done"])
+
+
+@query(
+    "set5_sets_from_index",
+    f"""WITH {_SETS}, a AS (SELECT DISTINCT respondent_id FROM held WHERE {_IN_A}), b AS (SELECT DISTINCT respondent_id FROM held WHERE {_IN_B}),
+        x AS (SELECT a.respondent_id IS NOT NULL AS a, b.respondent_id IS NOT NULL AS b FROM a FULL JOIN b ON a.respondent_id = b.respondent_id)
+        SELECT name, n FROM (SELECT count(*) AS "either", count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS "pressing only",
+          count(*) FILTER (b AND NOT a) AS "line or home only",
+          (SELECT count(DISTINCT respondent_id) FROM held WHERE question_id = 'priority') AS "asked" FROM x)
+        UNPIVOT (n FOR name IN ("either", "both", "pressing only", "line or home only", "asked"))""",
+)
+def set5_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Five set questions from one stored index, read once."""
+    path = scratch_path(spark, "membership")
+    membership.write_index(membership.membership_index(_held(spark, sf)), path)
+    index = membership.read_index(spark, path)
+    sets = {"a": _PRESSING, "b": _LINE_OR_HOME, "asked": [("priority", membership.ANYTHING)]}
+    asked = {
+        "either": membership.either("a", "b"),
+        "both": membership.both("a", "b"),
+        "pressing only": membership.without("a", "b"),
+        "line or home only": membership.without("b", "a"),
+        "asked": F.col("asked"),
+    }
+    return membership.count_sets(membership.members_of(index, sets), asked)
+
+
+@query(
+    "set3_except_from_index",
+    f"WITH {_SETS} SELECT respondent_id FROM held WHERE {_IN_A} EXCEPT SELECT respondent_id FROM held WHERE {_IN_B}",
+)
+def set3_index(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "membership")
+    membership.write_index(membership.membership_index(_held(spark, sf)), path)
+    members = membership.members_of(membership.read_index(spark, path), {"a": _PRESSING, "b": _LINE_OR_HOME})
+    return membership.list_set(members, membership.without("a", "b"))
