@@ -71,9 +71,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of tables that are written out by now."""
+    """Let Spark delete shuffle files of tables that are written out by now, and executors give unused heap back.
+
+    An executor's heap grows with the garbage of each job and shrinks at a full collection only.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext._jsc.sc().isLocal():
+        tasks = spark.sparkContext.defaultParallelism
+        collected = spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("none"))
+        collected.write.format("noop").mode("overwrite").save()
 
 
 def scratch_tables(spark: SparkSession) -> set[str]:
