@@ -15,7 +15,10 @@ suffixes again; buckets that are settled drop out of every later round:
 2. within a bucket, by the context before and after that all the anchor's windows
    cover: what is found twice is a repeated interval, with all of its windows;
 3. for what is left, the ends of repeated intervals, by every single window; each
-   different context of such a bucket sends its windows once.
+   different context of such a bucket sends its windows once for each shard.
+
+Equal texts are one row before they are dealt into shards: such a text is repeated
+as a whole, and stands for its copies towards all others.
 
 The buckets are in the order of hashes, since only equality matters here. One
 symbol a round, as in the original, would cost as many shuffles as the longest
@@ -102,11 +105,26 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
-SHARDS = "shard long, range long, prefixes binary, contexts binary, keys binary, owned binary, windows binary, offsets binary, ranks binary"
+SHARDS = "shard long, range long, prefixes binary, contexts binary, twice binary, keys binary, owned binary, windows binary, offsets binary, which binary"
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs in order, whether each is there several times, and which of them each row has."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    group = np.cumsum(new) - 1
+    which = np.empty(len(a), np.int32)
+    which[order] = group
+    return a[new], b[new], np.bincount(group) > 1, which
+
+
+def _keys(batch: pa.RecordBatch, at: int, end: int) -> bytes:
+    return b"".join(batch.column("key").slice(at, end - at).cast(pa.binary()).to_pylist())
 
 
 def _shards(length: int, ranges: int, words: bool):
-    """For each shard one row with its anchors and their order, and its sorted keys by range."""
+    """For each shard one row with its anchors, and its different keys in order by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -121,12 +139,11 @@ def _shards(length: int, ranges: int, words: bool):
                     continue
                 prefix = _prefix(total, p, length)
                 context = mix(span(total, lo, hi + length) + (p - lo).astype(np.uint64) * U(0x9FB21C651E98DF25))
-                rank = np.lexsort((context, prefix)).astype(np.int32)
-                prefix, context = prefix[rank], context[rank]
+                prefix, context, twice, which = _distinct(prefix, context)
                 part = _range_of(prefix, ranges)
                 cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True))
-                keys = batch.column("key").slice(at, end - at).cast(pa.binary())
+                keys = _keys(batch, at, end)
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -134,13 +151,14 @@ def _shards(length: int, ranges: int, words: bool):
                         pa.array([None, *part[cut].tolist()], pa.int64()),
                         pa.array([None, *(prefix[a:b].tobytes() for a, b in spans)], pa.binary()),
                         pa.array([None, *(context[a:b].tobytes() for a, b in spans)], pa.binary()),
-                        pa.array([b"".join(keys.to_pylist()), *[None] * n], pa.binary()),
+                        pa.array([None, *(twice[a:b].tobytes() for a, b in spans)], pa.binary()),
+                        pa.array([keys, *[None] * n], pa.binary()),
                         pa.array([np.bincount(text, minlength=end - at).astype(np.int32).tobytes(), *[None] * n], pa.binary()),
                         pa.array([(hi - lo + 1).astype(np.int16).tobytes(), *[None] * n], pa.binary()),
                         pa.array([(p - lo).astype(np.int16).tobytes(), *[None] * n], pa.binary()),
-                        pa.array([rank.tobytes(), *[None] * n], pa.binary()),
+                        pa.array([which.tobytes(), *[None] * n], pa.binary()),
                     ],
-                    names=["shard", "range", "prefixes", "contexts", "keys", "owned", "windows", "offsets", "ranks"],
+                    names=["shard", "range", "prefixes", "contexts", "twice", "keys", "owned", "windows", "offsets", "which"],
                 )
 
     return run
@@ -153,20 +171,20 @@ def _same_as_neighbour(*keys: np.ndarray) -> np.ndarray:
 
 
 def _interleave(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Merge the shards' sorted blocks of one range; a byte for each suffix in its shard's order.
+    """Merge the shards' sorted blocks of one range; a byte for each different key in its shard's order.
 
     Bit 0: its context is repeated. Bit 1: its windows must be told one by one.
     """
     blocks = blocks.sort_values("shard", ignore_index=True)
     prefix = np.concatenate([np.frombuffer(x, np.uint64) for x in blocks["prefixes"]])
     context = np.concatenate([np.frombuffer(x, np.uint64) for x in blocks["contexts"]])
+    flags = np.concatenate([np.frombuffer(x, np.uint8) for x in blocks["twice"]])  # repeated within a shard
     order = np.argsort(prefix, kind="stable")  # round 1: the runs are sorted already
     order = order[_same_as_neighbour(prefix[order])]
     order = order[np.lexsort((context[order], prefix[order]))]  # round 2: open buckets only
     a, b = prefix[order], context[order]
     repeated = _same_as_neighbour(a, b) if len(a) else np.zeros(0, bool)
-    flags = np.zeros(len(prefix), np.uint8)
-    flags[order] = repeated
+    flags[order] |= repeated
     if len(a):
         bucket = np.cumsum(np.concatenate(([0], a[1:] != a[:-1])))
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -191,8 +209,11 @@ def _by_text(key: tuple, shards: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFr
     out: list[tuple] = []
     for s in shards.itertuples() if len(flags) else ():
         got = np.frombuffer(b"".join(flags.sort_values("range")["flags"]), np.uint8)
-        flag = np.empty(len(got), np.uint8)
-        flag[np.frombuffer(s.ranks, np.int32)] = got
+        which = np.frombuffer(s.which, np.int32)
+        flag = got[which]
+        again = np.ones(len(flag), bool)
+        again[np.unique(which, return_index=True)[1]] = False
+        flag[again] &= 1  # one of each context is told window by window
         owned = np.frombuffer(s.owned, np.int32)
         ends = np.cumsum(owned)
         size, off = (np.frombuffer(x, np.int16).astype(np.int64) for x in (s.windows, s.offsets))
@@ -217,53 +238,74 @@ def _flagged(bits):
     return run
 
 
+WINDOWS = "shard long, range long, hashes binary, prefixes binary, twice binary, keys binary, texts binary, starts binary, which binary"
+
+
 def _windows(length: int, ranges: int, words: bool):
-    """Round 3: the hash of every window of the anchors to be told."""
+    """Round 3: for each slab one row with its windows to be told, and their different hashes by range.
+
+    Ranges are of the window's own hash, so the windows of a frequent prefix are dealt over all of them,
+    and a window that a slab holds many times is sent once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows: list[tuple] = []
-            tell, keys = batch.column("told").to_pylist(), batch.column("key").to_pylist()
+            tell = batch.column("told").to_pylist()
             for at, end, buf, bounds in slabs(batch):
-                total = None
-                for k in range(at, end):
-                    parts = tell[k]
-                    if not parts:
-                        continue
-                    if total is None:
-                        total, bounds = symbols(buf, bounds, words)
-                    told = np.unique(np.frombuffer(b"".join(parts), np.int64).reshape(-1, 4), axis=0)
-                    lo, size, off, sure = told.T
-                    base = bounds[k - at]
-                    prefix = _prefix(total, base + lo + off, length)
-                    part = _range_of(prefix, ranges)
-                    i = np.repeat(base + lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    hashes = span(total, i, i + length)
-                    for x, q, c, b, g, y in zip(np.split(hashes, np.cumsum(size)[:-1]), prefix, part, lo, sure, size, strict=True):
-                        rows.append((int(c), int(q.view(np.int64)), keys[k], int(b), bool(g), x.tobytes() if y else b""))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["range", "prefix", "key", "first", "sure", "hashes"])
+                shard += 1
+                total, bounds = symbols(buf, bounds, words)
+                told = [np.unique(np.frombuffer(x, np.int64).reshape(-1, 4), axis=0) for x in tell[at:end]]
+                text = np.repeat(np.arange(end - at, dtype=np.int32), [len(x) for x in told])
+                lo, size, off, sure = np.concatenate(told).T
+                base = bounds[text]
+                start = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                i = start + np.repeat(base, size)
+                prefix = np.repeat(_prefix(total, base + lo + off, length), size)
+                hashes, prefix, twice, which = _distinct(span(total, i, i + length), prefix)
+                part = _range_of(hashes, ranges)
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True))
+                n, is_open = len(spans), np.repeat(sure == 0, size)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([shard] * (n + 1), pa.int64()),
+                        pa.array([None, *part[cut].tolist()], pa.int64()),
+                        pa.array([None, *(hashes[a:b].tobytes() for a, b in spans)], pa.binary()),
+                        pa.array([None, *(prefix[a:b].tobytes() for a, b in spans)], pa.binary()),
+                        pa.array([None, *(twice[a:b].tobytes() for a, b in spans)], pa.binary()),
+                        pa.array([_keys(batch, at, end), *[None] * n], pa.binary()),
+                        pa.array([np.repeat(text, size)[is_open].tobytes(), *[None] * n], pa.binary()),
+                        pa.array([start[is_open].tobytes(), *[None] * n], pa.binary()),
+                        pa.array([which[is_open].tobytes(), *[None] * n], pa.binary()),
+                    ],
+                    names=["shard", "range", "hashes", "prefixes", "twice", "keys", "texts", "starts", "which"],
+                )
 
     return run
 
 
-def _tell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Window starts, of those still open, that are found at another place too."""
-    size = np.array([len(x) // 8 for x in rows["hashes"]])
-    h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
-    row = np.repeat(np.arange(len(rows)), size)
-    prefix = rows["prefix"].to_numpy()[row]
-    at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) + rows["first"].to_numpy()[row]
+def _tell(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+    """Whether each window of one range of hashes is found at another place too."""
+    h, prefix = (np.frombuffer(b"".join(blocks[c]), np.uint64) for c in ("hashes", "prefixes"))
+    found = np.frombuffer(b"".join(blocks["twice"]), bool).copy()
     order = np.lexsort((prefix, h))
-    found = np.zeros(len(h), bool)
-    found[order] = _same_as_neighbour(h[order], prefix[order])
-    found &= ~rows["sure"].to_numpy()[row]
-    hit = np.unique(row[found])
-    cuts = np.searchsorted(row[found], hit)
-    starts = [x.astype(np.int64).tobytes() for x in np.split(at[found], cuts[1:])] if len(hit) else []
-    return pd.DataFrame({"key": rows["key"].to_numpy()[hit], "starts": starts})
+    found[order] |= _same_as_neighbour(h[order], prefix[order])
+    cuts = np.cumsum([len(x) for x in blocks["twice"]])[:-1]
+    return pd.DataFrame({"shard": blocks["shard"], "range": key[0], "flags": [x.tobytes() for x in np.split(found, cuts)]})
+
+
+def _starts(key: tuple, shards: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+    """The starts of a slab's open windows that are found elsewhere too, by text."""
+    out: list[tuple] = []
+    for s in shards.itertuples():
+        found = np.frombuffer(b"".join(flags.sort_values("range")["flags"]), bool)[np.frombuffer(s.which, np.int32)]
+        text, start = np.frombuffer(s.texts, np.int32)[found], np.frombuffer(s.starts, np.int64)[found]
+        some, cuts = np.unique(text, return_index=True)
+        out += [(s.keys[16 * k : 16 * k + 16], x.tobytes()) for k, x in zip(some.tolist(), np.split(start, cuts[1:]), strict=bool(len(some)))]
+    return pd.DataFrame(out, columns=["key", "starts"])
 
 
 def _cut(length: int, words: bool, texts: bool):
@@ -272,18 +314,22 @@ def _cut(length: int, words: bool, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, sure, more in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "sure", "starts")), strict=True):
+            for key, text, sure, copied, more in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "sure", "copied", "starts")), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 lo, hi = np.frombuffer(sure or b"", np.int64).reshape(-1, 2).T
-                one = np.frombuffer(b"".join(more or []), np.int64)
+                one = np.frombuffer(more or b"", np.int64)
                 lo, hi = np.concatenate((lo, one)), np.concatenate((hi, one + 1))
+                if words:
+                    first, last = word_chunks(raw, np.array([0, len(raw)]))
+                if copied:  # all of its windows are found in its copies
+                    windows = (len(first) if words else len(raw)) - length + 1
+                    lo, hi = (np.array([x] * (windows > 0), np.int64) for x in (0, windows))
                 o = np.argsort(lo, kind="stable")
                 lo, hi = _runs(lo[o], hi[o] - 1 + length)
                 if not len(lo):
                     continue
                 if words:
-                    start, end = word_chunks(raw, np.array([0, len(raw)]))
-                    lo, hi = start[lo], end[hi - 1]
+                    lo, hi = first[lo], last[hi - 1]
                 keep = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(keep, lo, 1)
                 np.add.at(keep, hi, -1)
@@ -319,28 +365,35 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     total = (light.agg(F.sum("n_bytes")).first()[0] or 0) / (6 if words else 1)  # words are of about six bytes
     ranges = max(64, int(total * 2 / r / RANGE))
     least = 2 * length - 1 if words else length
-    parsed = settled(docs.where(F.octet_length("text") >= least).select("key", "text").mapInArrow(_shards(length, ranges, words), SHARDS), "shards")
-    blocks = parsed.where("range is not null").select("shard", "range", "prefixes", "contexts")
+    counted = light.groupBy("key").agg(F.count("*").alias("w"), F.first("n_bytes").alias("n_bytes"))
+    copied = settled(counted.where(f"w > 1 and n_bytes >= {least}").select("key", F.lit(True).alias("copied")), "copied")
+    bits = spark.sparkContext.broadcast(id_bits(copied.select(F.xxhash64("key").alias("h")), "h"))
+    tried = docs.where(F.octet_length("text") >= least).select("key", "text").withColumn("tried", may_be_listed(F.xxhash64("key"), bits))
+    one_each = settled(tried.where("tried").groupBy("key").agg(F.first("text").alias("text")), "copies")
+    distinct = tried.where("not tried").drop("tried").unionByName(one_each)  # copies are one row from here on
+    parsed = settled(distinct.mapInArrow(_shards(length, ranges, words), SHARDS), "shards")
+    blocks = parsed.where("range is not null").select("shard", "range", "prefixes", "contexts", "twice")
     flags = settled(blocks.groupBy("range").applyInPandas(_interleave, "shard long, range long, flags binary"), "flags")
     release(spark)
-    shards = parsed.where("range is null").select("shard", "keys", "owned", "windows", "offsets", "ranks")
+    shards = parsed.where("range is null").select("shard", "keys", "owned", "windows", "offsets", "which")
     found = shards.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(_by_text, "key binary, sure binary, told binary")
-    found = settled(found.groupBy("key").agg(F.first("sure").alias("sure"), F.collect_list("told").alias("told")), "found")
+    found = settled(found.join(copied, "key", "full"), "found")
     bits = spark.sparkContext.broadcast(id_bits(found.select(F.xxhash64("key").alias("h")), "h"))
-    some = docs.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(_flagged(bits), "key binary, text string")
-    some = some.groupBy("key").agg(F.first("text").alias("text"))
+    some = distinct.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(_flagged(bits), "key binary, text string")
     open_texts = settled(some.join(found, "key"), "open")
     release(spark)
-    windows = open_texts.where(F.size("told") > 0).select("key", "text", "told")
-    hashes = windows.mapInArrow(_windows(length, ranges, words), "range long, prefix long, key binary, first long, sure boolean, hashes binary")
-    starts = hashes.groupBy("range").applyInPandas(_tell, "key binary, starts binary")
-    starts = settled(starts.groupBy("key").agg(F.collect_list("starts").alias("starts")), "starts")
+    windows = settled(open_texts.where(F.length("told") > 0).select("key", "text", "told").mapInArrow(_windows(length, ranges, words), WINDOWS), "windows")
+    blocks = windows.where("range is not null").select("shard", "range", "hashes", "prefixes", "twice")
+    flags = settled(blocks.groupBy("range").applyInPandas(_tell, "shard long, range long, flags binary"), "told")
+    release(spark)
+    open_windows = windows.where("range is null").select("shard", "keys", "texts", "starts", "which")
+    starts = open_windows.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(_starts, "key binary, starts binary")
+    starts = settled(starts, "starts")
     release(spark)
-    cut = open_texts.select("key", "text", "sure").join(starts, "key", "left").mapInArrow(
+    cut = open_texts.select("key", "text", "sure", "copied").join(starts, "key", "left").mapInArrow(
         _cut(length, words, spans), "key binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     )
-    copies = light.groupBy("key").agg(F.count("*").alias("w"))
-    cut = settled(cut.join(copies, "key"), "cut")
+    cut = settled(cut.join(counted.select("key", "w"), "key"), "cut")
     out = attach(light, cut, "key", "w").select(
         F.col("id").alias(id_col),
         "n_bytes",
