@@ -15,7 +15,7 @@ from surveyframe.llm.packing import pack
 from surveyframe.llm.prefix_trie import TRIE_SQL, prefix_trie
 from surveyframe.llm.quality import quality
 from surveyframe.llm.simhash import near_copies
-from surveyframe.llm.suffix import repeated_bytes, repeats_sql
+from surveyframe.llm.suffix import repeated_bytes_and_words, repeats_sql
 from surveyframe.llm.token_counts import count_tokens
 from surveyframe.llm.topk import TOP_K_SQL, top_k
 from surveyframe.llm.toxicity import toxicity
@@ -28,9 +28,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-@query("op8_suffix_dedup", repeats_sql(400))
+@query("op8_suffix_dedup", repeats_sql(400, 51))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(read(spark, sf_dir, "documents"), length=400)
+    return repeated_bytes_and_words(read(spark, sf_dir, "documents"), length=400, words=51)
 
 
 @query("op9_harmonic_packing")

@@ -405,6 +405,22 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out
 
 
+def repeated_bytes_and_words(docs: DataFrame, *, length: int = 400, words: int = 51) -> DataFrame:
+    """``repeated_bytes`` with n_word_bytes: the bytes that repeated strings of ``words`` words cover.
+
+    A passage of short words repeats without reaching ``length`` bytes; n_word_bytes tells it. It
+    counts from a string's first word to its last, overlaps once, and changes no other column.
+    Null, empty and short texts have 0; repeated rows have the same.
+    """
+    spark = docs.sparkSession
+    out = settled(repeated_bytes(docs, length=length, spans=True).drop("spans"), "bytes")
+    release(spark)
+    by_word = repeated_bytes(docs, length=words, words=True, spans=True).where("n_removed > 0")
+    by_text = by_word.groupBy("text_key").agg(F.first("n_removed").alias("n_word_bytes"), F.count("*").alias("w"))
+    told = attach(out, settled(by_text, "words"), "text_key", "w").drop("text_key")
+    return told.withColumn("n_word_bytes", F.coalesce("n_word_bytes", F.lit(0)).cast("long"))
+
+
 def text_key(text: Column) -> Column:
     """What ``repeated_bytes`` names a text by: half of its SHA-256."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
@@ -455,8 +471,8 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def repeats_sql(length: int) -> str:
-    """``repeated_bytes`` in DuckDB SQL, by the hash of every window."""
+def repeats_sql(length: int, words: int) -> str:
+    """``repeated_bytes_and_words`` in DuckDB SQL, by the hash of every window."""
     return f"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 b as (select doc_id, h, unnest(range(1, cast(len(h) / 2 as bigint) + 1)) as i from d),
@@ -465,6 +481,16 @@ r as (select doc_id, i, byte, k is not null and count(*) over (partition by k) >
 c as (select doc_id, i, byte, bool_or(again) over (partition by doc_id order by i rows between {length - 1} preceding and current row) as gone from r),
 t as (select doc_id, i, byte, gone, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as first_ from c),
 a as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where first_) as n_spans,
-  sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (where not gone), ''))) as kept_sha256 from t group by 1)
+  sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (where not gone), ''))) as kept_sha256 from t group by 1),
+p as (select doc_id, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') as pieces from documents),
+q as (select doc_id, pieces, list_transform(pieces, lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+', '')) as words from p),
+v as (select doc_id, words, pieces, unnest(range(1, len(words) + 1)) as i from q),
+x as (select doc_id, i, strlen(words[i]) as word, strlen(pieces[i]) as piece,
+  case when i + {words - 1} <= len(words) then md5_number(array_to_string(list_slice(words, i, i + {words - 1}), ' ')) end as k from v),
+y as (select doc_id, i, word, piece, k is not null and count(*) over (partition by k) > 1 as again from x),
+z as (select doc_id, i, word, piece, bool_or(again) over (partition by doc_id order by i rows between {words - 1} preceding and current row) as gone from y),
+g as (select doc_id, gone, case when lag(gone) over (partition by doc_id order by i) then piece else word end as n from z),
+n as (select doc_id, sum(n) filter (where gone) as n_word_bytes from g group by 1)
 select d.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-  coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join a using (doc_id)"""
+  coalesce(kept_sha256, sha256('')) as kept_sha256, cast(coalesce(n_word_bytes, 0) as bigint) as n_word_bytes
+from d left join a using (doc_id) left join n using (doc_id)"""
