@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.session import scratch_path, settled
 
-__all__ = ["attach", "components", "delete_tables", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "scratch_tables", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
+__all__ = ["attach", "components", "delete_tables", "done_with", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "scratch_tables", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 1 << 20
@@ -97,6 +97,13 @@ def delete_tables(spark: SparkSession, paths: set[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def done_with(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: what was made from them is a settled table itself."""
+    for t in tables:
+        delete_tables(t.sparkSession, {f.rpartition("/")[0] for f in t.inputFiles()})
+    release(tables[0].sparkSession)
+
+
 def total_of(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(column)).first()[0] or 0
 

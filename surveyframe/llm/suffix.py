@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.llm.common import attach, id_bits, keep_bits, may_be_listed, prepare, release, settled, slabs
+from surveyframe.llm.common import attach, done_with, id_bits, keep_bits, may_be_listed, prepare, release, settled, slabs
 from surveyframe.llm.encoding import word_chunks
 from surveyframe.llm.texthash import U, mix, running, span, sums
 
@@ -378,10 +378,11 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shards = parsed.where("range is null").select("shard", "keys", "owned", "windows", "offsets", "which")
     found = shards.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(_by_text, "key binary, sure binary, told binary")
     found = settled(found.join(copied, "key", "full"), "found")
+    done_with(parsed, flags)
     bits = spark.sparkContext.broadcast(id_bits(found.select(F.xxhash64("key").alias("h")), "h"))
     some = distinct.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(_flagged(bits), "key binary, text string")
     open_texts = settled(some.join(found, "key"), "open")
-    release(spark)
+    done_with(found, one_each, copied)
     windows = settled(open_texts.where(F.length("told") > 0).select("key", "text", "told").mapInArrow(_windows(length, ranges, words), WINDOWS), "windows")
     blocks = windows.where("range is not null").select("shard", "range", "hashes", "prefixes", "twice")
     flags = settled(blocks.groupBy("range").applyInPandas(_tell, "shard long, range long, flags binary"), "told")
@@ -389,11 +390,12 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     open_windows = windows.where("range is null").select("shard", "keys", "texts", "starts", "which")
     starts = open_windows.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(_starts, "key binary, starts binary")
     starts = settled(starts, "starts")
-    release(spark)
+    done_with(windows, flags)
     cut = open_texts.select("key", "text", "sure", "copied").join(starts, "key", "left").mapInArrow(
         _cut(length, words, spans), "key binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     )
     cut = settled(cut.join(counted.select("key", "w"), "key"), "cut")
+    done_with(open_texts, starts)
     out = attach(light, cut, "key", "w").select(
         F.col("id").alias(id_col),
         "n_bytes",
