@@ -99,17 +99,25 @@ def theme_by(texts: DataFrame, members: DataFrame, codebook: Codebook) -> DataFr
     )
 
 
-#: Characters by which keywords are looked up.
-GRAM = 4
+#: Characters of the longest blocks by which keywords are looked up.
+GRAM = 16
+#: Characters of the pieces that a text is cut into to read at many places of it.
+PIECE = 64
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The strings of ``size`` characters in a text, made by laying shorter ones side by side; null at its end."""
-    if size == 1:
-        return F.split(text, "")
-    half = size // 2
-    rest = F.slice(_grams(text, size - half), half + 1, 1 << 30)
-    return F.zip_with(_grams(text, half), rest, lambda x, y: F.concat(x, y))
+def _blocks(text: Column, size: int) -> Column:
+    """A text's characters, ``size`` by ``size``; the last block may be shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _read_at(text: Column, spots: Column) -> Column:
+    """The strings of ``_size`` characters after the first ``_at``, for each of the spots; the text is gone through once."""
+
+    def one(pieces: Column, spot: Column) -> Column:
+        first, last = F.floor(spot["_at"] / PIECE).cast("int"), F.floor((spot["_at"] + spot["_size"] - 1) / PIECE).cast("int")
+        return F.array_join(F.slice(pieces, first + 1, last - first + 1), "").substr(spot["_at"] % PIECE + 1, spot["_size"])
+
+    return F.array_distinct(F.flatten(F.transform(F.array(_blocks(text, PIECE)), lambda pieces: F.transform(spots, lambda spot: one(pieces, spot)))))
 
 
 def code_by_index(texts: DataFrame, words: DataFrame, multi: bool = True, gram: int = GRAM) -> DataFrame:
@@ -121,21 +129,37 @@ def code_by_index(texts: DataFrame, words: DataFrame, multi: bool = True, gram:
     between equals). Blank texts are no answers; empty and null words are no rules.
     Repeated rows are answers of their own.
 
-    Keywords are indexed by their first ``gram`` characters (shorter ones by all of them).
-    A text's distinct strings of that many characters meet the index by an equi-join, and
-    only keywords found there are looked for in the text itself.
+    Texts are cut into blocks of a power of two of characters, ``gram`` at most, and a
+    keyword of twice as many holds a whole block wherever it begins: it is indexed by its
+    strings of that many characters at each offset. Blocks meet the index by an
+    equi-join, which tells where a keyword of which length may stand; the strings found
+    there meet the keywords by another one. So work follows the texts and the codebook,
+    not the number of keywords that begin alike.
     """
     rules = words.select("theme", "ord", F.lower("word").alias("_word")).filter(F.length("_word") > 0).distinct()
-    rules = settled(rules.withColumn("_gram", F.substring("_word", 1, gram)), "rules")
-    sizes = sorted(r["size"] for r in rules.select(F.length("_gram").alias("size")).distinct().collect())  # at most ``gram`` numbers
+    size = F.length("_word")
+    half = F.lit(1)
+    for n in (1 << k for k in range(1, gram.bit_length())):
+        half = F.when(size >= 2 * n - 1, n).otherwise(half)
+    rules = settled(rules.withColumns({"_size": size, "_half": half}), "rules")
+    halves = sorted(r["_half"] for r in rules.select("_half").distinct().collect())  # one for each power of two
     rows = texts.filter(answered(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
     rows = settled(rows, "answers")
     lowered = rows.select("_row", F.lower("text").alias("_lower"))
-    every = F.array_distinct(F.array_compact(F.concat(*[_grams(F.col("_lower"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    met = lowered.select("_row", F.explode(every).alias("_gram"))
-    index = rules.groupBy("_gram").agg(F.count(F.lit(1)).alias("_words")).select("_gram")
-    tried = dimension_join(met, index, ["_gram"], "inner").join(rules, "_gram").select("_row", "theme", "ord", "_word")
-    found = tried.join(lowered, "_row").filter(F.contains("_lower", F.col("_word"))).select("_row", "theme", "ord").distinct()
+    offset = F.explode(F.sequence(F.lit(0), F.col("_half") - 1)).alias("_offset")
+    index = rules.select("_word", "_size", "_half", offset).select("_half", F.expr("substr(_word, _offset + 1, _half)").alias("_gram"), "_offset", "_size").distinct()
+    index = settled(index, "index")
+    spots = [
+        dimension_join(lowered.select("_row", F.posexplode(_blocks(F.col("_lower"), n)).alias("_block", "_gram")), index.filter(F.col("_half") == n).select("_gram").distinct(), ["_gram"], "inner")
+        .join(index.filter(F.col("_half") == n), "_gram")
+        .select("_row", (F.col("_block") * n - F.col("_offset")).alias("_at"), "_size")
+        for n in halves
+    ]
+    none = lowered.select("_row", F.lit(0).alias("_at"), F.lit(0).alias("_size")).limit(0)
+    spots = reduce(DataFrame.unionAll, spots, none).filter(F.col("_at") >= 0)
+    spots = settled(spots.groupBy("_row").agg(F.collect_set(F.struct("_at", "_size")).alias("_spots")), "spots")
+    tried = spots.join(lowered, "_row").select("_row", F.explode(_read_at(F.col("_lower"), F.col("_spots"))).alias("_word"))
+    found = dimension_join(tried, rules.select("_word", "theme", "ord"), ["_word"], "inner").select("_row", "theme", "ord").distinct()
     if not multi:
         first = Window.partitionBy("_row").orderBy("ord", "theme")
         found = found.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") == 1).drop("_first")

@@ -99,3 +99,16 @@ def test_a_cell_of_another_type_is_an_error(spark, tmp_path):
     schema = T.StructType().add("respondent_id", T.IntegerType()).add("age", T.IntegerType())
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
         readers.read_responses(spark, str(tmp_path / "a.csv"), schema).collect()
+
+
+def test_keywords_that_begin_alike_meet_only_texts_that_hold_them(spark, monkeypatch):
+    words = spark.range(3_000).select(F.format_string("t%d", "id").alias("theme"), F.col("id").cast("int").alias("ord"), F.format_string("all of them begin alike %05d", "id").alias("word"))
+    texts = [(k, ("x" * k + "All of them begin alike and end %d " % k) * 40 + "all of them begin alike %05d" % k) for k in range(30)] + [(99, "𝄞é" * 70 + "ALL OF THEM BEGIN ALIKE 00001")]
+    tables, settled = {}, themes.settled
+    monkeypatch.setattr(themes, "settled", lambda df, name: tables.setdefault(name, settled(df, name)))
+    read, read_at = [], themes._read_at
+    monkeypatch.setattr(themes, "_read_at", lambda text, spots: read.append(spots) or read_at(text, spots))
+    coded = themes.code_by_index(spark.createDataFrame(texts, "respondent_id long, text string"), words)
+    assert rows(coded, "respondent_id", "theme") == {(k, f"t{k}") for k in range(30)} | {(99, "t1")}
+    # strings that are looked up follow the texts, not texts times keywords (3,000 keywords share what 31 texts hold)
+    assert read and tables["spots"].agg(F.sum(F.size("_spots"))).first()[0] < sum(len(t) for _, t in texts)
