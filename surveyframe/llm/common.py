@@ -14,13 +14,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyframe.session import scratch_path, settled
+from surveyframe import session
+from surveyframe.session import scratch_path
 
-__all__ = ["attach", "components", "delete_tables", "done_with", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "scratch_path", "scratch_tables", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
+__all__ = ["attach", "components", "delete_tables", "done_with", "id_bits", "keep_bits", "may_be_listed", "open_store", "prepare", "read", "release", "release_driver", "scratch_path", "scratch_tables", "settled", "slabs", "small_batches", "split_by_bits", "tidy", "total_of"]
 
 #: Bytes of text that one step of a task works on.
 SLAB = 1 << 20
@@ -70,13 +72,34 @@ def prepare(spark: SparkSession) -> None:
     _sent.add(spark.sparkContext.applicationId)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Let the driver give back what it no longer uses, and Spark delete shuffle files of tables that are written out by now.
+
+    Its heap, too, shrinks at a full collection only, and what its threads have freed
+    stays with them until it is trimmed; JVMs that cannot trim keep it.
+    """
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(command, "systemTrimNativeHeap", None, None)
+    tidy()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``session.settled``; the driver, which sees many jobs, keeps little of each."""
+    table = session.settled(df, name)
+    release_driver(df.sparkSession)
+    return table
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of tables that are written out by now, and executors give unused heap back.
+    """The driver and the executors give unused memory back, and Spark may delete shuffle files of tables that are written out by now.
 
     An executor's heap grows with the garbage of each job and shrinks at a full collection only.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release_driver(spark)
     if not spark.sparkContext._jsc.sc().isLocal():
         tasks = spark.sparkContext.defaultParallelism
         collected = spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("none"))

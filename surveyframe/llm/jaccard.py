@@ -17,6 +17,7 @@ groups, not pairs. Texts with equal sets are one node throughout.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,10 +81,11 @@ def _signatures(size: int):
 
 
 def _add_counts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a slice, up to 2**16 - 1, compressed: the driver holds all slices at once."""
     total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
     for x in rows["counts"]:
         total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // len(total)])
-    return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**16 - 1).astype(np.uint16).tobytes(), 1)]})
 
 
 def _prefixes(size: int, percent: int, ranges: int, sketch):
@@ -321,12 +323,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = out.where("slice is null").select("id", "node", "n")
     # one row per set: its smallest id and its copies
     nodes = settled(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "nodes")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for x in out.where("slice is not null").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect():  # 32 MB in all
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for x in out.where("slice is not null").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect():  # 16 MB at most
         step = len(sketch) // SLICES
-        sketch[x.slice * step : (x.slice + 1) * step] = np.frombuffer(x.counts, np.uint32)
+        sketch[x.slice * step : (x.slice + 1) * step] = np.frombuffer(zlib.decompress(x.counts), np.uint16)
     ranges = max(64, (total_of(nodes, "n") * (100 - percent) // 100) // RANGE)
-    order = spark.sparkContext.broadcast(np.minimum(sketch, 2**16 - 1).astype(np.uint16))
+    order = spark.sparkContext.broadcast(sketch)
+    del sketch
     postings = docs.select("text").mapInArrow(_prefixes(size, percent, ranges, order), "range long, tokens binary, nodes binary, sizes binary, places binary")
     shared = settled(postings.groupBy("range").applyInPandas(_shared(percent), "token long, node long, n long, remain long"), "shared")
     placed = _grouped(shared)

@@ -78,3 +78,24 @@ def test_an_empty_table_and_one_of_each(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (3, "", "x"), (4, "", "x")], "doc_id long, text string, goes string")
     assert jaccard.jaccard_join(df.limit(0)).count() == 0
     assert sorted((r.doc_id or 0, r.goes) for r in jaccard.one_of_each(df).collect()) == [(0, "z"), (1, "x"), (3, "x"), (4, "x")]
+
+
+def test_the_driver_gets_packed_counts_and_keeps_nothing_of_a_settled_table(spark):
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    from surveyframe.llm import common, jaccard
+
+    counters = (1 << jaccard.SKETCH_BITS) // jaccard.SLICES
+    some, many = np.zeros(counters, np.uint8), np.zeros(counters, np.uint32)
+    some[::50], many[::100] = 3, 70_000
+    got = jaccard._add_counts((5,), pd.DataFrame({"counts": [some.tobytes(), many.tobytes(), some.tobytes()]}))
+    assert got["slice"][0] == 5 and len(got["counts"][0]) < counters / 2
+    want = np.minimum(2 * some.astype(np.int64) + many, 2**16 - 1)
+    assert (np.frombuffer(zlib.decompress(got["counts"][0]), np.uint16) == want).all()
+    jvm = spark.sparkContext._jvm
+    gone = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    assert common.settled(spark.range(5), "few").count() == 5
+    assert gone.get() is None
