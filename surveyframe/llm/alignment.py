@@ -19,6 +19,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from surveyframe.llm.texthash import span, sums
 
 #: Distinct chunks, and links of chunks, that a worker remembers; beyond, it starts anew.
 REMEMBERED, REMEMBERED_LINKS = 200_000, 4_000_000
+#: Bytes of chunks that are encoded together.
+JOINED = 1 << 10
 
 
 def byte_level() -> dict[str, int]:
@@ -42,7 +45,22 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class BytePieces:
+class Pieces:
+    """Tokens as bytes; ``bytes`` has each id's."""
+
+    bytes: list[bytes]
+
+    def lay_out(self) -> None:
+        self.size = np.array([len(x) for x in self.bytes], np.int64)
+        self.flat, self.at = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens one after another."""
+        size = self.size[ids]
+        return self.flat[np.repeat(self.at[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
+class BytePieces(Pieces):
     """Tokenizer A: a byte-level one; its special tokens' strings are plain text."""
 
     def __init__(self, path: str):
@@ -56,12 +74,13 @@ class BytePieces:
         self.bytes = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
         for piece, k in vocab.items():
             self.bytes[k] = bytes(byte[c] for c in piece)
+        self.lay_out()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class WordPieces:
+class WordPieces(Pieces):
     """Tokenizer B: pieces with U+2581 for a space, one of which it adds in front, and bytes for what has no piece."""
 
     def __init__(self, path: str):
@@ -70,6 +89,7 @@ class WordPieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.lay_out()
         #: a space inside a piece would let tokens reach over a chunk's edge
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -83,7 +103,10 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = BytePieces(path_a), WordPieces(path_b)
-        self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.size_a, self.size_b = self.a.size, self.b.size
+        names = np.arange(max(len(self.size_a), len(self.size_b))).astype("S")
+        #: ids as decimals, and their digits
+        self.names, self.digits = names.view(np.uint8).reshape(len(names), -1), np.char.str_len(names)
         self.forget()
 
     def forget(self) -> None:
@@ -95,32 +118,80 @@ class Aligner:
         self.links = np.zeros(0, np.int64)
         self.shown: list[bytes] = []
 
+    def _encoded(self, tokenizer: BytePieces | WordPieces, size: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, and how many of them each chunk has.
+
+        Chunks that ``space_chunks`` would cut from each other are encoded together, some
+        JOINED bytes at a time. Where the tokens don't end with the chunks, as where a
+        normalisation has changed bytes, each chunk is encoded for itself.
+        """
+        raw, length = b"".join(chunks), np.array([len(c) for c in chunks], np.int64)
+        border = np.cumsum(length)
+        edges = self.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+        fresh = ~np.isin(border[:-1], edges, assume_unique=True) | (np.diff((border - length) // JOINED) > 0)
+        first = np.flatnonzero(np.concatenate(([True], fresh)))
+        last = np.append(first[1:], len(chunks)) - 1
+        at, to = (border - length)[first], border[last]
+        got = tokenizer.encode([raw[x:y].decode() for x, y in zip(at.tolist(), to.tolist(), strict=True)])
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int64, int(n.sum()))
+        # where tokens end, if each text's begin with the text; a chunk has those after the last one's border
+        step = size[flat]
+        done = np.cumsum(step)
+        before = np.concatenate(([0], done))[np.cumsum(n) - n]
+        text = np.repeat(np.arange(len(got)), n)
+        end = done - before[text] + at[text]
+        over = np.zeros(len(got), bool)
+        over[text[end > to[text]]] = True
+        end[over[text]] = 0
+        of = np.repeat(np.arange(len(got)), last - first + 1)
+        over[of[~np.isin(border, end)]] = True
+        if over.any():
+            many = np.flatnonzero(over[of])
+            again = tokenizer.encode([chunks[k].decode() for k in many.tolist()])
+            keep = ~over[text]
+            where = np.searchsorted(border, end[keep])
+            count = np.bincount(where, minlength=len(chunks))
+            count[many] = np.fromiter(map(len, again), np.int64, len(again))
+            out, alone = np.empty(int(count.sum()), np.int64), np.repeat(over[of], count)
+            out[~alone], out[alone] = flat[keep], np.fromiter(chain.from_iterable(again), np.int64, int(count[many].sum()))
+            return out, count
+        return flat, np.bincount(np.searchsorted(border, end), minlength=len(chunks))
+
     def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        ids = [(a, b) for a, b in zip(self.a.encode(texts), self.b.encode(texts), strict=True)]
-        join = lambda t, x: b"".join([t.bytes[k] for k in x])
-        odd = np.array([join(self.a, a) != c or join(self.b, b) != c for c, (a, b) in zip(chunks, ids, strict=True)], bool)
-        ids = [([], []) if o else x for o, x in zip(odd.tolist(), ids, strict=True)]
-        n = np.array([(len(a), len(b)) for a, b in ids], np.int64).reshape(-1, 2)
-        flat_a, flat_b = (np.fromiter((k for x in ids for k in x[s]), np.int64, int(n[:, s].sum())) for s in (0, 1))
+        length, raw = np.array([len(c) for c in chunks], np.int64), np.frombuffer(b"".join(chunks), np.uint8)
+        odd, ids = np.zeros(len(chunks), bool), []
+        for tokenizer, size in ((self.a, self.size_a), (self.b, self.size_b)):
+            flat, n = self._encoded(tokenizer, size, chunks)
+            ids.append((flat, n))
+            done = np.concatenate(([0], np.cumsum(size[flat])))[np.concatenate(([0], np.cumsum(n)))]
+            as_long = np.diff(done) == length
+            odd |= ~as_long
+            owner = np.repeat(np.flatnonzero(as_long), length[as_long])
+            odd[owner[tokenizer.joined(flat[np.repeat(as_long, n)]) != raw[np.repeat(as_long, length)]]] = True
+        (flat_a, n_a), (flat_b, n_b) = ((flat[np.repeat(~odd, n)], np.where(odd, 0, n)) for flat, n in ids)
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         # parts between the ends of tokens of either: each is a link
         ends = np.union1d(end_a, end_b)
         links = flat_a[np.searchsorted(end_a, ends)] << 32 | flat_b[np.searchsorted(end_b, ends)] if len(ends) else np.zeros(0, np.int64)
         both = np.intersect1d(end_a, end_b, assume_unique=True)
-        border = np.cumsum(np.where(odd, 0, [len(c) for c in chunks]))
+        border = np.cumsum(np.where(odd, 0, length))
         groups = np.diff(np.searchsorted(both, border, "right"), prepend=0)
         begin = np.searchsorted(ends, border, "right")
-        # the groups, written out
-        cut_a, cut_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
-        name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        lo_a, lo_b, written = 0, 0, []
-        for hi_a, hi_b in zip(cut_a, cut_b, strict=True):
-            written.append(f"{','.join(name_a[lo_a:hi_a])}|{','.join(name_b[lo_b:hi_b])}")
-            lo_a, lo_b = hi_a, hi_b
-        last = np.cumsum(groups).tolist()
-        self.shown += [";".join(written[x - g : x]).encode() for x, g in zip(last, groups.tolist(), strict=True)]
-        self.counts = np.concatenate((self.counts, np.column_stack((n, groups))))
+        # the groups, written out: A's ids of a group, then B's; each with what follows it
+        cut_a, cut_b = np.searchsorted(end_a, both, "right"), np.searchsorted(end_b, both, "right")
+        flat, follows = np.empty(len(flat_a) + len(flat_b), np.int64), np.full(len(flat_a) + len(flat_b), ord(","), np.uint8)
+        flat[np.arange(len(flat_a)) + np.repeat(np.diff(cut_b, prepend=0).cumsum() - np.diff(cut_b, prepend=0), np.diff(cut_a, prepend=0))] = flat_a
+        flat[np.arange(len(flat_b)) + np.repeat(cut_a, np.diff(cut_b, prepend=0))] = flat_b
+        follows[cut_a - 1 + cut_b - np.diff(cut_b, prepend=0)], follows[cut_a + cut_b - 1] = ord("|"), ord(";")
+        digits = self.digits[flat]
+        written = np.empty((len(flat), self.names.shape[1] + 1), np.uint8)
+        written[:, :-1] = self.names[flat]
+        written[np.arange(len(flat)), digits] = follows
+        written = written[np.arange(written.shape[1]) <= digits[:, None]].tobytes()
+        last = np.concatenate(([0], np.cumsum(digits + 1)))[np.concatenate(([0], np.cumsum(n_a + n_b)))].tolist()
+        self.shown += [written[x : y - 1] if y > x else b"" for x, y in pairwise(last)]
+        self.counts = np.concatenate((self.counts, np.column_stack((n_a, n_b, groups))))
         self.odd = np.concatenate((self.odd, odd))
         self.at = np.concatenate((self.at, self.at[-1] + begin))
         self.links = np.concatenate((self.links, links))

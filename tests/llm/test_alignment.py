@@ -100,3 +100,35 @@ def test_packed_links():
     got = alignment.unpack_links(alignment.pack_links(text, pair, 6), 6)
     assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(text.tolist(), pair.tolist(), strict=True))
     assert [len(x) for x in alignment.unpack_links(alignment.pack_links(text[:0], pair[:0], 2), 2)] == [0, 0]
+
+
+def test_new_chunks_are_encoded_many_at_a_time(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from surveyframe.llm import alignment
+
+    al = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    some = ["né", "ﬁne", "a▁b", "x​y", "it's", "１２", "<unk>", "</s>", "日本", "\x00", "..", "q" * 300]
+    chunks = [(" " + "".join(rng.choice("abcxyzABC019.,é") for _ in range(rng.randint(1, 12)))).encode() for _ in range(3_000)]
+    chunks += [f" {rng.choice(some)}{k if k % 3 else ' '}".encode() for k in range(400)]
+    rng.shuffle(chunks)
+    for tokenizer, size in ((al.a, al.size_a), (al.b, al.size_b)):
+        alone = [tokenizer.encode([c.decode()])[0] for c in chunks]
+        asked, encode = [], tokenizer.encode
+        monkeypatch.setattr(tokenizer, "encode", lambda texts, encode=encode, asked=asked: asked.extend(texts) or encode(texts))
+        flat, n = al._encoded(tokenizer, size, chunks)
+        assert flat.tolist() == [k for ids in alone for k in ids] and n.tolist() == [len(ids) for ids in alone]
+        regular = [c for c in chunks if c.isascii() and len(c) < 20 and not c.endswith(b" ")]
+        asked.clear()
+        al._encoded(tokenizer, size, regular)
+        assert len(asked) < len(regular) / 20
+    al._learn(chunks)
+    of = lambda t, ids: b"".join(t.bytes[k] for k in ids)
+    for c, odd, shown in zip(chunks, al.odd.tolist(), al.shown, strict=True):
+        a, b = (t.encode([c.decode()])[0] for t in (al.a, al.b))
+        assert odd == (of(al.a, a) != c or of(al.b, b) != c)
+        groups = [tuple([int(k) for k in side.split(",")] for side in g.split("|")) for g in shown.decode().split(";")] if shown else []
+        assert ([k for g in groups for k in g[0]], [k for g in groups for k in g[1]]) == (([], []) if odd else (a, b))
