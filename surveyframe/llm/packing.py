@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyframe.llm.common import prepare, settled, slabs
-from surveyframe.llm.encoding import encoder, word_chunks
+from surveyframe.llm.encoding import word_chunks, word_encoder
 
 
 def cut(tokens: int, capacity: int, slack: int) -> list[int]:
@@ -49,7 +49,7 @@ def _pieces(path: str, capacity: int, end_id: int, slack: int, ids: bool):
         task, used = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for at, _, buf, bounds in slabs(batch):
-                e = encoder(path)
+                e = word_encoder(path)
                 start, stop = word_chunks(buf, bounds)
                 rows = e.rows(buf, start, stop)
                 flat = e.flat(rows)
@@ -108,7 +108,7 @@ def _first_fit(capacity: int):
 def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, slack: int = 32, ids: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for every piece.
 
-    ``path`` names the file of a public tokenizer that drops white space. A document's
+    ``path`` names the file of a public tokenizer that drops white space and splits at it. A document's
     ids are those of its whole text without special tokens, then ``end_id``; so null,
     empty and blank texts have one id. Every id is in exactly one piece. The pieces of
     a sequence lie from offset 0 without gaps and hold ``capacity`` ids at most.
